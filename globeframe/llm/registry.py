@@ -1,6 +1,15 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format
+from . import chat_format, decontaminate, packing, topk_search
 
-QUERIES = {"op4_chat_format": chat_format.op4_chat_format}
-ORACLES = {"op4_chat_format": chat_format.oracle()}
+QUERIES = {
+    "op1_packing": packing.op1_packing,
+    "op4_chat_format": chat_format.op4_chat_format,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_topk_search": topk_search.op9_topk_search,
+}
+ORACLES = {
+    "op4_chat_format": chat_format.oracle(),
+    "op8_decontaminate": decontaminate.oracle(),
+    "op9_topk_search": topk_search.oracle(),
+}
