@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, decontaminate, language_id, packing, token_counts, topk_search, toxicity
+from . import chat_format, decontaminate, html_extract, language_id, packing, token_counts, topk_search, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_chat_format": chat_format.op4_chat_format,
+    "op5_html_extract": html_extract.op5_html_extract,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_language_id": language_id.op7_language_id,
     "op8_decontaminate": decontaminate.op8_decontaminate,
