@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, decontaminate, html_extract, language_id, packing, token_counts, topk_search, toxicity
+from . import chat_format, decontaminate, html_extract, language_id, near_duplicates, packing, token_counts, topk_search, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_topk_search": topk_search.op9_topk_search,
+    "op10_near_duplicates": near_duplicates.op10_near_duplicates,
 }
 ORACLES = {
     "op4_chat_format": chat_format.oracle(),
