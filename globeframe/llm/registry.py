@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from . import chat_format, decontaminate, html_extract, language_id, near_duplicates, packing, token_counts, topk_search, toxicity
+from . import chat_format, decontaminate, html_extract, language_id, near_duplicates, packing, suffix_dedup, token_counts, topk_search, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_html_extract": html_extract.op5_html_extract,
