@@ -1,5 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
+import corpus_pipeline
+
 from . import chat_format, decontaminate, html_extract, language_id, near_duplicates, packing, suffix_dedup, token_counts, topk_search, toxicity
 
 QUERIES = {
@@ -13,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_topk_search": topk_search.op9_topk_search,
     "op10_near_duplicates": near_duplicates.op10_near_duplicates,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op4_chat_format": chat_format.oracle(),
