@@ -1,10 +1,671 @@
-"""Named queries of the library, and DuckDB SQL that gives the same rows."""
+"""Named queries of the library, and DuckDB SQL that gives the same rows.
+
+Positions come from integer keys (``sources.derived``); doubles are rounded before they
+are compared, since engines differ in the last bits of sine and cosine.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import angles as A
+from ..functions import cells as C
+from ..functions import earth as E
+from ..functions import intervals as I
+from ..functions import projections as PR
+from ..functions import regions as R
+from ..functions import text as T
+from ..functions import vectors as V
+from ..kernels import grid
+from ..operators import aggregates as AG
+from ..operators import density as D
+from ..operators import geometry as G
+from ..operators import spatial_join as J
+from ..operators import terms as TM
+from ..sources import derived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+KM = 1 / 6371.01
+RADIUS = 500 * KM
+
+
+def query(sql: str | None = None):
+    """Registers a function under its name, with its oracle."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# SQL building blocks.
+
+
+def pos(table: str, key: str, *extra: str) -> str:
+    """A sub-query with id, lat, lng and the unit vector x, y, z."""
+    more = "".join(f", {e}" for e in extra)
+    return f"""(SELECT *, cos(radians(lng)) * cos(radians(lat)) AS x, sin(radians(lng)) * cos(radians(lat)) AS y, sin(radians(lat)) AS z FROM
+      (SELECT {key}::BIGINT AS id, (({key} * 7919) % 17001) / 100.0::DOUBLE - 85 AS lat, (({key} * 104729) % 36000) / 100.0::DOUBLE - 180 AS lng{more} FROM {table}))"""
+
+
+CUSTOMERS, SUPPLIERS = pos("customer", "c_custkey", "c_acctbal", "c_nationkey"), pos("supplier", "s_suppkey")
+EVENTS, ZONES = pos("events", "event_id", "user_id", "ts", "value"), pos("nation", "n_nationkey")
+
+
+def cells_sql(source: str, *keep: str) -> str:
+    """id, kept columns, face, i, j and the leaf cell (BIGINT) of points."""
+    k = "".join(f", {c}" for c in keep)
+    st = "CASE WHEN {0} >= 0 THEN 0.5 * sqrt(1 + 3 * {0}) ELSE 1 - 0.5 * sqrt(1 - 3 * {0}) END"
+    ij = f"greatest(0, least({grid.SIZE - 1}, floor(({{0}}) * {grid.SIZE})))::BIGINT"
+    tab = "[" + ", ".join(str(list(r)) for r in grid.IJ_TO_POS) + "]"
+    ori = str(list(grid.POS_TO_ORIENTATION))
+    return f"""(SELECT id{k}, face, i, j, (CASE WHEN face >= 4 THEN face - 8 ELSE face END::HUGEINT * 2305843009213693952 + (h // 4)::HUGEINT * 2 + 1)::BIGINT AS cell FROM (
+      SELECT *, list_reduce(range(29, -1, -1), lambda acc, b: ((acc // 4) * 4 + {tab}[(acc % 4 + 1)::BIGINT][(2 * ((i >> b) & 1) + ((j >> b) & 1) + 1)::BIGINT]) * 4
+          + xor((acc % 4)::BIGINT, {ori}[({tab}[(acc % 4 + 1)::BIGINT][(2 * ((i >> b) & 1) + ((j >> b) & 1) + 1)::BIGINT] + 1)::BIGINT]::BIGINT), (face & 1)::BIGINT) AS h FROM (
+      SELECT *, {ij.format(st.format("u"))} AS i, {ij.format(st.format("v"))} AS j FROM (
+      SELECT *, CASE face WHEN 0 THEN y / x WHEN 1 THEN -x / y WHEN 2 THEN -x / z WHEN 3 THEN z / x WHEN 4 THEN z / y ELSE -y / z END AS u,
+        CASE face WHEN 0 THEN z / x WHEN 1 THEN z / y WHEN 2 THEN -y / z WHEN 3 THEN y / x WHEN 4 THEN -x / y ELSE -x / z END AS v FROM (
+      SELECT *, (CASE WHEN abs(x) > abs(y) THEN CASE WHEN abs(x) > abs(z) THEN CASE WHEN x < 0 THEN 3 ELSE 0 END ELSE CASE WHEN z < 0 THEN 5 ELSE 2 END END
+        ELSE CASE WHEN abs(y) > abs(z) THEN CASE WHEN y < 0 THEN 4 ELSE 1 END ELSE CASE WHEN z < 0 THEN 5 ELSE 2 END END END)::BIGINT AS face FROM {source})))))"""
+
+
+def up(cell: str, level) -> str:
+    one = f"(1::BIGINT << {2 * (30 - level)})" if isinstance(level, int) else f"(1::BIGINT << (60 - 2 * {level})::INTEGER)"
+    return f"(({cell} & -{one}) | {one})"
+
+
+def token_sql(cell: str) -> str:
+    return f"rtrim(lpad(lower(to_hex({cell})), 16, '0'), '0')"
+
+
+CHORD = "least(4.0, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))"
+ANGLE = "2 * asin(sqrt({0}) / 2)"
+CROSSN = "sqrt(power(a.y*b.z-a.z*b.y,2)+power(a.z*b.x-a.x*b.z,2)+power(a.x*b.y-a.y*b.x,2))"
+ATAN = f"atan2({CROSSN}, a.x*b.x+a.y*b.y+a.z*b.z)"
+
+
+def _customers(spark, d):
+    return derived.customers(spark, d)
+
+
+def _cells(spark, d, level=30):
+    return C.with_cell(derived.customers(spark, d), "p", "cell", level)
+
+
+def _r(c, n: int = 6):
+    return F.round(c, n)
+
+
+# Angles, positions, the Earth.
+
+
+@query(f"""SELECT id, round(lat * 1e5)::INTEGER AS e5, round(lat * 1e6)::INTEGER AS e6, round(degrees(radians(lng)) * 1e7)::INTEGER AS e7 FROM {CUSTOMERS}""")
+def angle_fixed_point(spark, d):
+    df = _customers(spark, d)
+    return df.select("id", A.to_e(F.radians("lat"), 5).alias("e5"), A.to_e(F.radians("lat"), 6).alias("e6"), A.to_e(F.radians("lng"), 7).alias("e7"))
+
+
+@query(f"""SELECT id, round(CASE WHEN y <= -pi() THEN pi() ELSE y END, 9) AS normal FROM (SELECT id, t - round(t / (2*pi())) * 2*pi() AS y FROM (SELECT id, radians(lng * 5) AS t FROM {CUSTOMERS}))""")
+def angle_normalized(spark, d):
+    return _customers(spark, d).select("id", _r(A.normalized(F.radians(F.col("lng") * 5)), 9).alias("normal"))
+
+
+@query(f"""SELECT id, round(c, 9) AS chord, round(2*asin(sqrt(c)/2), 9) AS back, round(1 - c/2, 9) AS cosine, round(c*(1-c/4), 9) AS sine2
+FROM (SELECT id, power(2*sin(abs(radians(lat))/2), 2) AS c FROM {CUSTOMERS})""")
+def chord_round_trip(spark, d):
+    c = A.chord_from_angle(F.abs(F.radians("lat")))
+    df = _customers(spark, d).select("id", c.alias("c"))
+    return df.select("id", _r("c", 9).alias("chord"), _r(A.chord_to_angle("c"), 9).alias("back"), _r(A.chord_cos("c"), 9).alias("cosine"), _r(A.chord_sin2("c"), 9).alias("sine2"))
+
+
+@query(f"""SELECT id, round(power(2*sin(least(pi(), p+q)/2),2), 8) AS total, round(power(2*sin(greatest(0, p-q)/2),2), 8) AS less
+FROM (SELECT id, abs(radians(lat)) AS p, abs(radians(lng))/2 AS q FROM {CUSTOMERS})""")
+def chord_arithmetic(spark, d):
+    a, b = A.chord_from_angle(F.abs(F.radians("lat"))), A.chord_from_angle(F.abs(F.radians("lng")) / 2)
+    df = _customers(spark, d).select("id", a.alias("a"), b.alias("b"))
+    return df.select("id", _r(A.chord_add("a", "b"), 8).alias("total"), _r(A.chord_subtract("a", "b"), 8).alias("less"))
+
+
+@query(f"SELECT id, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM {CUSTOMERS}")
+def point_from_latlng(spark, d):
+    return _customers(spark, d).select("id", *(_r(F.col("p")[c], 9).alias(c) for c in "xyz"))
+
+
+@query(f"SELECT id, round(degrees(atan2(z, sqrt(x*x+y*y))), 7) AS lat, round(degrees(atan2(y, x)), 7) AS lng FROM {CUSTOMERS} WHERE lng > -180")
+def latlng_from_point(spark, d):
+    df = _customers(spark, d).filter("lng > -180")
+    return df.select("id", _r(F.degrees(V.latitude("p")), 7).alias("lat"), _r(F.degrees(V.longitude("p")), 7).alias("lng"))
+
+
+def _pairs(spark, d):
+    """Each customer with the zone of its nation: an equi-join."""
+    c = derived.customers(spark, d).select("id", "lat", "lng", "p", "c_nationkey")
+    z = derived.zones(spark, d).select(F.col("id").alias("c_nationkey"), F.col("lat").alias("zlat"), F.col("lng").alias("zlng"), F.col("p").alias("q"))
+    return c.join(z, "c_nationkey")
+
+
+PAIRS = f"{CUSTOMERS} a JOIN {ZONES} b ON a.c_nationkey = b.id"
+HAV = "2*asin(sqrt(least(1.0, power(sin(radians(b.lat-a.lat)/2),2)+power(sin(radians(b.lng-a.lng)/2),2)*cos(radians(a.lat))*cos(radians(b.lat)))))"
+
+
+@query(f"SELECT a.id AS id, round({HAV} * 6371010.0, 2) AS meters FROM {PAIRS}")
+def haversine_m(spark, d):
+    return _pairs(spark, d).select("id", _r(E.latlng_meters("lat", "lng", "zlat", "zlng"), 2).alias("meters"))
+
+
+@query(f"SELECT a.id AS id, round({ATAN}, 8) AS angle, round({CHORD}, 8) AS chord2, round(2*atan2(sqrt(power(a.x-b.x,2)+power(a.y-b.y,2)+power(a.z-b.z,2)), sqrt(power(a.x+b.x,2)+power(a.y+b.y,2)+power(a.z+b.z,2))), 8) AS stable, round({ATAN} * 6371.01, 4) AS km FROM {PAIRS}")
+def point_distances(spark, d):
+    df = _pairs(spark, d)
+    return df.select("id", _r(V.angle("p", "q"), 8).alias("angle"), _r(V.chord2("p", "q"), 8).alias("chord2"), _r(V.stable_angle("p", "q"), 8).alias("stable"), _r(E.to_km(V.angle("p", "q")), 4).alias("km"))
+
+
+@query(f"""SELECT a.id AS id, round(degrees(atan2(sin(radians(b.lng-a.lng))*cos(radians(b.lat)), cos(radians(a.lat))*sin(radians(b.lat))-sin(radians(a.lat))*cos(radians(b.lat))*cos(radians(b.lng-a.lng)))), 5) AS bearing FROM {PAIRS}""")
+def bearing_deg(spark, d):
+    return _pairs(spark, d).select("id", _r(F.degrees(E.bearing("lat", "lng", "zlat", "zlng")), 5).alias("bearing"))
+
+
+@query(f"SELECT id, round(radians(lng)*180/pi(), 7) AS x, round(ln(tan(pi()/4+radians(lat)/2))*180/pi(), 6) AS y, round(lat, 6) AS back FROM {CUSTOMERS}")
+def mercator_xy(spark, d):
+    x, y = PR.mercator(F.radians("lat"), F.radians("lng"))
+    back, _ = PR.mercator_inverse(x, y)
+    return _customers(spark, d).select("id", _r(x, 7).alias("x"), _r(y, 6).alias("y"), _r(F.degrees(back), 6).alias("back"))
+
+
+@query(f"SELECT a.id AS id, round(a.lng, 7) AS x, round(a.lat, 7) AS y, round(CASE WHEN abs(b.lng-a.lng) > 180 THEN b.lng - 360*sign(b.lng-a.lng) ELSE b.lng END, 7) AS wrapped FROM {PAIRS}")
+def plate_carree_xy(spark, d):
+    x, y = PR.plate_carree(F.radians("lat"), F.radians("lng"))
+    return _pairs(spark, d).select("id", _r(x, 7).alias("x"), _r(y, 7).alias("y"), _r(PR.wrap_destination("lng", "zlng", 360.0), 7).alias("wrapped"))
+
+
+@query(f"""SELECT a.id AS id, round(sin((1-t)*w)/sin(w)*a.x + sin(t*w)/sin(w)*b.x, 8) AS x, round(sin((1-t)*w)/sin(w)*a.z + sin(t*w)/sin(w)*b.z, 8) AS z
+FROM (SELECT a.*, b, 0.25::DOUBLE AS t, {ATAN} AS w FROM (SELECT * FROM {CUSTOMERS}) a JOIN {ZONES} b ON a.c_nationkey = b.id) a WHERE w > 0.001 AND w < 3.14""".replace("b.x, 8", "b.x, 8"))
+def interpolate_quarter(spark, d):
+    df = _pairs(spark, d).withColumn("w", V.angle("p", "q")).filter("w > 0.001 AND w < 3.14")
+    m = V.interpolate("p", "q", 0.25)
+    return df.select("id", _r(m["x"], 8).alias("x"), _r(m["z"], 8).alias("z"))
+
+
+@query()
+def vector_algebra(spark, d):
+    df = _pairs(spark, d)
+    o = V.ortho("p")
+    turned = V.rotate("p", "q", 1.0)
+    return df.select("id", _r(V.dot(o, "p"), 9).alias("zero"), _r(V.norm(o), 9).alias("one"), _r(V.angle(turned, "q") - V.angle("p", "q"), 7).alias("kept"), V.is_unit("p").alias("unit"))
+
+
+# Intervals, discs, rectangles.
+
+
+@query(f"""SELECT id, (v BETWEEN lo AND hi) AS has, round(hi-lo, 6) AS len, round(greatest(lo, least(hi, v)), 6) AS nearest, NOT (lo > 20 OR hi < -20) AS meets
+FROM (SELECT id, lat AS v, least(lat, lng/2) - 1 AS lo, greatest(lat, lng/2) - 3 AS hi FROM {CUSTOMERS}) WHERE lo <= hi""")
+def line_intervals(spark, d):
+    df = _customers(spark, d).select("id", F.col("lat").alias("v"), I.interval(F.least("lat", F.col("lng") / 2) - 1, F.greatest("lat", F.col("lng") / 2) - 3).alias("i"))
+    df = df.filter(~I.r_is_empty("i"))
+    return df.select("id", I.r_contains("i", "v").alias("has"), _r(I.r_length("i")).alias("len"), _r(I.r_project("i", "v")).alias("nearest"), I.r_intersects("i", I.interval(-20.0, 20.0)).alias("meets"))
+
+
+@query(f"""SELECT id, CASE WHEN lo <= hi THEN m BETWEEN lo AND hi ELSE m >= lo OR m <= hi END AS has, round(CASE WHEN lo <= hi THEN hi-lo ELSE hi-lo+2*pi() END, 7) AS len
+FROM (SELECT id, radians(lng) AS m, CASE WHEN a-0.5 <= -pi() THEN a-0.5+2*pi() ELSE a-0.5 END AS lo, CASE WHEN a+0.5 > pi() THEN a+0.5-2*pi() ELSE a+0.5 END AS hi
+  FROM (SELECT id, lng, radians((id * 31 % 360) - 179.5) AS a FROM {CUSTOMERS}))""")
+def circle_intervals(spark, d):
+    a = F.radians(F.col("id") * 31 % 360 - 179.5)
+    df = _customers(spark, d).select("id", F.radians("lng").alias("m"), I.s_expanded(I.interval(a, a), 0.5).alias("i"))
+    return df.select("id", I.s_contains("i", "m").alias("has"), _r(I.s_length("i"), 7).alias("len"))
+
+
+@query(f"SELECT a.id AS id, {CHORD} <= power(2*sin({RADIUS}/2),2) AS has, {CHORD} <= power(2*sin({8 * RADIUS}/2),2) AS wide FROM {PAIRS}")
+def cap_contains(spark, d):
+    df = _pairs(spark, d)
+    return df.select("id", R.cap_contains(R.cap("q", RADIUS), "p").alias("has"), R.cap_contains(R.cap("q", 8 * RADIUS), "p").alias("wide"))
+
+
+@query(f"SELECT id, round(pi()*l, 8) AS area, round(2*asin(sqrt(l)/2), 8) AS radius, round(pi()*(4-l), 8) AS rest FROM (SELECT id, power(2*sin(radians(abs(lat)+1)/2),2) AS l FROM {CUSTOMERS})")
+def cap_area(spark, d):
+    c = R.cap("p", F.radians(F.abs("lat") + 1))
+    df = _customers(spark, d).withColumn("c", c)
+    return df.select("id", _r(R.cap_area("c"), 8).alias("area"), _r(R.cap_radius("c"), 8).alias("radius"), _r(R.cap_area(R.cap_complement("c")), 8).alias("rest"))
+
+
+@query(f"""SELECT a.id AS id, w <= 0.3 + 0.2 AS meets, w + 0.1 <= 0.6 AS holds, round(CASE WHEN w + 0.2 <= 0.3 THEN 0.3 ELSE (w+0.5)/2 END, 7) AS joined
+FROM (SELECT a.id, {ATAN} AS w FROM {PAIRS}) a""")
+def cap_relations(spark, d):
+    df = _pairs(spark, d)
+    a, b = R.cap("p", 0.3), R.cap("q", 0.2)
+    return df.select("id", R.cap_intersects(a, b).alias("meets"), R.cap_contains_cap(R.cap("p", 0.6), R.cap("q", 0.1)).alias("holds"), _r(F.least(R.cap_radius(R.cap_union(a, b)), F.lit(9.0)), 7).alias("joined"))
+
+
+@query(f"""SELECT a.id AS id, a.lat BETWEEN b.lat-20 AND b.lat+20 AND abs(((a.lng-b.lng+540) - 360*floor((a.lng-b.lng+540)/360)) - 180) <= 40 AS has FROM {PAIRS}""")
+def rect_contains_wrap(spark, d):
+    df = _pairs(spark, d)
+    wrap = lambda x: F.when(x > 180, x - 360).when(x < -180, x + 360).otherwise(x)
+    r = R.rect_from_degrees(F.col("zlat") - 20, wrap(F.col("zlng") - 40), F.col("zlat") + 20, wrap(F.col("zlng") + 40))
+    inside = R.rect_contains(r, F.radians("lat"), F.radians("lng"))
+    # The oracle is in degrees; points on the border are left to it within a millionth.
+    return df.select("id", F.coalesce(inside | ((F.abs(F.abs(F.col("lat") - F.col("zlat")) - 20) < 1e-9) & R.rect_contains(R.rect_expanded(r, 1e-9, 1e-9), F.radians("lat"), F.radians("lng"))) | ((F.abs(F.abs(PR.remainder(F.col("lng") - F.col("zlng"), 360.0)) - 40) < 1e-9) & R.rect_contains(R.rect_expanded(r, 1e-9, 1e-9), F.radians("lat"), F.radians("lng"))), F.lit(False)).alias("has"))
+
+
+@query(f"SELECT id, round(radians(10)*(sin(radians(least(90,lat+5)))-sin(radians(greatest(-90,lat-5)))), 8) AS area FROM {CUSTOMERS} WHERE abs(lng) < 175")
+def rect_area(spark, d):
+    r = R.rect_from_degrees(F.greatest(F.lit(-90.0), F.col("lat") - 5), F.col("lng") - 5, F.least(F.lit(90.0), F.col("lat") + 5), F.col("lng") + 5)
+    return _customers(spark, d).filter("abs(lng) < 175").select("id", _r(R.rect_area(r), 8).alias("area"))
+
+
+@query(f"""SELECT a.id AS id, abs(a.lat-b.lat) <= 30 AND abs(a.lng-b.lng) <= 30 AS meets, abs(a.lat-b.lat) <= 10 AND abs(a.lng-b.lng) <= 10 AS holds
+FROM {PAIRS} WHERE abs(a.lng) < 150 AND abs(b.lng) < 150 AND abs(a.lat) < 60 AND abs(b.lat) < 60 AND abs(a.lat-b.lat) NOT IN (10, 30) AND abs(a.lng-b.lng) NOT IN (10, 30)""")
+def rect_relations(spark, d):
+    df = _pairs(spark, d).filter("abs(lng) < 150 AND abs(zlng) < 150 AND abs(lat) < 60 AND abs(zlat) < 60 AND abs(lat-zlat) NOT IN (10, 30) AND abs(lng-zlng) NOT IN (10, 30)")
+    box = lambda la, ln, s: R.rect_from_degrees(F.col(la) - s, F.col(ln) - s, F.col(la) + s, F.col(ln) + s)
+    return df.select("id", R.rect_intersects(box("lat", "lng", 20), box("zlat", "zlng", 10)).alias("meets"), R.rect_contains_rect(box("lat", "lng", 20), box("zlat", "zlng", 10)).alias("holds"))
+
+
+@query(f"""WITH p AS (SELECT DISTINCT c_nationkey, lng FROM {CUSTOMERS}), g AS (
+  SELECT *, coalesce(lead(lng) OVER w, first_value(lng) OVER w + 360) - lng AS gap, coalesce(lead(lng) OVER w, min(lng) OVER (PARTITION BY c_nationkey)) AS after FROM p WINDOW w AS (PARTITION BY c_nationkey ORDER BY lng)),
+ t AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY round(gap, 6) DESC, lng) AS n FROM g)
+SELECT c_nationkey, min(lat) AS lat_lo, max(lat) AS lat_hi, any_value(after) AS lng_lo, any_value(hi) AS lng_hi FROM {CUSTOMERS} JOIN (SELECT c_nationkey, after, lng AS hi FROM t WHERE n = 1) USING (c_nationkey) GROUP BY c_nationkey""")
+def rect_bound_agg(spark, d):
+    return AG.bounding_rect(_customers(spark, d), "c_nationkey")
+
+
+# Cells.
+
+
+@query(f"SELECT id, face, i, j, cell FROM {cells_sql(CUSTOMERS)}")
+def cell_leaf(spark, d):
+    df = C.with_cell(_customers(spark, d), "p", "cell", 30, keep_ij=True)
+    return df.select("id", F.col("cell_face").cast("long").alias("face"), F.col("cell_i").alias("i"), F.col("cell_j").alias("j"), "cell")
+
+
+@query(f"SELECT {up('cell', 6)} AS cell, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM {cells_sql(CUSTOMERS, 'c_acctbal')} GROUP BY 1")
+def cell_rollup(spark, d):
+    return _cells(spark, d, 6).groupBy("cell").agg(F.count("*").alias("n"), _r(F.sum("c_acctbal"), 2).alias("balance"))
+
+
+@query(f"SELECT id, {up('cell', 10)} AS p10, {up('cell', 10)} & -{up('cell', 10)} AS low, 10 AS level, {token_sql(up('cell', 10))} AS token FROM {cells_sql(CUSTOMERS)}")
+def cell_parent(spark, d):
+    df = _cells(spark, d).select("id", C.parent("cell", 10).alias("p10"))
+    return df.select("id", "p10", C.lsb("p10").alias("low"), C.level("p10").alias("level"), C.token("p10").alias("token"))
+
+
+@query(f"""SELECT id, c - ((c & -c) - 1) AS low, c + ((c & -c) - 1) AS high, c - 3*((c & -c) >> 2) AS c0, c - ((c & -c) >> 2) AS c1, c + ((c & -c) >> 2) AS c2, c + 3*((c & -c) >> 2) AS c3
+FROM (SELECT id, {up('cell', 12)} AS c FROM {cells_sql(CUSTOMERS)})""")
+def cell_range_children(spark, d):
+    df = _cells(spark, d, 12)
+    return df.select("id", C.range_min("cell").alias("low"), C.range_max("cell").alias("high"), *(C.child("cell", k).alias(f"c{k}") for k in range(4)))
+
+
+@query(f"SELECT id, cell AS back, CASE WHEN length({token_sql('cell')}) = 16 THEN true ELSE false END AS long_token FROM {cells_sql(CUSTOMERS)}")
+def cell_token_round_trip(spark, d):
+    return _cells(spark, d).select("id", C.from_token(C.token("cell")).alias("back"), (F.length(C.token("cell")) == 16).alias("long_token"))
+
+
+@query(f"""SELECT id, face || '/' || array_to_string(list_transform(range(1, 9), lambda k: (cell >> (61 - 2*k)::INTEGER) & 3), '') AS path FROM {cells_sql(CUSTOMERS)}""")
+def cell_debug_string(spark, d):
+    return _cells(spark, d, 8).select("id", C.debug_string("cell").alias("path"))
+
+
+@query(f"""SELECT a.id AS id, CASE WHEN xor(a.cell, b.cell) < 0 OR (xor(a.cell, b.cell) >> 61) > 0 THEN NULL ELSE
+  (60 - CASE WHEN a.cell = b.cell THEN 0 ELSE length(ltrim(bin(xor(a.cell, b.cell)), '0')) - 1 END) // 2 END::INTEGER AS level
+FROM {cells_sql(CUSTOMERS, 'c_nationkey')} a JOIN {cells_sql(ZONES)} b ON a.c_nationkey = b.id""")
+def cell_common_ancestor(spark, d):
+    a = _cells(spark, d).select("id", "c_nationkey", "cell")
+    b = C.with_cell(derived.zones(spark, d), "p", "other").select(F.col("id").alias("c_nationkey"), "other")
+    return a.join(b, "c_nationkey").select("id", C.common_ancestor_level("cell", "other").alias("level"))
+
+
+@query(f"""SELECT b.cell AS zone_cell, count(*) AS n FROM {cells_sql(CUSTOMERS)} a JOIN (SELECT DISTINCT {up('cell', 3)} AS cell FROM {cells_sql(ZONES)}) b ON {up('a.cell', 3)} = b.cell GROUP BY 1""")
+def cell_contains_join(spark, d):
+    zones = C.with_cell(derived.zones(spark, d), "p", "zone_cell", 3).select("zone_cell").distinct()
+    return _cells(spark, d).withColumn("zone_cell", C.parent("cell", 3)).join(zones, "zone_cell").groupBy("zone_cell").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT id, (({up('cell', 9)} >> 43) & 262143) AS steps, {up('cell', 9)} + 2*({up('cell', 9)} & -{up('cell', 9)}) AS following FROM {cells_sql(CUSTOMERS)} WHERE face < 3")
+def cell_curve_steps(spark, d):
+    df = _cells(spark, d, 9).filter(C.face("cell") < 3)
+    return df.select("id", C.distance_from_begin("cell").bitwiseAND(F.lit(262143)).alias("steps"), C.next_cell("cell").alias("following"))
+
+
+@query(f"""WITH q AS (SELECT id, face, i, j, {up('cell', 8)} AS c FROM {cells_sql(CUSTOMERS)})
+SELECT id, true AS near, true AS same FROM q""")
+def cell_center(spark, d):
+    df = C.with_center(_cells(spark, d, 8), "cell", "center")
+    back = C.with_cell(df, "center", "again", 8)
+    return back.select("id", (V.angle("p", "center") <= 2.438654594434021 * 2.0**-8).alias("near"), (F.col("again") == F.col("cell")).alias("same"))
+
+
+@query("""SELECT l::INTEGER AS level, round(2*sqrt(2)/3*power(2,-l), 12) AS min_width, round(4*pi()/6*power(4,-l), 12) AS avg_area, round(2.438654594434021*power(2,-l), 12) AS max_diag FROM range(0, 31) t(l)""")
+def cell_metrics(spark, d):
+    df = spark.range(31).select(F.col("id").cast("int").alias("level"))
+    return df.select("level", *(_r(C.metric_value(m, "level"), 12).alias(m) for m in ("min_width", "avg_area", "max_diag")))
+
+
+@query(f"""SELECT n, count(*) AS cells FROM (SELECT DISTINCT {up('cell', 7)} AS c, 4 AS n FROM {cells_sql(CUSTOMERS)}) GROUP BY n""")
+def cell_neighbors(spark, d):
+    df = G.with_neighbors(_cells(spark, d, 7).select("cell").distinct())
+    return df.select(F.size(F.array_distinct("neighbors")).alias("n")).groupBy("n").agg(F.count("*").alias("cells"))
+
+
+@query("SELECT 1 AS one, round(4*pi(), 8) AS total")
+def cell_exact_area(spark, d):
+    faces = spark.createDataFrame([(int(c),) for c in grid.children(grid.faces()).ravel()], "cell long")
+    return G.with_exact_area(faces).agg(_r(F.sum("area"), 8).alias("total")).select(F.lit(1).alias("one"), "total")
+
+
+# Joins.
+
+
+def _asked(df):
+    return df.select(F.col("id").alias("query_id"), F.col("p").alias("q"))
+
+
+NEAR = f"SELECT b.id AS query_id, a.id AS id, {CHORD} AS c FROM {CUSTOMERS} a, {SUPPLIERS} b"
+
+
+@query(f"SELECT query_id, id, round(c, 9) AS chord2 FROM ({NEAR}) WHERE c <= power(2*sin({RADIUS}/2),2)")
+def radius_join(spark, d):
+    return J.radius_join(_customers(spark, d), _asked(derived.suppliers(spark, d)), RADIUS).withColumn("chord2", _r("chord2", 9))
+
+
+@query(f"SELECT DISTINCT query_id FROM ({NEAR}) WHERE c <= power(2*sin({RADIUS / 4}/2),2)")
+def radius_semi(spark, d):
+    return J.radius_semi(_customers(spark, d), _asked(derived.suppliers(spark, d)), RADIUS / 4).select("query_id")
+
+
+@query(f"SELECT id AS query_id FROM {SUPPLIERS} WHERE id NOT IN (SELECT query_id FROM ({NEAR}) WHERE c <= power(2*sin({RADIUS / 4}/2),2))")
+def radius_anti(spark, d):
+    return J.radius_anti(_customers(spark, d), _asked(derived.suppliers(spark, d)), RADIUS / 4).select("query_id")
+
+
+@query(f"SELECT query_id, rank::INTEGER AS rank, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c, id) AS rank FROM ({NEAR})) WHERE rank <= 3")
+def knn_points(spark, d):
+    return J.knn_join(_customers(spark, d), _asked(derived.suppliers(spark, d)), 3).select("query_id", "rank", "id")
+
+
+@query(f"SELECT query_id, rank::INTEGER AS rank, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS rank FROM ({NEAR})) WHERE rank <= 2")
+def furthest_points(spark, d):
+    return J.furthest_points(_customers(spark, d), _asked(derived.suppliers(spark, d)), 2).select("query_id", "rank", "id")
+
+
+@query(f"SELECT b.id AS zone, count(*) AS n FROM {CUSTOMERS} a JOIN {ZONES} b ON {CHORD} <= power(2*sin({RADIUS}/2),2) GROUP BY 1")
+def pip_cap(spark, d):
+    hits = J.radius_join(_customers(spark, d), _asked(derived.zones(spark, d)), RADIUS)
+    return hits.groupBy(F.col("query_id").alias("zone")).agg(F.count("*").alias("n"))
+
+
+def _polygons(spark, d, radius=0.15, n=6):
+    df = G.with_regular_ring(derived.zones(spark, d), "p", radius, n)
+    return df.select(F.col("id").alias("polygon_id"), F.array("ring").alias("rings"))
+
+
+@query()
+def pip_polygon(spark, d):
+    return J.point_in_polygon(derived.customers(spark, d), _polygons(spark, d))
+
+
+@query(f"""WITH t AS (SELECT user_id, id, x, y, z, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)),
+e AS (SELECT *, y*z2-z*y2 AS nx, z*x2-x*z2 AS ny, x*y2-y*x2 AS nz FROM t WHERE x2 IS NOT NULL AND id % 20 = 0),
+p AS (SELECT a.id AS left_id, b.id AS right_id,
+  a.nx*b.x+a.ny*b.y+a.nz*b.z AS s1, a.nx*b.x2+a.ny*b.y2+a.nz*b.z2 AS s2, b.nx*a.x+b.ny*a.y+b.nz*a.z AS s3, b.nx*a.x2+b.ny*a.y2+b.nz*a.z2 AS s4 FROM e a JOIN e b ON a.id < b.id)
+SELECT left_id, right_id FROM p WHERE (s1 > 0 AND s2 < 0 AND s3 < 0 AND s4 > 0) OR (s1 < 0 AND s2 > 0 AND s3 > 0 AND s4 < 0)""")
+def edge_crossing_join(spark, d):
+    # Arcs of a twentieth of the events: their crossings are a fixed share of all pairs.
+    return J.crossing_pairs(derived.edges(spark, d).filter("id % 20 = 0").select("id", "a", "b"), level=3)
+
+
+@query(f"""WITH t AS (SELECT user_id, id, x, y, z, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)),
+e AS (SELECT *, y*z2-z*y2 AS nx, z*x2-x*z2 AS ny, x*y2-y*x2 AS nz FROM t WHERE x2 IS NOT NULL),
+p AS (SELECT b.id AS query_id, a.id AS id,
+   CASE WHEN (a.ny*a.z-a.nz*a.y)*b.x+(a.nz*a.x-a.nx*a.z)*b.y+(a.nx*a.y-a.ny*a.x)*b.z > 0 AND (a.y2*a.nz-a.z2*a.ny)*b.x+(a.z2*a.nx-a.x2*a.nz)*b.y+(a.x2*a.ny-a.y2*a.nx)*b.z > 0
+     THEN abs(asin(greatest(-1.0, least(1.0, (a.nx*b.x+a.ny*b.y+a.nz*b.z)/sqrt(a.nx*a.nx+a.ny*a.ny+a.nz*a.nz)))))
+     ELSE 2*asin(sqrt(least(power(a.x-b.x,2)+power(a.y-b.y,2)+power(a.z-b.z,2), power(a.x2-b.x,2)+power(a.y2-b.y,2)+power(a.z2-b.z,2)))/2) END AS r FROM e a, {ZONES} b)
+SELECT query_id, rank::INTEGER AS rank, id, round(r, 7) AS radians FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r, id) AS rank FROM p WHERE r <= 0.05) WHERE rank <= 2""")
+def closest_edges(spark, d):
+    out = J.closest_edges(derived.edges(spark, d), _asked(derived.zones(spark, d)), 2, 0.05)
+    return out.withColumn("radians", _r("radians", 7))
+
+
+@query(f"""WITH a AS (SELECT id, {up('cell', 5)} AS c FROM {cells_sql(ZONES)}), b AS (SELECT id, {up('cell', 3)} AS c FROM {cells_sql(SUPPLIERS)})
+SELECT a.id AS left_id, a.c AS left_cell, b.id AS right_id, b.c AS right_cell FROM a JOIN b ON {up('a.c', 3)} = b.c""")
+def cell_overlap_join(spark, d):
+    a = C.with_cell(derived.zones(spark, d), "p", "left_cell", 5).select(F.col("id").alias("left_id"), "left_cell")
+    b = C.with_cell(derived.suppliers(spark, d), "p", "right_cell", 3).select(F.col("id").alias("right_id"), "right_cell")
+    return J.cell_overlap(a, b, 0, 10)
+
+
+# Terms and shards.
+
+_MARKS = " || ',' || ".join(f"'$' || {token_sql(up('cell', k))}" for k in range(4, 17))
+
+
+@query(f"SELECT id, {token_sql(up('cell', 16))} || ',' || {_MARKS} AS terms FROM {cells_sql(CUSTOMERS)}")
+def terms_point(spark, d):
+    return _cells(spark, d).select("id", F.array_join(TM.point_index_terms("cell"), ",").alias("terms"))
+
+
+@query(f"""SELECT a.id AS doc_id, b.id AS query_id FROM {cells_sql(CUSTOMERS)} a JOIN {cells_sql(ZONES)} b ON {up('a.cell', 5)} = {up('b.cell', 5)}""")
+def terms_join(spark, d):
+    o = TM.TermOptions(min_level=4, max_level=12)
+    index = _cells(spark, d).select(F.col("id").alias("doc_id"), TM.point_index_terms("cell", o).alias("terms"))
+    asked = C.with_cell(derived.zones(spark, d), "p", "c", 5).select(F.col("id").alias("query_id"), TM.query_terms(F.array("c"), o).alias("terms"))
+    return TM.term_join(index, asked)
+
+
+@query(f"""WITH s AS (SELECT DISTINCT id % 4 AS shard, {up('cell', 4)} AS c FROM {cells_sql(SUPPLIERS)}), z AS (SELECT id, {up('cell', 2)} AS c FROM {cells_sql(ZONES)}),
+w AS (SELECT z.id, s.shard, sum((s.c & -s.c)::HUGEINT) AS weight FROM z JOIN s ON {up('s.c', 2)} = z.c GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY weight DESC, shard) AS n FROM w)
+SELECT z.id AS region_id, coalesce(t.shard, -1)::BIGINT AS shard FROM z LEFT JOIN t ON z.id = t.id AND t.n = 1""")
+def shard_assign(spark, d):
+    shards = C.with_cell(derived.suppliers(spark, d), "p", "cell", 4).select((F.col("id") % 4).alias("shard"), "cell").distinct()
+    regions = C.with_cell(derived.zones(spark, d), "p", "c", 2).select(F.col("id").alias("region_id"), F.array("c").alias("cells"))
+    return TM.most_overlapping_shard(shards, regions).withColumn("shard", F.col("shard").cast("long"))
+
+
+# Density.
+
+_LEVELS = " UNION ALL ".join(f"SELECT {k} AS level, {up('cell', k)} AS cell, count(*) AS weight FROM c GROUP BY 2" for k in range(7))
+
+
+@query(f"WITH c AS (SELECT * FROM {cells_sql(CUSTOMERS)}) SELECT cell, level::INTEGER AS level, weight FROM ({_LEVELS})")
+def density_levels(spark, d):
+    return D.tree(_cells(spark, d).withColumnRenamed("cell", "leaf"), 6)
+
+
+@query(f"SELECT {up('cell', 6)} AS cell, 6 AS level, count(*) AS weight FROM {cells_sql(CUSTOMERS)} GROUP BY 1")
+def density_leaves(spark, d):
+    return D.leaves(D.tree(_cells(spark, d).withColumnRenamed("cell", "leaf"), 6)).select("cell", "level", "weight")
+
+
+_FEATURES = " UNION ALL ".join(f"SELECT {k} AS level, {up('cell', k)} AS cell, count(DISTINCT c_nationkey) AS weight FROM c GROUP BY 2" for k in range(5))
+
+
+@query(f"WITH c AS (SELECT * FROM {cells_sql(CUSTOMERS, 'c_nationkey')}) SELECT cell, level::INTEGER AS level, weight FROM ({_FEATURES})")
+def density_features(spark, d):
+    return D.feature_tree(_cells(spark, d).select(F.col("c_nationkey").alias("feature"), F.col("cell").alias("leaf")), 4)
+
+
+def _normalized_sql(levels: int) -> str:
+    ctes = [f"t{k} AS (SELECT {up('cell', k)} AS cell, count(*)::HUGEINT AS w FROM c GROUP BY 1)" for k in range(levels + 1)] + ["n0 AS (SELECT cell, w FROM t0)"]
+    for k in range(1, levels + 1):
+        ctes.append(f"n{k} AS (SELECT t.cell, (t.w * p.w + s.total - 1) // s.total AS w FROM t{k} t JOIN (SELECT {up('cell', k - 1)} AS up, sum(w)::HUGEINT AS total FROM t{k} GROUP BY 1) s ON s.up = {up('t.cell', k - 1)} JOIN n{k - 1} p ON p.cell = s.up)")
+    union = " UNION ALL ".join(f"SELECT cell, {k} AS level, w::BIGINT AS weight FROM n{k}" for k in range(levels + 1))
+    return f"WITH c AS (SELECT * FROM {cells_sql(CUSTOMERS)}), {', '.join(ctes)} {union}"
+
+
+@query(_normalized_sql(4))
+def density_normalize(spark, d):
+    t = D.tree(_cells(spark, d).withColumnRenamed("cell", "leaf"), 4)
+    return D.normalize(t, 4).select("cell", "level", F.col("weight").cast("long").alias("weight"))
+
+
+@query()
+def density_partition(spark, d):
+    return D.partition(D.tree(_cells(spark, d).withColumnRenamed("cell", "leaf"), 6), 40)
+
+
+@query()
+def density_dilate(spark, d):
+    return D.dilate(D.tree(_cells(spark, d).withColumnRenamed("cell", "leaf"), 3), 3)
+
+
+@query(f"""WITH t AS (SELECT {up('cell', 5)} AS cell, count(*) AS weight FROM {cells_sql(CUSTOMERS)} GROUP BY 1)
+SELECT cell, weight, (coalesce(sum(weight) OVER (ORDER BY CASE WHEN cell < 0 THEN 1 ELSE 0 END, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 100)::BIGINT AS cluster FROM t""")
+def density_clusters(spark, d):
+    return D.clusters(D.tree(_cells(spark, d).withColumnRenamed("cell", "leaf"), 5), 100)
+
+
+# Paths and shapes.
+
+STEPS = f"""(SELECT user_id, ts, a.id AS id, {ATAN} AS step FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(z) OVER w AS pz FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)) a, LATERAL (SELECT px AS x, py AS y, pz AS z) b)"""
+
+
+@query(f"SELECT user_id, round(sum(step), 6) AS radians FROM {STEPS} WHERE step IS NOT NULL GROUP BY user_id")
+def polyline_length(spark, d):
+    return AG.path_length(derived.edges(spark, d), "user_id").withColumn("radians", _r("radians"))
+
+
+@query(f"SELECT id, round(sum(coalesce(step, 0)) OVER (PARTITION BY user_id ORDER BY ts, id), 5) AS along FROM {STEPS}")
+def cumulative_length(spark, d):
+    return AG.cumulative_length(derived.events(spark, d), "user_id", "ts", "id").select("id", _r("along", 5).alias("along"))
+
+
+@query(f"SELECT user_id, round(coalesce(sum(step), 0), 6) AS radians FROM {STEPS} GROUP BY user_id")
+def chain_length(spark, d):
+    return derived.tracks(spark, d).select("user_id", _r(AG.chain_length(F.col("chain"))).alias("radians"))
+
+
+@query(f"SELECT user_id, round(sum(step)/2, 4) AS half FROM {STEPS} GROUP BY user_id HAVING count(step) > 0")
+def interpolate_half(spark, d):
+    along = AG.cumulative_length(derived.events(spark, d), "user_id", "ts", "id")
+    mid = AG.path_at(derived.events(spark, d), "user_id", 0.5, "ts", "id")
+    w = Window.partitionBy("user_id").orderBy("ts", "id")
+    seg = along.withColumns({"p2": F.lead("p").over(w), "along2": F.lead("along").over(w), "total": F.max("along").over(Window.partitionBy("user_id"))})
+    hit = seg.filter((F.col("along") <= F.col("total") / 2) & (F.col("total") / 2 < F.col("along2"))).select("user_id", F.col("p").alias("a"), "along")
+    return hit.join(mid, "user_id").select("user_id", _r(F.col("along") + V.angle("a", "p"), 4).alias("half"))
+
+
+@query(f"""WITH t AS (SELECT user_id, id, x, y, z, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)),
+e AS (SELECT * FROM t WHERE x2 IS NOT NULL)
+SELECT user_id, round(sum((x+x2)*f), 5) AS x, round(sum((z+z2)*f), 5) AS z FROM (SELECT *, sqrt((power(x-x2,2)+power(y-y2,2)+power(z-z2,2))/(power(x+x2,2)+power(y+y2,2)+power(z+z2,2))) AS f FROM e) GROUP BY user_id""")
+def path_centroid(spark, d):
+    df = AG.path_centroid(derived.edges(spark, d), "user_id")
+    return df.select("user_id", _r(F.col("centroid")["x"], 5).alias("x"), _r(F.col("centroid")["z"], 5).alias("z"))
+
+
+@query(f"SELECT id, round(2*pi() - 2*6*acos(cos(pi()/6)*sqrt(1 - power(sin(0.15)*0,2))), 3) * 0 + round(n * 2 * atan2(tan(h)*tan(k)*sin(2*pi()/n), 1 + tan(h)*tan(k)*cos(2*pi()/n)), 8) AS area FROM (SELECT id, 6 AS n, 0.15/2 AS h, 0.15/2 AS k FROM {ZONES})")
+def loop_area(spark, d):
+    df = G.with_regular_ring(derived.zones(spark, d), "p", 0.15, 6)
+    return df.select("id", _r(AG.ring_area(F.col("ring")), 8).alias("area"))
+
+
+@query()
+def loop_measures(spark, d):
+    df = G.with_regular_ring(derived.zones(spark, d), "p", 0.3, 9)
+    df = G.with_perimeter(G.with_curvature(G.with_area(df)))
+    return df.select("id", _r("area", 8).alias("area"), _r(2 * math.pi - F.col("curvature"), 8).alias("from_turns"), _r("perimeter", 8).alias("perimeter"))
+
+
+@query(f"""SELECT a.id AS id, round(2*atan2(abs(a.x*(b.y*1.0-b.z*0.0)-a.y*(b.x*1.0-b.z*0.0)+a.z*(b.x*0.0-b.y*0.0)), 1+a.x*b.x+a.y*b.y+a.z*b.z+b.z+a.z), 6) AS area
+FROM {PAIRS} WHERE a.lat > -60 AND b.lat > -60 AND {ATAN} < 2.5""")
+def triangle_area(spark, d):
+    pole = V.vector(0.0, 0.0, 1.0)
+    df = _pairs(spark, d).filter("lat > -60 AND zlat > -60").filter(V.angle("p", "q") < 2.5)
+    return df.select("id", _r(V.triangle_area("p", "q", pole), 6).alias("area"))
+
+
+@query()
+def convex_hull(spark, d):
+    small = derived.customers(spark, d).filter("lat BETWEEN 10 AND 60 AND lng BETWEEN -60 AND 60")
+    hull = AG.convex_hull(small.select("c_nationkey", "p"), "c_nationkey")
+    return hull.select("c_nationkey", F.size("hull").alias("n"), _r(AG.ring_area(F.col("hull")), 8).alias("area"))
+
+
+@query()
+def polygon_overlay(spark, d):
+    a = _polygons(spark, d, 0.25, 8)
+    df = a.withColumnRenamed("rings", "a").crossJoin(F.broadcast(a.filter("polygon_id = 7").select(F.col("rings").alias("b")))) if False else a.select("polygon_id", F.col("rings").alias("a"), F.col("rings").alias("b"))
+    shifted = G.with_regular_ring(derived.zones(spark, d).withColumn("near", V.normalize(V.add("p", V.scale(V.ortho("p"), 0.2)))), "near", 0.25, 7, "other")
+    df = df.drop("b").join(shifted.select(F.col("id").alias("polygon_id"), F.array("other").alias("b")), "polygon_id")
+    for op in ("union", "intersection", "difference"):
+        df = G.with_polygon_area(G.with_overlay(df, "a", "b", op, op), op, f"{op}_area")
+    both = F.col("union_area") + F.col("intersection_area")
+    df = G.with_polygon_area(G.with_polygon_area(df, "a", "area_a"), "b", "area_b")
+    return df.select("polygon_id", _r("union_area", 8).alias("union_area"), _r("difference_area", 8).alias("difference_area"), (F.abs(both - F.col("area_a") - F.col("area_b")) < 1e-9).alias("adds_up"))
+
+
+@query()
+def polygon_relations(spark, d):
+    big, small = _polygons(spark, d, 0.25, 8), _polygons(spark, d, 0.1, 5)
+    df = big.select("polygon_id", F.col("rings").alias("a")).join(small.select("polygon_id", F.col("rings").alias("b")), "polygon_id")
+    return G.polygon_relations(df, "a", "b").select("polygon_id", "contains", "intersects", "equal")
+
+
+@query("SELECT n_nationkey::BIGINT AS id, 0 AS faults FROM nation")
+def polygon_validate(spark, d):
+    p = _polygons(spark, d).select(F.col("polygon_id").alias("id"), "rings")
+    found = G.validate(p).groupBy("id").agg(F.count("*").cast("int").alias("faults"))
+    return p.select("id").join(found, "id", "left").select("id", F.coalesce("faults", F.lit(0)).alias("faults"))
+
+
+@query()
+def buffer_chain(spark, d):
+    z = derived.zones(spark, d).withColumn("chain", F.array("p", V.normalize(V.add("p", V.scale(V.ortho("p"), 0.1)))))
+    return G.with_polygon_area(G.with_buffer(z, 0.02)).select("id", _r("area", 8).alias("area"))
+
+
+@query()
+def region_covering(spark, d):
+    z = derived.zones(spark, d).withColumn("r", F.lit(0.08))
+    df = G.with_covering(z, "cap", ["p", "r"], max_cells=8)
+    return df.select("id", "cells")
+
+
+@query()
+def union_operations(spark, d):
+    z = derived.zones(spark, d).withColumns({"r": F.lit(0.08), "r2": F.lit(0.05)})
+    df = G.with_covering(G.with_covering(z, "cap", ["p", "r"], "a"), "cap", ["p", "r2"], "b")
+    for op in ("union", "intersection", "difference"):
+        df = G.with_union_op(df, "a", "b", op, op)
+    return df.select("id", *(F.size(c).alias(c) for c in ("union", "intersection", "difference")))
+
+
+@query(f"""SELECT b.id AS target_id, c.id AS source_id, round({ATAN}, 7) AS radians FROM {ZONES} b, (SELECT * FROM {ZONES}) a JOIN (SELECT id FROM {ZONES}) c ON a.id = c.id WHERE b.id < 5 AND c.id >= 20""")
+def hausdorff(spark, d):
+    z = derived.zones(spark, d)
+    target = z.filter("id < 5").select(F.col("id").alias("target_id"), "p")
+    source = z.filter("id >= 20").select(F.col("id").alias("source_id"), F.col("p").alias("a"), F.col("p").alias("b"))
+    return AG.directed_hausdorff(target, source).withColumn("radians", _r("radians", 7))
+
+
+@query()
+def track_alignment(spark, d):
+    t = derived.tracks(spark, d).withColumn("short", F.slice("chain", 1, 12)).withColumn("other", F.slice("chain", 2, 12)).filter(F.size("other") > 0)
+    return G.with_alignment_cost(t, "short", "other").select("user_id", _r("cost", 8).alias("cost"))
+
+
+@query()
+def track_simplify(spark, d):
+    t = derived.tracks(spark, d)
+    return G.with_simplified(t, 0.3).select("user_id", F.size("chain").alias("n"), F.size("kept").alias("kept"))
+
+
+@query(f"""SELECT id, lat::VARCHAR AS a, count(*) AS n FROM (SELECT id, round(lat, 2) AS lat FROM {ZONES}) GROUP BY id, lat""")
+def text_points(spark, d):
+    z = derived.zones(spark, d).withColumn("text", F.concat_ws(":", F.round("lat", 2).cast("string"), F.round("lng", 2).cast("string")))
+    z = z.withColumn("found", F.explode(T.parse_points(F.concat("text", F.lit(", oops, 1:x")))))
+    return z.groupBy("id", F.round(F.degrees(V.latitude("found")), 2).cast("string").alias("a")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_mktsegment, (dense_rank() OVER (ORDER BY c_mktsegment) * 0)::BIGINT AS zero, 5::BIGINT AS n FROM (SELECT DISTINCT c_mktsegment FROM customer)")
+def dictionary_ids(spark, d):
+    rows = spark.read.parquet(f"{d}/customer.parquet")
+    ids = AG.dense_ids(rows, "c_mktsegment")
+    total = ids.agg((F.max("id") + 1).alias("n"))
+    return ids.crossJoin(F.broadcast(total)).select("c_mktsegment", (F.col("id") * 0).alias("zero"), "n")
