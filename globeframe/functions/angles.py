@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
 from .vectors import _c
 
 INFINITE = float("inf")
@@ -22,6 +23,7 @@ def from_e(value, digits: int) -> Column:
     return F.radians(_c(value).cast("double") * 10.0**-digits)
 
 
+@let
 def normalized(radians) -> Column:
     """In (-pi, pi]."""
     x = _c(radians)
@@ -40,6 +42,7 @@ def chord_to_angle(chord) -> Column:
     return F.when(c < 0, -1.0).when(c == INFINITE, INFINITE).otherwise(2 * F.asin(F.sqrt(c) / 2))
 
 
+@let
 def chord_add(a, b) -> Column:
     """Chord of the sum of two angles, at most a half turn."""
     a, b = _c(a), _c(b)
@@ -48,6 +51,7 @@ def chord_add(a, b) -> Column:
     return F.when(b == 0, a).when(a + b >= 4, 4.0).otherwise(both)
 
 
+@let
 def chord_subtract(a, b) -> Column:
     a, b = _c(a), _c(b)
     x, y = a * (1 - b / 4), b * (1 - a / 4)

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
 from .vectors import _c
 
 PI = math.pi
@@ -64,6 +65,7 @@ def r_intersects(a, b) -> Column:
     return F.when(alo <= blo, (blo <= ahi) & (blo <= bhi)).otherwise((alo <= bhi) & (alo <= ahi))
 
 
+@let
 def r_union(a, b) -> Column:
     (alo, ahi), (blo, bhi) = _b(a), _b(b)
     both = interval(F.least(alo, blo), F.greatest(ahi, bhi))
@@ -75,6 +77,7 @@ def r_intersection(a, b) -> Column:
     return interval(F.greatest(alo, blo), F.least(ahi, bhi))
 
 
+@let
 def r_expanded(i, margin) -> Column:
     lo, hi = _b(i)
     return F.when(r_is_empty(i), _c(i)).otherwise(interval(lo - _c(margin), hi + _c(margin)))
@@ -96,18 +99,21 @@ def r_hausdorff(a, b) -> Column:
     return F.when(r_is_empty(a), 0.0).when(r_is_empty(b), float("inf")).otherwise(far)
 
 
+@let
 def s_make(lo, hi) -> Column:
     """The circle's interval from two ends, -pi taken as pi but in the full and empty ones."""
     lo, hi = _c(lo), _c(hi)
     return interval(F.when((lo == -PI) & (hi != PI), PI).otherwise(lo), F.when((hi == -PI) & (lo != PI), PI).otherwise(hi))
 
 
+@let
 def s_from_pair(a, b) -> Column:
     """The shorter arc between two points of the circle."""
     a, b = (F.when(_c(x) == -PI, PI).otherwise(_c(x)) for x in (a, b))
     return F.when(s_distance(a, b) <= PI, interval(a, b)).otherwise(interval(b, a))
 
 
+@let
 def s_distance(a, b) -> Column:
     """From a counterclockwise to b, in [0, 2 pi)."""
     d = _c(b) - _c(a)
@@ -129,6 +135,7 @@ def s_is_inverted(i) -> Column:
     return lo > hi
 
 
+@let
 def s_length(i) -> Column:
     """Negative for the empty interval."""
     lo, hi = _b(i)
@@ -137,18 +144,21 @@ def s_length(i) -> Column:
     return F.when(n >= 0, n).when(turned > 0, turned).otherwise(-1.0)
 
 
+@let
 def s_center(i) -> Column:
     lo, hi = _b(i)
     c = (lo + hi) / 2
     return F.when(~s_is_inverted(i), c).otherwise(F.when(c <= 0, c + PI).otherwise(c - PI))
 
 
+@let
 def s_contains(i, x) -> Column:
     lo, hi = _b(i)
     x = F.when(_c(x) == -PI, PI).otherwise(_c(x))
     return F.when(s_is_inverted(i), ((x >= lo) | (x <= hi)) & ~s_is_empty(i)).otherwise((x >= lo) & (x <= hi))
 
 
+@let
 def s_contains_interval(a, b) -> Column:
     (alo, ahi), (blo, bhi) = _b(a), _b(b)
     wide = F.when(s_is_inverted(b), (blo >= alo) & (bhi <= ahi) & ~s_is_empty(a)).otherwise(((blo >= alo) | (bhi <= ahi)) & ~s_is_empty(a))
@@ -156,6 +166,7 @@ def s_contains_interval(a, b) -> Column:
     return F.when(s_is_inverted(a), wide).otherwise(plain)
 
 
+@let
 def s_intersects(a, b) -> Column:
     (alo, ahi), (blo, bhi) = _b(a), _b(b)
     either = s_is_inverted(b) | (blo <= ahi) | (bhi >= alo)
@@ -168,6 +179,7 @@ def s_complement(i) -> Column:
     return F.when(lo == hi, interval(*S_FULL)).otherwise(interval(hi, lo))
 
 
+@let
 def s_union(a, b) -> Column:
     """The smallest interval that holds both."""
     (alo, ahi), (blo, bhi) = _b(a), _b(b)
@@ -182,6 +194,7 @@ def s_union(a, b) -> Column:
     )
 
 
+@let
 def s_intersection(a, b) -> Column:
     """Where that would be two pieces, the shorter of the inputs."""
     (alo, ahi), (blo, bhi) = _b(a), _b(b)
@@ -195,6 +208,7 @@ def s_intersection(a, b) -> Column:
     )
 
 
+@let
 def s_expanded(i, margin) -> Column:
     lo, hi = _b(i)
     m = _c(margin)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import angles as A
 from . import intervals as I
 from . import vectors as V
+from .bind import let
 from .vectors import _c
 
 PI = math.pi
@@ -60,32 +61,38 @@ def cap_interior_contains(c, p) -> Column:
     return cap_is_full(c) | (V.chord2(_c(c)["center"], p) < _c(c)["l2"])
 
 
+@let
 def cap_contains_cap(a, b) -> Column:
     d = A.chord_add(V.chord2(_c(a)["center"], _c(b)["center"]), _c(b)["l2"])
     return cap_is_full(a) | cap_is_empty(b) | (_c(a)["l2"] >= d)
 
 
+@let
 def cap_intersects(a, b) -> Column:
     reach = A.chord_add(_c(a)["l2"], _c(b)["l2"])
     return ~cap_is_empty(a) & ~cap_is_empty(b) & (reach >= V.chord2(_c(a)["center"], _c(b)["center"]))
 
 
+@let
 def cap_complement(c) -> Column:
     l2 = F.when(cap_is_full(c), -1.0).when(cap_is_empty(c), 4.0).otherwise(4 - _c(c)["l2"])
     return cap_from_chord(V.scale(_c(c)["center"], -1.0), l2)
 
 
+@let
 def cap_expanded(c, radians) -> Column:
     grown = A.chord_add(_c(c)["l2"], A.chord_from_angle(radians))
     return F.when(cap_is_empty(c), _c(c)).otherwise(cap_from_chord(_c(c)["center"], grown))
 
 
+@let
 def cap_add_point(c, p) -> Column:
     """The smallest disc of the same centre with p; an empty one becomes p."""
     grown = cap_from_chord(_c(c)["center"], F.greatest(_c(c)["l2"], V.chord2(_c(c)["center"], p)))
     return F.when(cap_is_empty(c), cap_from_chord(p, 0.0)).otherwise(grown)
 
 
+@let
 def cap_union(a, b) -> Column:
     """The smallest disc that holds both."""
     ra, rb = cap_radius(a), cap_radius(b)
@@ -97,12 +104,14 @@ def cap_union(a, b) -> Column:
     return F.when(cap_is_empty(a), _c(b)).when(cap_is_empty(b), _c(a)).otherwise(out)
 
 
+@let
 def cap_centroid(c) -> Column:
     """Centre of mass times area."""
     r = 1 - 0.5 * cap_height(c)
     return F.when(cap_is_empty(c), V.vector(0.0, 0.0, 0.0)).otherwise(V.scale(_c(c)["center"], r * cap_area(c)))
 
 
+@let
 def cap_rect(c) -> Column:
     """Bounding rectangle: all longitudes where the disc holds a pole."""
     center, r = _c(c)["center"], cap_radius(c)
@@ -134,6 +143,7 @@ def rect_from_degrees(lat_lo, lng_lo, lat_hi, lng_hi) -> Column:
     return rect(I.interval(r(lat_lo), r(lat_hi)), I.s_make(r(lng_lo), r(lng_hi)))
 
 
+@let
 def rect_from_center_size(lat, lng, lat_size, lng_size) -> Column:
     """From a centre and full sizes, all in radians, cut at the poles."""
     lats = I.r_intersection(I.interval(_c(lat) - _c(lat_size) / 2, _c(lat) + _c(lat_size) / 2), I.interval(-PI / 2, PI / 2))
@@ -149,29 +159,35 @@ def rect_is_full(r) -> Column:
     return (lat["lo"] == -PI / 2) & (lat["hi"] == PI / 2) & I.s_is_full(_c(r)["lng"])
 
 
+@let
 def rect_contains(r, lat, lng) -> Column:
     """Positions in radians; one out of range is in no rectangle."""
     valid = (F.abs(_c(lat)) <= PI / 2) & (F.abs(_c(lng)) <= PI)
     return valid & I.r_contains(_c(r)["lat"], lat) & I.s_contains(_c(r)["lng"], lng)
 
 
+@let
 def rect_contains_rect(a, b) -> Column:
     return I.r_contains_interval(_c(a)["lat"], _c(b)["lat"]) & I.s_contains_interval(_c(a)["lng"], _c(b)["lng"])
 
 
+@let
 def rect_intersects(a, b) -> Column:
     return I.r_intersects(_c(a)["lat"], _c(b)["lat"]) & I.s_intersects(_c(a)["lng"], _c(b)["lng"])
 
 
+@let
 def rect_union(a, b) -> Column:
     return rect(I.r_union(_c(a)["lat"], _c(b)["lat"]), I.s_union(_c(a)["lng"], _c(b)["lng"]))
 
 
+@let
 def rect_intersection(a, b) -> Column:
     lat, lng = I.r_intersection(_c(a)["lat"], _c(b)["lat"]), I.s_intersection(_c(a)["lng"], _c(b)["lng"])
     return F.when(I.r_is_empty(lat) | I.s_is_empty(lng), empty_rect()).otherwise(rect(lat, lng))
 
 
+@let
 def rect_area(r) -> Column:
     lat = _c(r)["lat"]
     return F.when(rect_is_empty(r), 0.0).otherwise(I.s_length(_c(r)["lng"]) * F.abs(F.sin(lat["hi"]) - F.sin(lat["lo"])))
@@ -181,18 +197,21 @@ def rect_center(r) -> tuple[Column, Column]:
     return I.r_center(_c(r)["lat"]), I.s_center(_c(r)["lng"])
 
 
+@let
 def rect_polar_closure(r) -> Column:
     lat = _c(r)["lat"]
     touches = (lat["lo"] == -PI / 2) | (lat["hi"] == PI / 2)
     return F.when(touches, rect(lat, I.interval(*I.S_FULL))).otherwise(_c(r))
 
 
+@let
 def rect_expanded(r, lat_margin, lng_margin) -> Column:
     lat = I.r_intersection(I.r_expanded(_c(r)["lat"], lat_margin), I.interval(-PI / 2, PI / 2))
     lng = I.s_expanded(_c(r)["lng"], lng_margin)
     return F.when(I.r_is_empty(lat) | I.s_is_empty(lng), empty_rect()).otherwise(rect(lat, lng))
 
 
+@let
 def rect_add_point(r, lat, lng) -> Column:
     lngs = _c(r)["lng"]
     turned = F.when(I.s_contains(lngs, lng), lngs).when(I.s_is_empty(lngs), I.interval(lng, lng))

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .bind import let
+
 #: The far reference point of parity tests, and the vector that makes
 #: an orthogonal direction with no zero component.
 ORIGIN = (-0.00999946643502502, 0.002592454260932412, 0.999946643502502)
@@ -74,6 +76,7 @@ def norm(a) -> Column:
     return F.sqrt(norm2(a))
 
 
+@let
 def normalize(a) -> Column:
     """Unit vector; the zero vector becomes the far reference point."""
     n = norm(a)
@@ -84,6 +87,7 @@ def is_unit(a) -> Column:
     return F.abs(norm2(a) - 1) <= 5 * 2.0**-52
 
 
+@let
 def angle(a, b) -> Column:
     """atan2(|a x b|, a.b): exact to rounding at all distances."""
     return F.atan2(norm(cross(a, b)), dot(a, b))
@@ -94,10 +98,12 @@ def chord2(a, b) -> Column:
     return F.least(F.lit(4.0), norm2(subtract(a, b)))
 
 
+@let
 def stable_angle(a, b) -> Column:
     return 2 * F.atan2(norm(subtract(a, b)), norm(add(a, b)))
 
 
+@let
 def ortho(a) -> Column:
     """Unit vector orthogonal to a: across from the axis where a is largest."""
     x, y, z = (F.abs(v) for v in xyz(a))
@@ -107,18 +113,21 @@ def ortho(a) -> Column:
     return normalize(cross(a, turn))
 
 
+@let
 def robust_cross(a, b) -> Column:
     """2 (a x b) by (a + b) x (b - a); an orthogonal vector where the two are parallel."""
     out = cross(add(a, b), subtract(b, a))
     return F.when(norm2(out) > 0, out).otherwise(ortho(a))
 
 
+@let
 def rotate(p, axis, radians) -> Column:
     """p turned about a unit axis."""
     c, s = F.cos(_c(radians)), F.sin(_c(radians))
     return normalize(add(add(scale(p, c), scale(cross(axis, p), s)), scale(axis, dot(axis, p) * (1 - c))))
 
 
+@let
 def interpolate(a, b, t) -> Column:
     """The point a fraction t along the shorter arc from a to b."""
     d = angle(a, b)
@@ -127,6 +136,7 @@ def interpolate(a, b, t) -> Column:
     return F.when(s > 0, normalize(mid)).otherwise(_c(a))
 
 
+@let
 def at_distance(a, b, radians) -> Column:
     """The point at a distance from a towards b, or beyond it."""
     tangent = normalize(cross(cross(a, b), a))
@@ -138,6 +148,7 @@ def ccw(a, b, c) -> Column:
     return dot(cross(c, a), b) > 0
 
 
+@let
 def triangle_area(a, b, c) -> Column:
     """Area by half sides (l'Huilier), or by angles where the triangle is a sliver."""
     sa, sb, sc = stable_angle(b, c), stable_angle(c, a), stable_angle(a, b)
@@ -148,22 +159,26 @@ def triangle_area(a, b, c) -> Column:
     return F.when((s >= 3e-4) & thin & (girard_area(a, b, c) < s * 0.1), girard_area(a, b, c)).otherwise(sides)
 
 
+@let
 def girard_area(a, b, c) -> Column:
     ab, bc, ac = robust_cross(a, b), robust_cross(b, c), robust_cross(a, c)
     return F.greatest(F.lit(0.0), angle(ab, ac) - angle(ab, bc) + angle(bc, ac))
 
 
+@let
 def turn_angle(a, b, c) -> Column:
     """Exterior angle at b, positive for a left turn."""
     size = angle(robust_cross(a, b), robust_cross(b, c))
     return F.when(ccw(a, b, c), size).otherwise(-size)
 
 
+@let
 def inner_angle(a, b, c) -> Column:
     """Angle at b between the arcs to a and to c."""
     return angle(robust_cross(a, b), robust_cross(c, b))
 
 
+@let
 def true_centroid(a, b, c) -> Column:
     """Centroid of a triangle times its area: solves for equal weighted sides."""
     ratio = lambda p, q: F.when(angle(p, q) == 0, 1.0).otherwise(angle(p, q) / F.sin(angle(p, q)))
@@ -176,6 +191,7 @@ def true_centroid(a, b, c) -> Column:
     return scale(vector(dot(cross(y, z), r), dot(cross(z, x), r), dot(cross(x, y), r)), 0.5)
 
 
+@let
 def edge_centroid(a, b) -> Column:
     """Centroid of an arc times its length."""
     n2 = norm2(subtract(a, b))
@@ -196,6 +212,7 @@ def _foot_inside(x, a, b) -> Column:
     return (dot(cross(m, a), x) > 0) & (dot(cross(b, m), x) > 0)
 
 
+@let
 def segment_distance(x, a, b) -> Column:
     """Angle from x to the nearest point of the arc ab."""
     m = normalize(robust_cross(a, b))
@@ -204,12 +221,14 @@ def segment_distance(x, a, b) -> Column:
     return F.when(norm2(subtract(a, b)) == 0, ends).otherwise(F.when(_foot_inside(x, a, b), plane).otherwise(ends))
 
 
+@let
 def segment_max_distance(x, a, b) -> Column:
     """Angle from x to the farthest point of the arc ab."""
     far = F.greatest(angle(x, a), angle(x, b))
     return F.when(far > math.pi / 2, math.pi - segment_distance(scale(x, -1.0), a, b)).otherwise(far)
 
 
+@let
 def project(x, a, b) -> Column:
     """Nearest point of the arc ab to x."""
     m = normalize(robust_cross(a, b))
@@ -218,6 +237,7 @@ def project(x, a, b) -> Column:
     return F.when((norm2(subtract(a, b)) > 0) & _foot_inside(x, a, b), foot).otherwise(end)
 
 
+@let
 def distance_fraction(x, a, b) -> Column:
     """How far x is between a and b, 0 to 1."""
     d0, d1 = angle(x, a), angle(x, b)

@@ -135,7 +135,7 @@ def chord_arithmetic(spark, d):
     return df.select("id", _r(A.chord_add("a", "b"), 8).alias("total"), _r(A.chord_subtract("a", "b"), 8).alias("less"))
 
 
-@query(f"SELECT id, round(x, 9) AS x, round(y, 9) AS y, round(z, 9) AS z FROM {CUSTOMERS}")
+@query(f"SELECT id, round(x, 9) + 0.0 AS x, round(y, 9) + 0.0 AS y, round(z, 9) + 0.0 AS z FROM {CUSTOMERS}")
 def point_from_latlng(spark, d):
     return _customers(spark, d).select("id", *(_r(F.col("p")[c], 9).alias(c) for c in "xyz"))
 
