@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..kernels import grid
 from . import vectors as V
+from .bind import let
 from .vectors import _c
 
 MIN_LONG = -(2**63)
@@ -96,6 +97,7 @@ def is_valid(cell) -> Column:
     return (face(c) < 6) & (lsb(safe).bitwiseAND(F.lit(0x1555555555555555)) != 0)
 
 
+@let
 def parent(cell, at_level=None) -> Column:
     """The ancestor at a level, or the parent."""
     one = F.shiftleft(lsb(cell), 2) if at_level is None else level_lsb(at_level)
@@ -154,6 +156,7 @@ def distance_from_begin(cell) -> Column:
     return F.call_function("shiftrightunsigned", _c(cell), shift)
 
 
+@let
 def common_ancestor_level(a, b) -> Column:
     """Level of the smallest cell with both, null on different faces."""
     bits = _c(a).bitwiseXOR(_c(b))
@@ -169,6 +172,7 @@ def token(cell) -> Column:
     return F.when(_c(cell) == 0, "X").otherwise(F.rtrim(F.lower(F.lpad(F.hex(_c(cell)), 16, "0")), F.lit("0")))
 
 
+@let
 def from_token(text) -> Column:
     """The id of a token; 0 where it is none."""
     t = _c(text)
@@ -217,52 +221,96 @@ def st_to_ij(s) -> Column:
 
 
 def _table(values) -> Column:
-    return F.lit([int(v) for v in values]) if False else F.expr(f"array({','.join(str(int(v)) for v in values)})")
+    return F.expr(f"array({','.join(str(int(v)) for v in values)})")
 
 
-def with_cell(df: DataFrame, p, name: str = "cell", level: int = 30, keep_ij: bool = False) -> DataFrame:
-    """Adds the id of the cell of a level at point p.
+#: The bytes of a position from the highest: each holds four levels of the curve.
+_BYTES = "array(7, 6, 5, 4, 3, 2, 1, 0)"
+
+
+def _shift(value: Column, bits: Column) -> Column:
+    return F.call_function("shiftright", value, bits.cast("int"))
 
-    Eight projections, each turning four levels of (i, j) into a byte of position; all in
-    whole-stage codegen.
+
+@let
+def leaf_at(face_col, i, j) -> Column:
+    """The leaf cell of a face and (i, j): a fold that turns four levels at a time into a byte.
+
+    A fold names its inputs once, so a filter or join that Catalyst pushes through the
+    column copies a small tree, where a chain of projections would double at each step.
     """
-    t = f"__{name}_"
-    df = df.withColumn(t + "p", _c(p)).withColumn(t + "f", face_of(t + "p"))
-    u, v = uv_of(F.col(t + "f"), t + "p")
-    df = df.withColumns({t + "i": st_to_ij(uv_to_st(u)), t + "j": st_to_ij(uv_to_st(v))})
-    df = df.withColumns({t + "o": F.col(t + "f").cast("long").bitwiseAND(F.lit(1)), t + "n": F.lit(0).cast("long")})
-    table = _table(grid.FORWARD)
-    for k in range(7, -1, -1):
-        nibble = lambda c, k=k: F.shiftright(F.col(t + c), 4 * k).bitwiseAND(F.lit(15))
-        key = F.shiftleft(nibble("i"), 6).bitwiseOR(F.shiftleft(nibble("j"), 2)).bitwiseOR(F.col(t + "o"))
-        df = df.withColumn(t + "g", F.element_at(table, (key + 1).cast("int")).cast("long"))
-        df = df.withColumns({t + "n": F.shiftleft(F.col(t + "n"), 8).bitwiseOR(F.shiftright(F.col(t + "g"), 2)), t + "o": F.col(t + "g").bitwiseAND(F.lit(3))})
-    leaf = F.shiftleft(F.col(t + "f").cast("long"), 61).bitwiseOR(F.shiftleft(F.col(t + "n"), 1)).bitwiseOR(F.lit(1))
-    df = df.withColumn(name, leaf if level == 30 else parent(leaf, level))
+    f, i, j = _c(face_col).cast("long"), _c(i), _c(j)
+    start = F.struct(F.lit(0).cast("long").alias("n"), f.bitwiseAND(F.lit(1)).alias("o"))
+
+    def step(state: Column, k: Column) -> Column:
+        nibble = lambda c: _shift(c, 4 * k).bitwiseAND(F.lit(15))
+        key = F.shiftleft(nibble(i), 6).bitwiseOR(F.shiftleft(nibble(j), 2)).bitwiseOR(state["o"])
+        got = F.element_at(_table(grid.FORWARD), (key + 1).cast("int")).cast("long")
+        return F.struct(F.shiftleft(state["n"], 8).bitwiseOR(F.shiftright(got, 2)).alias("n"), got.bitwiseAND(F.lit(3)).alias("o"))
+
+    place = F.aggregate(F.expr(_BYTES), start, step, lambda state: state["n"])
+    return F.shiftleft(f, 61).bitwiseOR(F.shiftleft(place, 1)).bitwiseOR(F.lit(1))
+
+
+@let
+def face_ij(p) -> Column:
+    """face, i and j of a point, as a struct."""
+    return _face_ij(p, face_of(p))
+
+
+@let
+def _face_ij(p, f) -> Column:
+    u, v = uv_of(_c(f), p)
+    return F.struct(_c(f).alias("face"), st_to_ij(uv_to_st(u)).alias("i"), st_to_ij(uv_to_st(v)).alias("j"))
+
+
+@let
+def _leaf_of(place) -> Column:
+    return leaf_at(_c(place)["face"], _c(place)["i"], _c(place)["j"])
+
+
+@let
+def _center_of(cell, place) -> Column:
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), (30 - level(cell)).cast("int"))
+    mid = lambda a: st_to_uv((_c(place)[a].bitwiseAND(-size) + size / 2) / grid.SIZE)
+    return _project(face(cell), mid("i"), mid("j"))
+
+
+@let
+def _project(f, u, v) -> Column:
+    return V.normalize(uv_to_xyz(f, u, v))
+
+
+@let
+def ij_of(cell) -> Column:
+    """i and j of a leaf of the cell, as a struct: the fold backwards."""
+    rest = F.shiftright(_c(cell), 1).bitwiseAND(F.lit((1 << 60) - 1))
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("i"), zero.alias("j"), face(cell).cast("long").bitwiseAND(F.lit(1)).alias("o"))
+
+    def step(state: Column, k: Column) -> Column:
+        key = F.shiftleft(_shift(rest, 8 * k).bitwiseAND(F.lit(255)), 2).bitwiseOR(state["o"])
+        got = F.element_at(_table(grid.BACK), (key + 1).cast("int")).cast("long")
+        i = F.shiftleft(state["i"], 4).bitwiseOR(F.shiftright(got, 6))
+        j = F.shiftleft(state["j"], 4).bitwiseOR(F.shiftright(got, 2).bitwiseAND(F.lit(15)))
+        return F.struct(i.alias("i"), j.alias("j"), got.bitwiseAND(F.lit(3)).alias("o"))
+
+    return F.aggregate(F.expr(_BYTES), start, step, lambda state: F.struct(state["i"].alias("i"), state["j"].alias("j")))
+
+
+def with_cell(df: DataFrame, p, name: str = "cell", level: int = 30, keep_ij: bool = False) -> DataFrame:
+    """Adds the id of the cell of a level at point p."""
+    place = face_ij(p)
+    leaf = _leaf_of(place)
+    out = {name: leaf if level == 30 else parent(leaf, level)}
     if keep_ij:
-        df = df.withColumns({f"{name}_face": F.col(t + "f"), f"{name}_i": F.col(t + "i"), f"{name}_j": F.col(t + "j")})
-    return df.drop(*(t + c for c in "pfijong"))
+        out |= {f"{name}_face": place["face"], f"{name}_i": place["i"], f"{name}_j": place["j"]}
+    return df.withColumns(out)
 
 
 def with_center(df: DataFrame, cell, name: str = "center") -> DataFrame:
-    """Adds the unit vector at a cell's centre: the chain backwards."""
-    t = f"__{name}_"
-    df = df.withColumn(t + "c", _c(cell)).withColumns({t + "f": face(t + "c"), t + "i": F.lit(0).cast("long"), t + "j": F.lit(0).cast("long")})
-    df = df.withColumns({t + "o": F.col(t + "f").cast("long").bitwiseAND(F.lit(1)), t + "n": F.shiftright(F.col(t + "c"), 1).bitwiseAND(F.lit((1 << 60) - 1))})
-    table = _table(grid.BACK)
-    for k in range(7, -1, -1):
-        key = F.shiftleft(F.shiftright(F.col(t + "n"), 8 * k).bitwiseAND(F.lit(255)), 2).bitwiseOR(F.col(t + "o"))
-        df = df.withColumn(t + "g", F.element_at(table, (key + 1).cast("int")).cast("long"))
-        df = df.withColumns({
-            t + "i": F.shiftleft(F.col(t + "i"), 4).bitwiseOR(F.shiftright(F.col(t + "g"), 6)),
-            t + "j": F.shiftleft(F.col(t + "j"), 4).bitwiseOR(F.shiftright(F.col(t + "g"), 2).bitwiseAND(F.lit(15))),
-            t + "o": F.col(t + "g").bitwiseAND(F.lit(3)),
-        })
-    size = F.call_function("shiftleft", F.lit(1).cast("long"), (30 - level(t + "c")).cast("int"))
-    mid = lambda a: st_to_uv((F.col(t + a).bitwiseAND(-size) + size / 2) / grid.SIZE)
-    df = df.withColumns({t + "u": mid("i"), t + "v": mid("j")})
-    df = df.withColumn(name, V.normalize(uv_to_xyz(F.col(t + "f"), F.col(t + "u"), F.col(t + "v"))))
-    return df.drop(*(t + c for c in "cfijonguv"))
+    """Adds the unit vector at a cell's centre."""
+    return df.withColumn(name, _center_of(cell, ij_of(cell)))
 
 
 def uv_to_xyz(face_col, u, v) -> Column:
