@@ -68,7 +68,9 @@ def lsb(cell) -> Column:
 
 
 def level_lsb(level) -> Column:
-    return F.lit(1).cast("long") if level == 30 else F.lit(1 << (2 * (30 - level))).cast("long") if isinstance(level, int) else F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(60) - 2 * _c(level)).cast("int"))
+    if isinstance(level, int):
+        return F.lit(1 << (2 * (30 - level))).cast("long")
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (F.lit(60) - 2 * _c(level)).cast("int"))
 
 
 def level(cell) -> Column:

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import angles as A
 from ..functions import cells as C
@@ -42,7 +43,7 @@ def level_for(radius: float) -> int:
 
 def _with_cover(df: DataFrame, build, level: int, name: str = "cell") -> DataFrame:
     """Explodes each row to the cells of one level that may meet ``build(row batch)[k]``."""
-    schema = df.schema
+    schema = StructType([*df.schema.fields, StructField(name, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -52,7 +53,7 @@ def _with_cover(df: DataFrame, build, level: int, name: str = "cell") -> DataFra
             taken = b.take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells, pa.int64())], [*b.schema.names, name])
 
-    return df.mapInArrow(run, schema.add(name, "long"))
+    return df.mapInArrow(run, schema)
 
 
 def radius_candidates(points: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
