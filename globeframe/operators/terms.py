@@ -1,7 +1,7 @@
 """Inverted-index terms and shards of regions.
 
-Index and query terms meet exactly if the coverings overlap: a covering cell gives its
-token, and its ancestors give tokens with a mark.  Two quirks are kept as public behaviour:
+Index and query terms meet exactly if the coverings overlap: a cell and its
+ancestors give tokens, and a covering cell gives its token with a mark.  Two quirks are kept as public behaviour:
 ancestors step one level at a time whatever ``level_mod`` is, and saving space moves the
 ancestors' tokens from the index to the query.
 """
@@ -47,9 +47,10 @@ def _up(cell: Column, o: TermOptions, proper: bool = False) -> Column:
 
 
 def point_index_terms(leaf, o: TermOptions = TermOptions()) -> Column:
-    at = C.parent(leaf, o.top)
-    levels = range(o.min_level, o.top + 1)
-    return F.array(C.token(at), *(_marked(C.parent(leaf, k), o) for k in levels))
+    """Tokens of the cell and its ancestors, deepest first, then the mark of the cell."""
+    tokens = [C.token(C.parent(leaf, k)) for k in range(o.top, o.min_level - 1, -1)]
+    marks = [] if o.points_only else [_marked(C.parent(leaf, o.top), o)]
+    return F.array(*tokens, *marks)
 
 
 def point_query_terms(leaf, o: TermOptions = TermOptions()) -> Column:

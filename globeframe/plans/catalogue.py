@@ -442,10 +442,10 @@ def cell_overlap_join(spark, d):
 
 # Terms and shards.
 
-_MARKS = " || ',' || ".join(f"'$' || {token_sql(up('cell', k))}" for k in range(4, 17))
+_TOKENS = " || ',' || ".join(token_sql(up("cell", k)) for k in range(16, 3, -1))
 
 
-@query(f"SELECT id, {token_sql(up('cell', 16))} || ',' || {_MARKS} AS terms FROM {cells_sql(CUSTOMERS)}")
+@query(f"SELECT id, {_TOKENS} || ',$' || {token_sql(up('cell', 16))} AS terms FROM {cells_sql(CUSTOMERS)}")
 def terms_point(spark, d):
     return _cells(spark, d).select("id", F.array_join(TM.point_index_terms("cell"), ",").alias("terms"))
 
