@@ -9,12 +9,16 @@ within that distance meet under a common key (at similarity 0.8 the expected dis
 
 Documents with equal sets are one class from the start and only the class's smallest id
 goes on.  Under a key, members are compared with a few centres, never with each other:
-first the smallest id, then members of the components that stay apart, smallest component
+first the smallest id, then members of the components that stay apart, largest root
 first, until the members of every key either are in one component or have each been
 compared with all others.  So no link that a key can show is lost, a large group of copies
 costs rows in proportion to its size, and no key's rows meet in one task: centres are found
-by aggregation and members join them.  Pairs within ``FAR`` signature values are confirmed
-on full shingle sets before they count as links.
+by aggregation and members join them.  After the first round the shingles that only one
+document of the open keys has bound its similarity to all others from above: documents and
+pairs whose bound is below the threshold have no link to lose and are settled without a
+comparison, so a large group of loosely similar texts does not cost its square.  Pairs
+within ``FAR`` signature values are confirmed on full shingle sets before they count as
+links.
 
 Defined results: words are runs without ASCII white space, A-Z lowered; a document with
 fewer words than a shingle has its whole sequence as one shingle; null, empty and wordless
@@ -112,6 +116,12 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.select("doc", "sig").mapInArrow(run, "key long, doc long")
 
 
+def _apart(rooted: DataFrame) -> DataFrame:
+    """The rows (key, doc, root, ...) of the keys that have more than one root."""
+    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    return rooted.join(apart.select("key"), "key", "left_semi")
+
+
 def _close(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b, sig_a, sig_b) whose signatures differ in at most FAR values."""
 
@@ -136,6 +146,17 @@ def _set_blobs(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "doc long, hashes binary")
 
 
+def _set_hashes(texts: DataFrame, width: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in _text.pieces(batch, "text"):
+                values, bounds = _text.shingle_sets(b.column("text"), width)
+                docs = np.repeat(b.column("doc").to_numpy(), np.diff(bounds))
+                yield pa.RecordBatch.from_arrays([_signed(values), pa.array(docs)], ["hash", "doc"])
+
+    return texts.mapInArrow(run, "hash long, doc long")
+
+
 def _confirmed(pairs: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b, set_a, set_b) with 100 |A & B| >= similarity |A | B|."""
 
@@ -192,6 +213,26 @@ class Join:
         self.classes = full.groupBy(*SAME_SET).agg(F.min("doc_id").alias("doc"), F.min("sig").alias("sig"))
         self.reps = self.scratch.save(self.classes.select("doc", "n_shingles", "sig"))
 
+    def private(self, docs: DataFrame) -> DataFrame:
+        """doc, own: for each of the distinct ``docs`` how many shingles no other of them has.
+
+        Hashes are counted with partial aggregation, so a shingle that all of them have is no
+        hot key; an id with several texts has no bound (0)."""
+        texts = self.rows.withColumnRenamed("doc_id", "doc").join(docs, "doc", "left_semi")
+        sets = _set_hashes(texts, self.width)
+        single = sets.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).filter("n = 1")
+        own = single.groupBy("doc").agg(F.count("*").alias("own"))
+        several = texts.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1")
+        return docs.join(own.join(several, "doc", "left_anti"), "doc", "left").select("doc", F.coalesce("own", F.lit(0)).alias("own"))
+
+    def unsettled(self, open_: DataFrame) -> DataFrame:
+        """doc, own, low, high of the open documents whose bound allows a link to another of
+        them: own shingles, and the least and greatest number of others in a text of the id."""
+        own = self.private(open_.select("doc").distinct())
+        size = self.reps.groupBy("doc").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+        sized = own.join(size, "doc").select("doc", "own", (F.col("least") - F.col("own")).alias("low"), (F.col("most") - F.col("own")).alias("high"))
+        return sized.filter(100 * F.col("high") >= self.similarity * (F.col("high") + F.col("own")))
+
     def links(self, candidates: DataFrame) -> DataFrame:
         """Which of the candidate pairs (a, b) hold on full sets."""
         side = lambda s: self.reps.select(F.col("doc").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n_shingles").alias(f"n_{s}"))
@@ -207,6 +248,11 @@ class Join:
         self.scratch.drop(near, sets)
         return found
 
+    @staticmethod
+    def _rooted(rows: DataFrame, forest: DataFrame) -> DataFrame:
+        """``rows`` (doc, ...) with the root of each doc."""
+        return rows.join(forest.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+
     def run(self) -> DataFrame:
         """node, root of all representatives with a link."""
         keyed = _keys(self.reps)
@@ -214,22 +260,26 @@ class Join:
         members = self.scratch.save(keyed.join(shared.select("key", "first"), "key").filter("doc <> first"))
         found = self.links(members.select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct())
         forest = components(found, self.scratch)
-        left, centres = members.select("key", "doc"), CENTRES
+        rooted = self._rooted(members.select("key", "doc"), forest)
+        wide = self.scratch.save(_apart(rooted))
+        # Bounds against the documents that are open now hold for the fewer ones of later rounds.
+        own = self.scratch.save(self.unsettled(wide))
+        left, centres = wide.select("key", "doc").join(own, "doc"), CENTRES
         while True:
-            rooted = left.join(forest, left.doc == forest.node, "left").select("key", "doc", F.coalesce("root", "doc").alias("root"))
-            apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-            open_ = self.scratch.save(rooted.join(apart.select("key"), "key"))
+            open_ = self.scratch.save(_apart(self._rooted(left, forest)))
             if not open_.limit(1).count():
                 return forest
-            size = open_.groupBy("key", "root").agg(F.count("*").alias("n"))
-            order = Window.partitionBy("key").orderBy("n", "root", "doc")
-            chosen = open_.join(size, ["key", "root"]).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= centres)
-            chosen = self.scratch.save(chosen.select("key", F.col("doc").alias("a"), F.col("root").alias("root_a")))
-            pairs = open_.join(chosen, "key").filter("root <> root_a").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b"))
+            # The largest roots first: mostly those of the small components.
+            order = Window.partitionBy("key").orderBy(F.desc("root"), "doc")
+            chosen = open_.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= centres)
+            chosen = self.scratch.save(chosen.select("key", F.col("doc").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("root", "own", "low", "high")]))
+            union = F.greatest("low", "low_a") + F.col("own") + F.col("own_a")
+            may = 100 * F.least("high", "high_a") >= self.similarity * union
+            pairs = open_.join(chosen, "key").filter("root <> root_a").filter(may).select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b"))
             found = self.links(pairs.distinct())
-            left = self.scratch.save(open_.select("key", "doc").join(chosen.select("key", F.col("a").alias("doc")), ["key", "doc"], "left_anti"))
+            left = self.scratch.save(open_.drop("root").join(chosen.select("key", F.col("a").alias("doc")), ["key", "doc"], "left_anti"))
             self.scratch.drop(chosen)
-            centres *= 2
+            centres *= 4
             if found.limit(1).count():
                 forest = components(found.unionAll(forest.select(F.col("node").alias("a"), F.col("root").alias("b"))), self.scratch)
 
