@@ -16,9 +16,9 @@ costs rows in proportion to its size, and no key's rows meet in one task: centre
 by aggregation and members join them.  After the first round the shingles that only one
 document of the open keys has bound its similarity to all others from above: documents and
 pairs whose bound is below the threshold have no link to lose and are settled without a
-comparison, so a large group of loosely similar texts does not cost its square.  Pairs
-within ``FAR`` signature values are confirmed on full shingle sets before they count as
-links.
+comparison.  Pairs of a loosely similar group that no bound settles are all compared.
+Pairs within ``FAR`` signature values are confirmed on full shingle sets before they count
+as links.
 
 Defined results: words are runs without ASCII white space, A-Z lowered; a document with
 fewer words than a shingle has its whole sequence as one shingle; null, empty and wordless
