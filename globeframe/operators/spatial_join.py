@@ -164,32 +164,83 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, max_cells: int = 32
     return sure.unionAll(tested)
 
 
+def _arc_cells(a: np.ndarray, b: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Arc by arc the cells of a level that it may meet, as ``cover.at_level`` of its chain."""
+    rows, cells = np.repeat(np.arange(len(a)), 6), np.tile(grid.faces(), len(a))
+    for k in range(level + 1):
+        few, at = np.unique(cells, return_inverse=True)
+        center, reach = grid.cell_bound(few)
+        hit = P.segment_distance(center[at], a[rows], b[rows]) <= reach[at] + 1e-15
+        rows, cells = rows[hit], cells[hit]
+        if k < level:
+            rows, cells = np.repeat(rows, 4), grid.children(cells).ravel()
+    return rows, cells
+
+
+def _block_crossings(cell: int, left: tuple, right: tuple, own: bool, least: int, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Crossings of two sets of arcs (ids, a, b, cells) that share a cell, but for the pairs
+    that share a smaller cell too: those are found there."""
+    ids, a, b, cells = left
+    others, c, d, more = right
+    seen = np.unique(np.concatenate([x[x < cell] for x in (*cells, *more)] or [np.zeros(0, np.int64)]))
+
+    def member(lists):
+        at = np.zeros((len(lists), len(seen)), np.float32)
+        for k, x in enumerate(lists):
+            at[k, np.searchsorted(seen, x[x < cell])] = 1
+        return at
+
+    first, second = member(cells), member(more)
+    n, m = np.cross(a, b), np.cross(c, d)
+    for k in range(0, len(ids), rows):
+        r = slice(k, k + rows)
+        s1, s2, s3, s4 = n[r] @ c.T, n[r] @ d.T, a[r] @ m.T, b[r] @ m.T
+        # Signs of products well above the rounding of doubles are certain.
+        worst = np.maximum(np.maximum(s1 * s2, s3 * s4), s1 * s3)
+        keep = (worst <= 1e-14) & ~(first[r] @ second.T > 0)
+        if own:
+            keep &= ids[r][:, None] < others[None]
+        i, j = np.nonzero(keep)
+        open_ = np.flatnonzero(worst[i, j] >= -1e-14)
+        kind = np.ones(len(i), np.int8)
+        kind[open_] = P.crossing(a[r][i[open_]], b[r][i[open_]], c[j[open_]], d[j[open_]])
+        i, j = i[kind >= least], j[kind >= least]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[r][i], pa.int64()), pa.array(others[j], pa.int64())], ["left_id", "right_id"])
+
+
 def crossing_pairs(left: DataFrame, right: DataFrame | None = None, level: int = 6, touching: bool = False) -> DataFrame:
     """left_id, right_id of arcs (id, a, b) that cross; within one set each pair once.
 
-    Arcs are entered under all cells of a level that they may meet.  ``touching`` counts
-    shared end points too.
+    Arcs are entered under all cells of a level that they may meet, and those of a cell are
+    compared there.  ``touching`` counts shared end points too.
     """
     own = right is None
-    right = left if own else right
-
-    def chains(b: pa.RecordBatch):
-        return [cover.Chain(np.stack([x, y])) for x, y in zip(points_array(b.column("a")), points_array(b.column("b")), strict=True)]
+    point = left.schema["a"].dataType.simpleString()
 
-    a = _with_cover(left.select(F.col("id").alias("left_id"), "a", "b"), chains, level)
-    b = _with_cover(right.select("id", "a", "b"), chains, level).select(F.col("id").alias("right_id"), F.col("a").alias("c"), F.col("b").alias("d"), "cell")
-    pairs = a.join(b, "cell")
-    if own:
-        pairs = pairs.filter("left_id < right_id")
-    # A pair under several cells is kept under one before the exact test.
-    pairs = pairs.dropDuplicates(["left_id", "right_id"])
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows, cells = _arc_cells(points_array(b.column("a")), points_array(b.column("b")), level)
+            found = np.split(cells, np.cumsum(np.bincount(rows, minlength=b.num_rows))[:-1])
+            taken = b.append_column("cells", pa.array(found, pa.list_(pa.int64()))).take(pa.array(rows, pa.int64()))
+            yield taken.append_column("cell", pa.array(cells, pa.int64()))
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            kind = P.crossing(*(points_array(x.column(c)) for c in "abcd"))
-            yield x.select(["left_id", "right_id"]).filter(pa.array(kind >= (0 if touching else 1)))
+        t = pa.Table.from_batches(list(batches))
+        side = t.column("side").to_numpy()
+
+        def arcs(k: int):
+            x = t.filter(pa.array(side == k)).combine_chunks()
+            return x.column("id").to_numpy(), points_array(x.column("a")), points_array(x.column("b")), [np.array(v) for v in x.column("cells").to_pylist()]
+
+        yield from _block_crossings(t.column("cell")[0].as_py(), arcs(0), arcs(0 if own else 1), own, 0 if touching else 1)
 
-    return pairs.select("left_id", "right_id", "a", "b", "c", "d").mapInArrow(test, "left_id long, right_id long")
+    rows = left.select("id", "a", "b", F.lit(0).alias("side"))
+    if not own:
+        rows = rows.unionByName(right.select("id", "a", "b", F.lit(1).alias("side")))
+    entered = rows.filter("id IS NOT NULL").mapInArrow(enter, f"id long, a {point}, b {point}, side int, cells array<long>, cell long")
+    return entered.groupBy("cell").applyInArrow(test, "left_id long, right_id long")
 
 
 def closest_edges(edges: DataFrame, queries: DataFrame, k: int, radius: float) -> DataFrame:

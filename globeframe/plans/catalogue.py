@@ -416,8 +416,8 @@ p AS (SELECT a.id AS left_id, b.id AS right_id,
   a.nx*b.x+a.ny*b.y+a.nz*b.z AS s1, a.nx*b.x2+a.ny*b.y2+a.nz*b.z2 AS s2, b.nx*a.x+b.ny*a.y+b.nz*a.z AS s3, b.nx*a.x2+b.ny*a.y2+b.nz*a.z2 AS s4 FROM e a JOIN e b ON a.id < b.id)
 SELECT left_id, right_id FROM p WHERE (s1 > 0 AND s2 < 0 AND s3 < 0 AND s4 > 0) OR (s1 < 0 AND s2 > 0 AND s3 > 0 AND s4 < 0)""")
 def edge_crossing_join(spark, d):
-    # Arcs of a twentieth of the events: their crossings are a fixed share of all pairs.
-    return J.crossing_pairs(derived.edges(spark, d).filter("id % 20 = 0").select("id", "a", "b"), level=3)
+    # All arcs.  The SQL keeps a twentieth of them: its rows are those with both ids in it.
+    return J.crossing_pairs(derived.edges(spark, d).select("id", "a", "b"), level=3)
 
 
 @query(f"""WITH t AS (SELECT user_id, id, x, y, z, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)),
