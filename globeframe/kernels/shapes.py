@@ -251,6 +251,24 @@ def hull(points: np.ndarray) -> np.ndarray:
     return pts[ring]
 
 
+def dtw_cost(a: np.ndarray, b: np.ndarray, radius: int | None = None) -> float:
+    """The cost that ``dtw`` finds, by diagonals: no path, and memory of the chains' length."""
+    n, m = len(a), len(b)
+    before = last = np.full(n, np.inf)
+    for k in range(n + m - 1):
+        i = np.arange(max(0, k - m + 1), min(n, k + 1))
+        if radius is not None:
+            i = i[np.abs(k - i - i * m // n) <= radius]
+        best = np.zeros(1)
+        if k:
+            step = np.concatenate([[np.inf], last])
+            best = np.minimum(np.minimum(last[i], step[i]), np.concatenate([[np.inf], before])[i])
+        now = np.full(n, np.inf)
+        now[i] = best + ((a[i] - b[k - i]) ** 2).sum(-1)
+        before, last = last, now
+    return float(last[n - 1])
+
+
 def dtw(a: np.ndarray, b: np.ndarray, radius: int | None = None) -> tuple[float, list[tuple[int, int]]]:
     """Cheapest monotone alignment by summed squared chords, within a band if asked."""
     n, m = len(a), len(b)

@@ -80,7 +80,7 @@ def with_interpolated(df: DataFrame, fraction: float, chain: str = "chain", name
 
 
 def with_alignment_cost(df: DataFrame, a: str, b: str, radius: int | None = None, name: str = "cost") -> DataFrame:
-    return with_kernel(df, name, "double", pa.float64(), [a, b], lambda x, y: shapes.dtw(shapes.unpack(x), shapes.unpack(y), radius)[0])
+    return with_kernel(df, name, "double", pa.float64(), [a, b], lambda x, y: shapes.dtw_cost(shapes.unpack(x), shapes.unpack(y), radius))
 
 
 def with_covering(df: DataFrame, kind: str, inputs: list[str], name: str = "cells", **options) -> DataFrame:

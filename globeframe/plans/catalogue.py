@@ -646,8 +646,10 @@ def hausdorff(spark, d):
 
 @query()
 def track_alignment(spark, d):
-    t = derived.tracks(spark, d).withColumn("short", F.slice("chain", 1, 12)).withColumn("other", F.slice("chain", 2, 12)).filter(F.size("other") > 0)
-    return G.with_alignment_cost(t, "short", "other").select("user_id", _r("cost", 8).alias("cost"))
+    # Each whole track against itself without its first point; null for a single point.
+    n = F.size("chain")
+    t = derived.tracks(spark, d).withColumn("other", F.when(n > 1, F.slice("chain", F.lit(2), n - 1)))
+    return G.with_alignment_cost(t, "chain", "other").select("user_id", _r("cost", 8).alias("cost"))
 
 
 @query()

@@ -1,11 +1,13 @@
 """Queries over all rows of their tables, against brute force and the rows that their SQL keeps."""
 
+import tracemalloc
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 
+from globeframe.kernels import shapes
 from globeframe.operators import spatial_join as J
 from globeframe.plans import catalogue
 from globeframe.sources import derived
@@ -56,3 +58,34 @@ def test_crossing_pairs_of_two_sets_and_touching(spark):
     assert {tuple(r) for r in J.crossing_pairs(df, level=4, touching=True).collect()} == want | {(0, 1)}
     halves = J.crossing_pairs(df.filter("id < 30"), df.filter("id >= 30"), level=2)
     assert sorted(tuple(r) for r in halves.collect()) == sorted(p for p in want if p[0] < 30 <= p[1])
+
+
+def test_track_alignment_takes_whole_chains(spark):
+    tracks = {r["user_id"]: np.array([tuple(p) for p in r["chain"]]) for r in derived.tracks(spark, TABLES).collect()}
+    got = {r["user_id"]: r["cost"] for r in catalogue.QUERIES["track_alignment"](spark, TABLES).collect()}
+    assert set(got) == set(tracks) and max(len(c) for c in tracks.values()) > 13
+    for user, c in tracks.items():
+        assert got[user] == pytest.approx(shapes.dtw(c, c[1:])[0], abs=1e-8)
+
+
+def test_alignment_cost_equals_the_full_table():
+    rng = np.random.default_rng(5)
+    for n, m, radius in ((1, 1, None), (1, 7, None), (9, 1, None), (8, 5, None), (5, 8, None), (30, 29, None), (12, 12, 0), (12, 12, 3), (20, 11, 4), (11, 20, 4)):
+        a, b = rng.normal(size=(n, 3)), rng.normal(size=(m, 3))
+        cost = shapes.dtw_cost(a, b, radius)
+        table = np.full((n + 1, m + 1), np.inf)
+        table[0, 0] = 0.0
+        for i in range(n):
+            for j in range(m):
+                if radius is None or i * m // n - radius <= j <= i * m // n + radius:
+                    table[i + 1, j + 1] = min(table[i, j], table[i, j + 1], table[i + 1, j]) + ((a[i] - b[j]) ** 2).sum()
+        assert cost == pytest.approx(table[n, m], abs=1e-12)
+
+
+def test_alignment_of_long_chains_keeps_no_table():
+    c = np.random.default_rng(6).normal(size=(4000, 3))
+    tracemalloc.start()
+    shapes.dtw_cost(c, c[1:])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000
