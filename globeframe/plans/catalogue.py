@@ -638,9 +638,11 @@ def union_operations(spark, d):
 
 @query(f"""SELECT b.id AS target_id, c.id AS source_id, round({ATAN}, 7) AS radians FROM {ZONES} b, (SELECT * FROM {ZONES}) a JOIN (SELECT id FROM {ZONES}) c ON a.id = c.id WHERE b.id < 5 AND c.id >= 20""")
 def hausdorff(spark, d):
-    z = derived.zones(spark, d)
-    target = z.filter("id < 5").select(F.col("id").alias("target_id"), "p")
-    source = z.filter("id >= 20").select(F.col("id").alias("source_id"), F.col("p").alias("a"), F.col("p").alias("b"))
+    # All rings with all vertices and arcs.  The SQL is of some centres only.
+    z = G.with_regular_ring(derived.zones(spark, d), "p", 0.15, 6)
+    target = z.select(F.col("id").alias("target_id"), F.explode("ring").alias("p"))
+    turned = F.concat(F.slice("ring", F.lit(2), F.size("ring") - 1), F.slice("ring", 1, 1))
+    source = z.select(F.col("id").alias("source_id"), F.explode(F.arrays_zip(F.col("ring").alias("a"), turned.alias("b"))).alias("arc")).select("source_id", "arc.a", "arc.b")
     return AG.directed_hausdorff(target, source).withColumn("radians", _r("radians", 7))
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from globeframe.kernels import shapes
+from globeframe.operators import geometry as G
 from globeframe.operators import spatial_join as J
 from globeframe.plans import catalogue
 from globeframe.sources import derived
@@ -89,3 +90,18 @@ def test_alignment_of_long_chains_keeps_no_table():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8_000_000
+
+
+def test_hausdorff_takes_all_vertices_and_arcs(spark):
+    rows = G.with_regular_ring(derived.zones(spark, TABLES), "p", 0.15, 6).select("id", "ring").collect()
+    rings = {r["id"]: np.array([tuple(p) for p in r["ring"]]) for r in rows}
+    got = {(r["target_id"], r["source_id"]): r["radians"] for r in catalogue.QUERIES["hausdorff"](spark, TABLES).collect()}
+    assert len(rings) == 25 and set(got) == {(x, y) for x in rings for y in rings}
+    share = np.linspace(0, 1, 401)[:, None]
+    for y, ring in rings.items():
+        # Points along each side of the closed ring, instead of a formula for arcs.
+        sides = np.concatenate([(1 - share) * a + share * b for a, b in zip(ring, np.roll(ring, -1, 0), strict=True)])
+        sides /= np.linalg.norm(sides, axis=1, keepdims=True)
+        for x, vertices in rings.items():
+            near = 2 * np.arcsin(np.minimum(1, np.linalg.norm(vertices[:, None] - sides[None], axis=-1).min(1) / 2))
+            assert got[x, y] == pytest.approx(near.max(), abs=2e-4)
