@@ -105,6 +105,10 @@ def _r(c, n: int = 6):
     return F.round(c, n)
 
 
+def _wrap(x):
+    return F.when(x > 180, x - 360).when(x < -180, x + 360).otherwise(x)
+
+
 # Angles, positions, the Earth.
 
 
@@ -255,16 +259,17 @@ def rect_contains_wrap(spark, d):
 
 @query(f"SELECT id, round(radians(10)*(sin(radians(least(90,lat+5)))-sin(radians(greatest(-90,lat-5)))), 8) AS area FROM {CUSTOMERS} WHERE abs(lng) < 175")
 def rect_area(spark, d):
-    r = R.rect_from_degrees(F.greatest(F.lit(-90.0), F.col("lat") - 5), F.col("lng") - 5, F.least(F.lit(90.0), F.col("lat") + 5), F.col("lng") + 5)
-    return _customers(spark, d).filter("abs(lng) < 175").select("id", _r(R.rect_area(r), 8).alias("area"))
+    r = R.rect_from_degrees(F.greatest(F.lit(-90.0), F.col("lat") - 5), _wrap(F.col("lng") - 5), F.least(F.lit(90.0), F.col("lat") + 5), _wrap(F.col("lng") + 5))
+    return _customers(spark, d).select("id", _r(R.rect_area(r), 8).alias("area"))
 
 
 @query(f"""SELECT a.id AS id, abs(a.lat-b.lat) <= 30 AND abs(a.lng-b.lng) <= 30 AS meets, abs(a.lat-b.lat) <= 10 AND abs(a.lng-b.lng) <= 10 AS holds
 FROM {PAIRS} WHERE abs(a.lng) < 150 AND abs(b.lng) < 150 AND abs(a.lat) < 60 AND abs(b.lat) < 60 AND abs(a.lat-b.lat) NOT IN (10, 30) AND abs(a.lng-b.lng) NOT IN (10, 30)""")
 def rect_relations(spark, d):
-    df = _pairs(spark, d).filter("abs(lng) < 150 AND abs(zlng) < 150 AND abs(lat) < 60 AND abs(zlat) < 60 AND abs(lat-zlat) NOT IN (10, 30) AND abs(lng-zlng) NOT IN (10, 30)")
-    box = lambda la, ln, s: R.rect_from_degrees(F.col(la) - s, F.col(ln) - s, F.col(la) + s, F.col(ln) + s)
-    return df.select("id", R.rect_intersects(box("lat", "lng", 20), box("zlat", "zlng", 10)).alias("meets"), R.rect_contains_rect(box("lat", "lng", 20), box("zlat", "zlng", 10)).alias("holds"))
+    df = _pairs(spark, d)
+    box = lambda la, ln, s: R.rect_from_degrees(F.greatest(F.lit(-90.0), F.col(la) - s), _wrap(F.col(ln) - s), F.least(F.lit(90.0), F.col(la) + s), _wrap(F.col(ln) + s))
+    # Positions are in hundredths of a degree; a millionth puts borders that touch inside.
+    return df.select("id", R.rect_intersects(box("lat", "lng", 20 + 1e-6), box("zlat", "zlng", 10)).alias("meets"), R.rect_contains_rect(box("lat", "lng", 20 + 1e-6), box("zlat", "zlng", 10)).alias("holds"))
 
 
 @query(f"""WITH p AS (SELECT DISTINCT c_nationkey, lng FROM {CUSTOMERS}), g AS (
@@ -329,8 +334,8 @@ def cell_contains_join(spark, d):
 
 @query(f"SELECT id, (({up('cell', 9)} >> 43) & 262143) AS steps, {up('cell', 9)} + 2*({up('cell', 9)} & -{up('cell', 9)}) AS following FROM {cells_sql(CUSTOMERS)} WHERE face < 3")
 def cell_curve_steps(spark, d):
-    df = _cells(spark, d, 9).filter(C.face("cell") < 3)
-    return df.select("id", C.distance_from_begin("cell").bitwiseAND(F.lit(262143)).alias("steps"), C.next_cell("cell").alias("following"))
+    df = _cells(spark, d, 9)
+    return df.select("id", C.distance_from_begin("cell").alias("steps"), C.next_cell("cell").alias("following"))
 
 
 @query(f"""WITH q AS (SELECT id, face, i, j, {up('cell', 8)} AS c FROM {cells_sql(CUSTOMERS)})
@@ -576,7 +581,7 @@ def loop_measures(spark, d):
 FROM {PAIRS} WHERE a.lat > -60 AND b.lat > -60 AND {ATAN} < 2.5""")
 def triangle_area(spark, d):
     pole = V.vector(0.0, 0.0, 1.0)
-    df = _pairs(spark, d).filter("lat > -60 AND zlat > -60").filter(V.angle("p", "q") < 2.5)
+    df = _pairs(spark, d)
     return df.select("id", _r(V.triangle_area("p", "q", pole), 6).alias("area"))
 
 

@@ -105,3 +105,42 @@ def test_hausdorff_takes_all_vertices_and_arcs(spark):
         for x, vertices in rings.items():
             near = 2 * np.arcsin(np.minimum(1, np.linalg.norm(vertices[:, None] - sides[None], axis=-1).min(1) / 2))
             assert got[x, y] == pytest.approx(near.max(), abs=2e-4)
+
+
+def _rows(spark, name):
+    return {r["id"]: r for r in catalogue.QUERIES[name](spark, TABLES).collect()}
+
+
+def test_rects_at_the_antimeridian_and_the_poles(spark):
+    hundredths = lambda k: ((k * 7919) % 17001 - 8500, (k * 104729) % 36000 - 18000)
+    pairs = spark.read.parquet(f"{TABLES}/customer.parquet").select("c_custkey", "c_nationkey").collect()
+    area, relations = _rows(spark, "rect_area"), _rows(spark, "rect_relations")
+    assert set(area) == set(relations) == {r[0] for r in pairs}
+    for k, nation in pairs:
+        (lat, lng), (zlat, zlng) = hundredths(k), hundredths(nation)
+        lo, hi = np.radians(max(-9000, lat - 500) / 100), np.radians(min(9000, lat + 500) / 100)
+        assert area[k]["area"] == pytest.approx(np.radians(10) * (np.sin(hi) - np.sin(lo)), abs=2e-8)
+        turn = abs((lng - zlng + 18000) % 36000 - 18000)
+        cut = lambda x, s: (max(-9000, x - s), min(9000, x + s))
+        (a, b), (c, e) = cut(lat, 2000), cut(zlat, 1000)
+        assert relations[k]["meets"] == (turn <= 3000 and c <= b and a <= e)
+        assert relations[k]["holds"] == (turn <= 1000 and a <= c and e <= b)
+
+
+def test_triangles_of_all_pairs(spark):
+    got = _rows(spark, "triangle_area")
+    pairs = catalogue._pairs(spark, TABLES).select("id", "p", "q").collect()
+    assert set(got) == {r["id"] for r in pairs}
+    for r in pairs:
+        a, b, c = np.array(r["p"]), np.array(r["q"]), np.array([0.0, 0.0, 1.0])
+        want = 2 * np.arctan2(abs(a @ np.cross(b, c)), 1 + a @ b + b @ c + c @ a)
+        assert got[r["id"]]["area"] == pytest.approx(want, abs=2e-6)
+
+
+def test_curve_steps_of_all_faces(spark):
+    got = _rows(spark, "cell_curve_steps")
+    cells = {r["id"]: r["cell"] for r in catalogue._cells(spark, TABLES, 9).collect()}
+    assert set(got) == set(cells) and min(cells.values()) < 0
+    for k, cell in cells.items():
+        assert got[k]["steps"] == (cell % 2**64) >> 43
+        assert got[k]["following"] == cell + 2 * (cell & -cell)
