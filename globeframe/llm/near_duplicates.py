@@ -4,28 +4,35 @@ A document's shingle set has a signature of ``CHUNKS * CHUNK`` MinHash values, 1
 each.  The signature is split into chunks; by pigeonhole two signatures that differ in at
 most ``2 * CHUNKS - 1`` values agree, in some chunk, in all values or all but one.  Each
 chunk is therefore entered under every choice of one value left out, so that all pairs
-within that distance meet under a common key (at similarity 0.8 the expected distance is
-12 of 60, and the chance to meet under no key is below 1e-6).
-
-Documents with equal sets are one class from the start and only the class's smallest id
-goes on.  Under a key, members are compared with a few centres, never with each other:
-first the smallest id, then members of the components that stay apart, largest root
-first, until the members of every key either are in one component or have each been
-compared with all others.  So no link that a key can show is lost, a large group of copies
-costs rows in proportion to its size, and no key's rows meet in one task: centres are found
-by aggregation and members join them.  After the first round the shingles that only one
-document of the open keys has bound its similarity to all others from above: documents and
-pairs whose bound is below the threshold have no link to lose and are settled without a
-comparison.  Pairs of a loosely similar group that no bound settles are all compared.
-Pairs within ``FAR`` signature values are confirmed on full shingle sets before they count
-as links.
+within that distance meet under a common key.  Pairs further apart often meet too and are
+confirmed as well.  At similarity 0.8 a value differs with probability 0.2, so the chance
+to meet under no key is 0.263 ** 12 = 1.1e-7, and the chance of more than ``FAR``
+differences, beyond which pairs are not confirmed, is 2e-8.
+
+Documents with equal sets are one class from the start (sets are compared by their size
+and a 128-bit sum over their shingles) and only the class's smallest id goes on.
+
+1. Under each key every member is compared with the smallest id.  That links nearly all of
+   a group of copies in rows proportional to its size.
+2. What is left are keys whose members lie in several components.  The shingles that only
+   one document of these keys has bound its similarity to all others from above; documents
+   whose bound is below the threshold have no link to lose and leave.  Keys with the same
+   members are taken once.  The members of a key are dealt into blocks, and each pair of
+   blocks is one task's work: pairs of different components whose bounds allow it are
+   confirmed there on full sets, each pair under the first key that it shares, and a
+   task returns at most one link for each component it joins.  So neither a pair nor a
+   key's member list is ever a row, and no task holds more than two blocks.
+
+No link that a key can show is lost.  In a large group whose members are only loosely
+alike, the comparisons that no bound settles still grow with the square of the group (two
+blocks at a time, in vector code); copies and near copies do not.
 
 Defined results: words are runs without ASCII white space, A-Z lowered; a document with
 fewer words than a shingle has its whole sequence as one shingle; null, empty and wordless
 texts have the empty set and link with nothing; of rows with one doc_id each counts as a
 text of its own when links are sought, and the output has one row for each of them; rows
-with a null doc_id get no component and are kept; an empty table gives no rows; other
-columns are ignored.
+with a null doc_id get no component and are kept; an empty table gives no rows; very long
+texts are hashed whole, one at a time; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,15 +45,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import Scratch, table
+from ._store import Scratch, fresh, table
 
 CHUNKS = 12
 CHUNK = 5
 POSITIONS = CHUNKS * CHUNK
 #: Signatures further apart than this are no pair at similarity 0.8, by six deviations.
 FAR = 31
-#: Centres of a key in one round after the first.
-CENTRES = 8
+#: Documents, and bytes of their sets, in a block of a key's members.
+BLOCK = 512
+BLOCK_BYTES = 16 << 20
 SIMILARITY = 80  # per cent
 
 _factors = _text.mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) | np.uint64(1)
@@ -64,7 +72,8 @@ def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """For each signature the keys of all chunks with each one value left out."""
+    """For each signature the keys of all chunks with each one value left out; a key's six
+    low bits are its number (chunk, value left out)."""
     n = len(sig)
     out = np.zeros((n, CHUNKS, CHUNK), np.uint64)
     parts = sig.reshape(n, CHUNKS, CHUNK).astype(np.uint64)
@@ -74,7 +83,22 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
             if j != gap:
                 h = _text.mix(h * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, j])
         out[:, :, gap] = h
-    return out.reshape(n, -1)
+    return (out.reshape(n, -1) & ~np.uint64(63)) | np.arange(POSITIONS, dtype=np.uint64)[None, :]
+
+
+def first_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The number of the first key that signature ``a[i]`` shares with ``b[j]``, for all i and j;
+    ``POSITIONS`` if there is none."""
+    out = np.full((len(a), len(b)), POSITIONS, np.int8)
+    for chunk in range(CHUNKS - 1, -1, -1):
+        missed, last = np.zeros(out.shape, np.int8), np.zeros(out.shape, np.int8)
+        for j in range(CHUNK):
+            differ = a[:, None, chunk * CHUNK + j] != b[None, :, chunk * CHUNK + j]
+            missed += differ
+            last[differ] = j
+        shared = missed <= 1
+        out[shared] = chunk * CHUNK + last[shared]
+    return out
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -116,12 +140,6 @@ def _keys(reps: DataFrame) -> DataFrame:
     return reps.select("doc", "sig").mapInArrow(run, "key long, doc long")
 
 
-def _apart(rooted: DataFrame) -> DataFrame:
-    """The rows (key, doc, root, ...) of the keys that have more than one root."""
-    apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    return rooted.join(apart.select("key"), "key", "left_semi")
-
-
 def _close(pairs: DataFrame) -> DataFrame:
     """Pairs (a, b, sig_a, sig_b) whose signatures differ in at most FAR values."""
 
@@ -135,26 +153,32 @@ def _close(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _set_blobs(texts: DataFrame, width: int) -> DataFrame:
+def _cards(texts: DataFrame, width: int) -> DataFrame:
+    """doc, size, sig and hashes (the full set) of texts with a set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in _text.pieces(batch, "text"):
                 values, bounds = _text.shingle_sets(b.column("text"), width)
-                blobs = [values[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(blobs, pa.binary())], ["doc", "hashes"])
+                full = np.flatnonzero(np.diff(bounds))
+                sig = [x.tobytes() for x in signatures(values, bounds)]
+                blobs = [values[bounds[i] : bounds[i + 1]].tobytes() for i in full.tolist()]
+                columns = [b.column("doc").take(pa.array(full)), pa.array(np.diff(bounds)[full]), pa.array(sig, pa.binary()), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "size", "sig", "hashes"])
 
-    return texts.mapInArrow(run, "doc long, hashes binary")
+    return texts.mapInArrow(run, "doc long, size long, sig binary, hashes binary")
 
 
-def _set_hashes(texts: DataFrame, width: int) -> DataFrame:
+def _hashes(cards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in _text.pieces(batch, "text"):
-                values, bounds = _text.shingle_sets(b.column("text"), width)
-                docs = np.repeat(b.column("doc").to_numpy(), np.diff(bounds))
-                yield pa.RecordBatch.from_arrays([_signed(values), pa.array(docs)], ["hash", "doc"])
+        for b in batches:
+            for s in range(0, b.num_rows, 512):
+                part = b.slice(s, 512)
+                blobs = [x.as_py() for x in part.column("hashes")]
+                docs = np.repeat(part.column("doc").to_numpy(), [len(x) // 8 for x in blobs])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(blobs), np.int64)), pa.array(docs)], ["hash", "doc"])
 
-    return texts.mapInArrow(run, "hash long, doc long")
+    return cards.select("doc", "hashes").mapInArrow(run, "hash long, doc long")
 
 
 def _confirmed(pairs: DataFrame, similarity: int) -> DataFrame:
@@ -201,8 +225,58 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         now = new
 
 
+def _compared(block: pa.Table, similarity: int) -> pa.Table:
+    """Links (a, b) that join the components of one task's documents: the rows have side
+    (0: first block, 1: second, 2: the block against itself), doc, root, own, size, sig,
+    hashes, and mask, the numbers of the keys that this task stands for."""
+    side = block.column("side").to_numpy()
+    left = np.flatnonzero(side != 1)
+    right = np.flatnonzero(side != 0)
+    doc, root, own, size = (block.column(c).to_numpy() for c in ("doc", "root", "own", "size"))
+    found: list[tuple[int, int]] = []
+    if len(left) and len(right):
+        sig = np.frombuffer(b"".join(block.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
+        mask = np.zeros(POSITIONS + 1, bool)
+        mask[[k for k in range(POSITIONS) if block.column("mask")[0].as_py() >> k & 1]] = True
+        shared = np.minimum((size - own)[left, None], (size - own)[None, right])
+        wanted = (root[left, None] != root[None, right]) & (100 * shared >= similarity * (size[left, None] + size[None, right] - shared))
+        if side[0] == 2:
+            wanted &= np.arange(len(left))[:, None] < np.arange(len(right))[None, :]
+        if wanted.any():
+            wanted &= mask[first_key(sig[left], sig[right])]
+        if wanted.any():
+            blobs = block.column("hashes").to_pylist()
+            place = np.unique(np.frombuffer(b"".join(blobs), np.uint64), return_inverse=True)[1]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            here = np.zeros(int(place.max()) + 1, bool)
+            top = {r: r for r in np.unique(root).tolist()}
+
+            def head(r: int) -> int:
+                while top[r] != r:
+                    top[r] = r = top[top[r]]
+                return r
+
+            for i in np.flatnonzero(wanted.any(1)).tolist():
+                x, others = left[i], right[wanted[i]]
+                here[place[ends[x] : ends[x + 1]]] = True
+                starts = np.cumsum(size[others]) - size[others]
+                at = np.concatenate([place[ends[y] : ends[y + 1]] for y in others.tolist()])
+                both = np.add.reduceat(here[at].astype(np.int64), starts)
+                here[place[ends[x] : ends[x + 1]]] = False
+                for y in others[100 * both >= similarity * (size[x] + size[others] - both)].tolist():
+                    p, q = head(int(root[x])), head(int(root[y]))
+                    if p != q:
+                        top[max(p, q)] = min(p, q)
+                        found.append((int(doc[x]), int(doc[y])))
+    columns = list(zip(*found, strict=True)) if found else [(), ()]
+    return pa.table([pa.array(c, pa.int64()) for c in columns], ["a", "b"])
+
+
 class Join:
-    """One near-duplicate join; its steps share the tables of representatives and texts."""
+    """One near-duplicate join; its steps share the tables of classes and cards.
+
+    Its joins are hinted to shuffle both sides, so that the plan is the same at every size.
+    """
 
     def __init__(self, docs: DataFrame, width: int, similarity: int):
         self.scratch = Scratch(docs.sparkSession, "near")
@@ -210,78 +284,80 @@ class Join:
         self.rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         self.sketch = self.scratch.save(sketched(self.rows, width))
         full = self.sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-        self.classes = full.groupBy(*SAME_SET).agg(F.min("doc_id").alias("doc"), F.min("sig").alias("sig"))
-        self.reps = self.scratch.save(self.classes.select("doc", "n_shingles", "sig"))
+        self.classes = self.scratch.save(full.groupBy(*SAME_SET).agg(F.min("doc_id").alias("doc"), F.min("sig").alias("sig")))
+
+    def links(self, pairs: DataFrame, cards: DataFrame) -> DataFrame:
+        """Which of the pairs (a, b) hold on full sets."""
+        side = lambda s: cards.select(F.col("doc").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("size").alias(f"size_{s}")).hint("merge")
+        sized = pairs.join(side("b"), "b").join(side("a"), "a")
+        sized = sized.filter(100 * F.least("size_a", "size_b") >= self.similarity * F.greatest("size_a", "size_b"))
+        near = self.scratch.save(_close(sized.select("a", "b", "sig_a", "sig_b")))
+        full = lambda s: cards.select(F.col("doc").alias(s), F.col("hashes").alias(f"set_{s}")).hint("merge")
+        found = self.scratch.save(_confirmed(near.join(full("b"), "b").join(full("a"), "a").select("a", "b", "set_a", "set_b"), self.similarity))
+        self.scratch.drop(near)
+        return found
 
-    def private(self, docs: DataFrame) -> DataFrame:
-        """doc, own: for each of the distinct ``docs`` how many shingles no other of them has.
+    def unsettled(self, open_: DataFrame, cards: DataFrame) -> DataFrame:
+        """The distinct open documents (doc) whose bound allows a link to another of them, with
+        ``own``: how many shingles no other of them has.
 
         Hashes are counted with partial aggregation, so a shingle that all of them have is no
         hot key; an id with several texts has no bound (0)."""
-        texts = self.rows.withColumnRenamed("doc_id", "doc").join(docs, "doc", "left_semi")
-        sets = _set_hashes(texts, self.width)
-        single = sets.groupBy("hash").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).filter("n = 1")
+        mine = cards.join(open_.hint("merge"), "doc", "left_semi")
+        single = _hashes(mine).groupBy("hash").agg(F.count("*").alias("n"), F.min("doc").alias("doc")).filter("n = 1")
         own = single.groupBy("doc").agg(F.count("*").alias("own"))
-        several = texts.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1")
-        return docs.join(own.join(several, "doc", "left_anti"), "doc", "left").select("doc", F.coalesce("own", F.lit(0)).alias("own"))
-
-    def unsettled(self, open_: DataFrame) -> DataFrame:
-        """doc, own, low, high of the open documents whose bound allows a link to another of
-        them: own shingles, and the least and greatest number of others in a text of the id."""
-        own = self.private(open_.select("doc").distinct())
-        size = self.reps.groupBy("doc").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-        sized = own.join(size, "doc").select("doc", "own", (F.col("least") - F.col("own")).alias("low"), (F.col("most") - F.col("own")).alias("high"))
-        return sized.filter(100 * F.col("high") >= self.similarity * (F.col("high") + F.col("own")))
-
-    def links(self, candidates: DataFrame) -> DataFrame:
-        """Which of the candidate pairs (a, b) hold on full sets."""
-        side = lambda s: self.reps.select(F.col("doc").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("n_shingles").alias(f"n_{s}"))
-        sized = candidates.join(side("a"), "a").join(side("b"), "b")
-        sized = sized.filter(100 * F.least("n_a", "n_b") >= self.similarity * F.greatest("n_a", "n_b"))
-        near = self.scratch.save(_close(sized.select("a", "b", "sig_a", "sig_b")).distinct())
-        wanted = near.select(F.col("a").alias("doc")).union(near.select("b")).distinct()
-        texts = self.rows.withColumnRenamed("doc_id", "doc").join(wanted, "doc", "left_semi")
-        sets = self.scratch.save(_set_blobs(texts, self.width))
-        full = lambda s: sets.select(F.col("doc").alias(s), F.col("hashes").alias(f"set_{s}"))
-        found = _confirmed(near.join(full("b"), "b").join(full("a"), "a").select("a", "b", "set_a", "set_b"), self.similarity)
-        found = self.scratch.save(found.distinct())
-        self.scratch.drop(near, sets)
-        return found
-
-    @staticmethod
-    def _rooted(rows: DataFrame, forest: DataFrame) -> DataFrame:
-        """``rows`` (doc, ...) with the root of each doc."""
-        return rows.join(forest.withColumnRenamed("node", "doc"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+        size = mine.groupBy("doc").agg(F.count("*").alias("texts"), F.max("size").alias("size"))
+        sized = size.join(own.hint("merge"), "doc", "left").select("doc", "size", F.when(F.col("texts") == 1, F.coalesce("own", F.lit(0))).otherwise(0).alias("own"))
+        return sized.filter(100 * (F.col("size") - F.col("own")) >= self.similarity * F.col("size"))
+
+    def blocks(self, rows: DataFrame) -> DataFrame:
+        """The rows (key, doc, root, own, size) of every task: job, side, doc, root, own, mask.
+
+        Keys with the same members are one, told by the count and two xor sums of hashed ids.
+        """
+        number = F.expr("shiftleft(1L, cast(key & 63 AS int))")
+        member = [F.bit_xor(F.xxhash64("doc", F.lit(seed))).alias(f"m{seed}") for seed in (1, 2)]
+        per_key = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"), F.min("root").alias("low"), F.max("root").alias("high"), *member)
+        same = per_key.filter("low < high").withColumn("mask", number).groupBy("n", "hashes", "m1", "m2").agg(F.min("key").alias("key"), F.bit_or("mask").alias("mask"))
+        parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("hashes") * 8 / BLOCK_BYTES)).cast("int")
+        dealt = rows.join(same.select("key", "mask", parts.alias("parts")).hint("merge"), "key")
+        dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("doc", F.lit(3)), F.col("parts")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        side = F.when(F.col("mine") == F.col("other"), 2).when(F.col("mine") < F.col("other"), 0).otherwise(1)
+        job = [F.col("key"), F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")]
+        return dealt.select(*job, side.cast("int").alias("side"), "doc", "root", "own", "mask")
 
     def run(self) -> DataFrame:
         """node, root of all representatives with a link."""
-        keyed = _keys(self.reps)
+        keyed = _keys(self.classes)
         shared = keyed.groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last")
-        members = self.scratch.save(keyed.join(shared.select("key", "first"), "key").filter("doc <> first"))
-        found = self.links(members.select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct())
+        members = self.scratch.save(keyed.join(shared.select("key", "first").hint("merge"), "key").filter("doc <> first"))
+        firsts = members.select("key", F.col("first").alias("doc")).distinct()
+        wanted = members.select("doc").union(firsts.select("doc")).distinct()
+        texts = self.rows.withColumnRenamed("doc_id", "doc").join(wanted.hint("merge"), "doc", "left_semi")
+        cards = self.scratch.save(_cards(texts, self.width))
+        found = self.links(members.select(F.col("first").alias("a"), F.col("doc").alias("b")).distinct(), cards)
         forest = components(found, self.scratch)
-        rooted = self._rooted(members.select("key", "doc"), forest)
-        wide = self.scratch.save(_apart(rooted))
-        # Bounds against the documents that are open now hold for the fewer ones of later rounds.
-        own = self.scratch.save(self.unsettled(wide))
-        left, centres = wide.select("key", "doc").join(own, "doc"), CENTRES
-        while True:
-            open_ = self.scratch.save(_apart(self._rooted(left, forest)))
-            if not open_.limit(1).count():
-                return forest
-            # The largest roots first: mostly those of the small components.
-            order = Window.partitionBy("key").orderBy(F.desc("root"), "doc")
-            chosen = open_.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= centres)
-            chosen = self.scratch.save(chosen.select("key", F.col("doc").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("root", "own", "low", "high")]))
-            union = F.greatest("low", "low_a") + F.col("own") + F.col("own_a")
-            may = 100 * F.least("high", "high_a") >= self.similarity * union
-            pairs = open_.join(chosen, "key").filter("root <> root_a").filter(may).select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b"))
-            found = self.links(pairs.distinct())
-            left = self.scratch.save(open_.drop("root").join(chosen.select("key", F.col("a").alias("doc")), ["key", "doc"], "left_anti"))
-            self.scratch.drop(chosen)
-            centres *= 4
-            if found.limit(1).count():
-                forest = components(found.unionAll(forest.select(F.col("node").alias("a"), F.col("root").alias("b"))), self.scratch)
+        both = members.select("key", "doc").union(firsts)
+        rooted = both.join(forest.withColumnRenamed("node", "doc").hint("merge"), "doc", "left")
+        rooted = self.scratch.save(rooted.select("key", "doc", F.coalesce("root", "doc").alias("root")))
+        self.scratch.drop(members)
+        apart = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+        open_ = self.scratch.save(rooted.join(apart.select("key").hint("merge"), "key", "left_semi").distinct())
+        own = self.unsettled(open_.select("doc").distinct(), cards)
+        left = self.scratch.save(open_.join(own.hint("merge"), "doc"))
+        tasks = self.blocks(left).join(cards.hint("merge"), "doc")
+        similarity = self.similarity
+
+        def compared(block: pa.Table) -> pa.Table:
+            return _compared(block, similarity)
+
+        more = tasks.groupBy("key", "low", "high").applyInArrow(compared, "a long, b long")
+        more = self.scratch.save(more.distinct())
+        if more.limit(1).count():
+            forest = components(more.unionAll(forest.select(F.col("node").alias("a"), F.col("root").alias("b"))), self.scratch)
+        self.scratch.drop(rooted, open_, left, cards)
+        return forest
 
 
 SAME_SET = ["n_shingles", "f1", "f2"]
@@ -292,24 +368,29 @@ def near_duplicates(docs: DataFrame, width: int, similarity: int = SIMILARITY) -
     join = Join(docs, width, similarity)
     found = join.run()
     # Several texts under one id are one node: the representatives of their sets are tied.
-    members = join.sketch.join(join.classes.select(*SAME_SET, F.col("doc").alias("rep")), SAME_SET).select("doc_id", "rep")
-    twice = members.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("last")).filter("b < last")
-    ties = join.scratch.save(members.join(twice, "doc_id").select(F.col("rep").alias("a"), "b").distinct())
-    if ties.limit(1).count():
+    named = join.sketch.filter("doc_id IS NOT NULL AND n_shingles > 0")
+    several = named.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in SAME_SET for f in (F.min, F.max)])
+    several = join.scratch.save(several.filter(" OR ".join(f"min_{c} < max_{c}" for c in SAME_SET)).select("doc_id"))
+    if several.limit(1).count():
+        members = named.join(several, "doc_id").join(join.classes.select(*SAME_SET, F.col("doc").alias("rep")), SAME_SET)
+        least = members.groupBy("doc_id").agg(F.min("rep").alias("b"))
+        ties = members.join(least, "doc_id").filter("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
         found = components(ties.unionAll(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), join.scratch)
-    rooted = join.classes.join(found, F.col("doc") == F.col("node"), "left").select(*SAME_SET, F.coalesce("root", "doc").alias("root"))
-    roots = join.scratch.save(rooted)
-    out = join.sketch.select("doc_id", *SAME_SET).join(roots, SAME_SET, "left")
+    rooted = join.classes.join(found.hint("merge"), F.col("doc") == F.col("node"), "left").select(*SAME_SET, F.coalesce("root", "doc").alias("root"))
+    out = join.sketch.select("doc_id", *SAME_SET).join(rooted.hint("merge"), SAME_SET, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, width: int, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of each component's smallest doc_id, one row of them; rows with a null doc_id stay."""
+    """The rows of each component's smallest doc_id, one row of them (the least by its columns,
+    maps compared as JSON); rows with a null doc_id stay."""
     kept = near_duplicates(docs, width, similarity).filter("kept").select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id", "left_semi").select(docs.columns)
-    nth = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in sorted(docs.columns)])
-    stay = stay.withColumn("__nth", F.row_number().over(nth)).filter(F.col("__nth") == 1).select(docs.columns)
+    stay = docs.join(kept.hint("merge"), "doc_id", "left_semi")
+    comparable = [F.to_json(f.name) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in sorted(docs.schema, key=lambda f: f.name)]
+    nth = Window.partitionBy("doc_id").orderBy(*[c.asc_nulls_last() for c in comparable])
+    rank = fresh("nth", docs.columns)
+    stay = stay.withColumn(rank, F.row_number().over(nth)).filter(F.col(rank) == 1).select(docs.columns)
     return stay.unionByName(docs.filter("doc_id IS NULL"))
 
 
