@@ -218,7 +218,7 @@ def segment_distance(x, a, b) -> Column:
     m = normalize(robust_cross(a, b))
     plane = F.abs(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(m, x)))))
     ends = F.least(angle(x, a), angle(x, b))
-    return F.when(norm2(subtract(a, b)) == 0, ends).otherwise(F.when(_foot_inside(x, a, b), plane).otherwise(ends))
+    return F.when(norm2(subtract(a, b)) == 0, ends).otherwise(F.when(_foot_inside(x, a, b), F.least(plane, ends)).otherwise(ends))
 
 
 @let

@@ -28,10 +28,8 @@ def bounding_rect(points: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy("lng")
     first = F.min("lng").over(Window.partitionBy(key))
     gap = F.coalesce(F.lead("lng").over(w), first + 360) - F.col("lng")
-    widest = F.max(F.struct(gap.alias("gap"), (-F.col("lng")).alias("neg"), F.coalesce(F.lead("lng").over(w), first).alias("after")))
     gaps = lngs.withColumn("g", F.struct(gap.alias("gap"), (-F.col("lng")).alias("neg"), F.coalesce(F.lead("lng").over(w), first).alias("after")))
     ends = gaps.groupBy(key).agg(F.max("g").alias("g"))
-    del widest
     return lats.join(ends, key).select(key, "lat_lo", "lat_hi", F.col("g.after").alias("lng_lo"), (-F.col("g.neg")).alias("lng_hi"))
 
 
@@ -121,11 +119,10 @@ def convex_hull(points: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key).applyInArrow(whole, schema)
 
 
-def directed_hausdorff(target: DataFrame, source: DataFrame) -> DataFrame:
-    """target_id, source_id, radians: over target vertices (target_id, p) the largest distance
-    to the source's nearest arc (source_id, a, b).  All pairs of ids are asked for, so the
-    result itself is their product."""
-    near = target.join(source).groupBy("target_id", "source_id", "p").agg(F.min(V.segment_distance("p", "a", "b")).alias("near"))
+def directed_hausdorff(target: DataFrame, source: DataFrame, pairs: DataFrame) -> DataFrame:
+    """target_id, source_id, radians for each asked pair (target_id, source_id): over target
+    vertices (target_id, p) the largest distance to the source's nearest arc (source_id, a, b)."""
+    near = pairs.join(target, "target_id").join(source, "source_id").groupBy("target_id", "source_id", "p").agg(F.min(V.segment_distance("p", "a", "b")).alias("near"))
     return near.groupBy("target_id", "source_id").agg(F.max("near").alias("radians"))
 
 
@@ -134,12 +131,20 @@ def longitude_interval(points: DataFrame, key: str) -> DataFrame:
     return box.select(key, I.s_make(F.radians("lng_lo"), F.radians("lng_hi")).alias("lng"))
 
 
-def dense_ids(rows: DataFrame, *columns: str, name: str = "id") -> DataFrame:
-    """Dictionary encoding: distinct values numbered in order, by counts of ranges."""
+def dense_ids(rows: DataFrame, *columns: str, name: str = "id", ranges: int = 256) -> DataFrame:
+    """Dictionary encoding: distinct values numbered from 0 in order, nulls first.
+
+    A sample of at most ``ranges`` values (the least hashes) cuts the order into ranges of
+    about one size; values are numbered within their range, and each range starts at the
+    count of those before it, so no task sees all values."""
     values = rows.select(*columns).distinct()
-    salted = values.withColumn("__r", F.pmod(F.xxhash64(*columns), F.lit(64)))
-    w = Window.partitionBy("__r").orderBy(*columns)
-    numbered = salted.withColumn("__n", F.row_number().over(w))
-    sizes = numbered.groupBy("__r").agg(F.count("*").alias("__c"))
-    base = sizes.withColumn("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return numbered.join(F.broadcast(base.select("__r", "__b")), "__r").select(*columns, (F.col("__b") + F.col("__n") - 1).alias(name))
+    value = F.struct(*columns)
+    sample = values.orderBy(F.xxhash64(*columns)).limit(ranges).orderBy(*columns).collect()
+    kinds = [values.schema[c].dataType for c in columns]
+    cuts = F.array(*(F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(r, kinds, columns, strict=True))) for r in sample))
+    part = F.size(F.filter(cuts, lambda c: c <= value)) if sample else F.lit(0)
+    parted = values.select(*columns, part.alias("_part"))
+    numbered = parted.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*columns)))
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("_n"))
+    base = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    return numbered.join(F.broadcast(base), "_part").select(*columns, (F.col("_base") + F.col("_nth") - 1).alias(name))

@@ -164,13 +164,13 @@ def point_in_polygon(points: DataFrame, polygons: DataFrame, max_cells: int = 32
     return sure.unionAll(tested)
 
 
-def _arc_cells(a: np.ndarray, b: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Arc by arc the cells of a level that it may meet, as ``cover.at_level`` of its chain."""
+def _arc_cells(a: np.ndarray, b: np.ndarray, level: int, margin: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Arc by arc the cells of a level that it, or a point within ``margin`` of it, may meet."""
     rows, cells = np.repeat(np.arange(len(a)), 6), np.tile(grid.faces(), len(a))
     for k in range(level + 1):
         few, at = np.unique(cells, return_inverse=True)
         center, reach = grid.cell_bound(few)
-        hit = P.segment_distance(center[at], a[rows], b[rows]) <= reach[at] + 1e-15
+        hit = P.segment_distance(center[at], a[rows], b[rows]) <= reach[at] + margin + 1e-15
         rows, cells = rows[hit], cells[hit]
         if k < level:
             rows, cells = np.repeat(rows, 4), grid.children(cells).ravel()
@@ -247,10 +247,15 @@ def closest_edges(edges: DataFrame, queries: DataFrame, k: int, radius: float) -
     """query_id, rank, id, radians: the k nearest arcs within a radius of each query."""
     level = level_for(radius)
 
-    def chains(b: pa.RecordBatch):
-        return [cover.Chain(np.stack([x, y]), radius) for x, y in zip(points_array(b.column("a")), points_array(b.column("b")), strict=True)]
+    point = edges.schema["a"].dataType.simpleString()
 
-    covered = _with_cover(edges.select("id", "a", "b"), chains, level)
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                rows, cells = _arc_cells(points_array(b.column("a")), points_array(b.column("b")), level, radius)
+                yield b.take(pa.array(rows, pa.int64())).append_column("cell", pa.array(cells, pa.int64()))
+
+    covered = edges.select("id", "a", "b").mapInArrow(enter, f"id long, a {point}, b {point}, cell long")
     asked = C.with_cell(queries.select("query_id", "q"), "q", "cell", level)
     pairs = covered.join(asked, "cell").withColumn("radians", V.segment_distance("q", "a", "b")).filter(F.col("radians") <= radius)
     best = Window.partitionBy("query_id").orderBy("radians", "id")

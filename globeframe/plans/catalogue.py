@@ -87,6 +87,52 @@ def token_sql(cell: str) -> str:
     return f"rtrim(lpad(lower(to_hex({cell})), 16, '0'), '0')"
 
 
+def det(a: str, b: str, c: str) -> str:
+    """(a x b).c of columns named a.x, a.y, a.z and so on."""
+    return f"(({a}.y*{b}.z-{a}.z*{b}.y)*{c}.x+({a}.z*{b}.x-{a}.x*{b}.z)*{c}.y+({a}.x*{b}.y-{a}.y*{b}.x)*{c}.z)"
+
+
+def dot(a: str, b: str) -> str:
+    return f"({a}.x*{b}.x+{a}.y*{b}.y+{a}.z*{b}.z)"
+
+
+def corner(a: str, b: str, c: str) -> str:
+    """Signed area of a triangle."""
+    return f"2*atan2({det(a, b, c)}, 1+{dot(a, b)}+{dot(b, c)}+{dot(c, a)})"
+
+
+def ortho_sql(source: str, keep: str = "") -> str:
+    """id, x, y, z, a unit vector o across from the largest component, and w = (x, y, z) x o."""
+    t = "CASE WHEN abs(x)>abs(y) AND abs(x)>abs(z) THEN 0 WHEN abs(y)>abs(z) THEN 1 ELSE 2 END"
+    return f"""(SELECT *, y*oz-z*oy AS wx, z*ox-x*oz AS wy, x*oy-y*ox AS wz FROM (SELECT id{keep}, x, y, z, cx/l AS ox, cy/l AS oy, cz/l AS oz FROM (
+      SELECT *, sqrt(cx*cx+cy*cy+cz*cz) AS l FROM (SELECT *, y*tz-z*ty AS cx, z*tx-x*tz AS cy, x*ty-y*tx AS cz FROM (
+      SELECT *, CASE WHEN t=1 THEN 1.0 ELSE 0.012 END AS tx, CASE WHEN t=2 THEN 1.0 ELSE 0.0053 END AS ty, CASE WHEN t=0 THEN 1.0 ELSE 0.00457 END AS tz FROM (
+      SELECT *, {t} AS t FROM {source}))))))"""
+
+
+def ring_sql(source: str, radius: float, n: int) -> str:
+    """id, k and the k-th vertex x, y, z of a regular ring about each point, counterclockwise."""
+    at = f"2*pi()*k/{n}"
+    v = ", ".join(f"cos({radius})*{c}+sin({radius})*(cos({at})*o{c}+sin({at})*w{c}) AS {c}" for c in "xyz")
+    return f"(SELECT id, k, {v} FROM {ortho_sql(source)}, range({n}) r(k))"
+
+
+def sides_sql(ring: str, n: int) -> str:
+    """id, k, and the ends a and b (structs) of each side of the rings."""
+    return f"(SELECT a.id AS id, a.k AS k, {{'x': a.x, 'y': a.y, 'z': a.z}} AS a, {{'x': b.x, 'y': b.y, 'z': b.z}} AS b FROM {ring} a JOIN {ring} b ON a.id = b.id AND b.k = (a.k + 1) % {n})"
+
+
+def segment_sql(p: str, a: str, b: str) -> str:
+    """Angle from p to the arc ab."""
+    n = {"x": f"({a}.y*{b}.z-{a}.z*{b}.y)", "y": f"({a}.z*{b}.x-{a}.x*{b}.z)", "z": f"({a}.x*{b}.y-{a}.y*{b}.x)"}
+    na = f"(({n['y']}*{a}.z-{n['z']}*{a}.y)*{p}.x+({n['z']}*{a}.x-{n['x']}*{a}.z)*{p}.y+({n['x']}*{a}.y-{n['y']}*{a}.x)*{p}.z)"
+    bn = f"(({b}.y*{n['z']}-{b}.z*{n['y']})*{p}.x+({b}.z*{n['x']}-{b}.x*{n['z']})*{p}.y+({b}.x*{n['y']}-{b}.y*{n['x']})*{p}.z)"
+    chord = lambda q: f"(power({p}.x-{q}.x,2)+power({p}.y-{q}.y,2)+power({p}.z-{q}.z,2))"
+    ends = f"2*asin(least(1.0, sqrt(least({chord(a)}, {chord(b)}))/2))"
+    plane = f"abs(asin(greatest(-1.0, least(1.0, {det(a, b, p)}/sqrt({n['x']}*{n['x']}+{n['y']}*{n['y']}+{n['z']}*{n['z']})))))"
+    return f"CASE WHEN {na} > 0 AND {bn} > 0 THEN least({plane}, {ends}) ELSE {ends} END"
+
+
 CHORD = "least(4.0, (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z))"
 ANGLE = "2 * asin(sqrt({0}) / 2)"
 CROSSN = "sqrt(power(a.y*b.z-a.z*b.y,2)+power(a.z*b.x-a.x*b.z,2)+power(a.x*b.y-a.y*b.x,2))"
@@ -144,9 +190,9 @@ def point_from_latlng(spark, d):
     return _customers(spark, d).select("id", *(_r(F.col("p")[c], 9).alias(c) for c in "xyz"))
 
 
-@query(f"SELECT id, round(degrees(atan2(z, sqrt(x*x+y*y))), 7) AS lat, round(degrees(atan2(y, x)), 7) AS lng FROM {CUSTOMERS} WHERE lng > -180")
+@query(f"SELECT id, round(degrees(atan2(z, sqrt(x*x+y*y))), 7) AS lat, round(degrees(atan2(y, x)), 7) AS lng FROM {CUSTOMERS}")
 def latlng_from_point(spark, d):
-    df = _customers(spark, d).filter("lng > -180")
+    df = _customers(spark, d)
     return df.select("id", _r(F.degrees(V.latitude("p")), 7).alias("lat"), _r(F.degrees(V.longitude("p")), 7).alias("lng"))
 
 
@@ -190,20 +236,23 @@ def plate_carree_xy(spark, d):
     return _pairs(spark, d).select("id", _r(x, 7).alias("x"), _r(y, 7).alias("y"), _r(PR.wrap_destination("lng", "zlng", 360.0), 7).alias("wrapped"))
 
 
-@query(f"""SELECT a.id AS id, round(sin((1-t)*w)/sin(w)*a.x + sin(t*w)/sin(w)*b.x, 8) AS x, round(sin((1-t)*w)/sin(w)*a.z + sin(t*w)/sin(w)*b.z, 8) AS z
-FROM (SELECT a.*, b, 0.25::DOUBLE AS t, {ATAN} AS w FROM (SELECT * FROM {CUSTOMERS}) a JOIN {ZONES} b ON a.c_nationkey = b.id) a WHERE w > 0.001 AND w < 3.14""".replace("b.x, 8", "b.x, 8"))
+_QUARTER = ", ".join(f"round(CASE WHEN w = 0 THEN a.{c} ELSE sin(0.75*w)/sin(w)*a.{c} + sin(0.25*w)/sin(w)*b.{c} END, 8) + 0.0 AS {c}" for c in "xyz")
+
+
+@query(f"SELECT a.id AS id, {_QUARTER} FROM (SELECT a.*, b, {ATAN} AS w FROM (SELECT * FROM {CUSTOMERS}) a JOIN {ZONES} b ON a.c_nationkey = b.id) a")
 def interpolate_quarter(spark, d):
-    df = _pairs(spark, d).withColumn("w", V.angle("p", "q")).filter("w > 0.001 AND w < 3.14")
     m = V.interpolate("p", "q", 0.25)
-    return df.select("id", _r(m["x"], 8).alias("x"), _r(m["z"], 8).alias("z"))
+    return _pairs(spark, d).select("id", *(_r(m[c], 8).alias(c) for c in "xyz"))
 
 
-@query()
+_TURNED = ", ".join(f"round(a.{c}*cos(1.0)+({q})*sin(1.0)+b.{c}*{dot('a', 'b')}*(1-cos(1.0)), 8) + 0.0 AS r{c}" for c, q in (("x", "b.y*a.z-b.z*a.y"), ("y", "b.z*a.x-b.x*a.z"), ("z", "b.x*a.y-b.y*a.x")))
+
+
+@query(f"SELECT a.id AS id, round(ox, 8) + 0.0 AS ox, round(oy, 8) + 0.0 AS oy, round(oz, 8) + 0.0 AS oz, {_TURNED}, true AS unit FROM {ortho_sql(CUSTOMERS, ', c_nationkey')} a JOIN {ZONES} b ON a.c_nationkey = b.id")
 def vector_algebra(spark, d):
-    df = _pairs(spark, d)
-    o = V.ortho("p")
-    turned = V.rotate("p", "q", 1.0)
-    return df.select("id", _r(V.dot(o, "p"), 9).alias("zero"), _r(V.norm(o), 9).alias("one"), _r(V.angle(turned, "q") - V.angle("p", "q"), 7).alias("kept"), V.is_unit("p").alias("unit"))
+    o, turned = V.ortho("p"), V.rotate("p", "q", 1.0)
+    out = [_r(v[c], 8).alias(f"{k}{c}") for k, v in (("o", o), ("r", turned)) for c in "xyz"]
+    return _pairs(spark, d).select("id", *out, V.is_unit("p").alias("unit"))
 
 
 # Intervals, discs, rectangles.
@@ -247,24 +296,27 @@ def cap_relations(spark, d):
     return df.select("id", R.cap_intersects(a, b).alias("meets"), R.cap_contains_cap(R.cap("p", 0.6), R.cap("q", 0.1)).alias("holds"), _r(F.least(R.cap_radius(R.cap_union(a, b)), F.lit(9.0)), 7).alias("joined"))
 
 
-@query(f"""SELECT a.id AS id, a.lat BETWEEN b.lat-20 AND b.lat+20 AND abs(((a.lng-b.lng+540) - 360*floor((a.lng-b.lng+540)/360)) - 180) <= 40 AS has FROM {PAIRS}""")
+# How far apart two longitudes are, either way round; positions are in hundredths of a degree.
+LNG_GAP = "round(abs(((a.lng-b.lng+540) - 360*floor((a.lng-b.lng+540)/360)) - 180), 6)"
+LAT_GAP = "round(abs(a.lat-b.lat), 6)"
+
+
+@query(f"SELECT a.id AS id, {LAT_GAP} <= 20 AND {LNG_GAP} <= 40 AS has FROM {PAIRS}")
 def rect_contains_wrap(spark, d):
     df = _pairs(spark, d)
-    wrap = lambda x: F.when(x > 180, x - 360).when(x < -180, x + 360).otherwise(x)
-    r = R.rect_from_degrees(F.col("zlat") - 20, wrap(F.col("zlng") - 40), F.col("zlat") + 20, wrap(F.col("zlng") + 40))
-    inside = R.rect_contains(r, F.radians("lat"), F.radians("lng"))
-    # The oracle is in degrees; points on the border are left to it within a millionth.
-    return df.select("id", F.coalesce(inside | ((F.abs(F.abs(F.col("lat") - F.col("zlat")) - 20) < 1e-9) & R.rect_contains(R.rect_expanded(r, 1e-9, 1e-9), F.radians("lat"), F.radians("lng"))) | ((F.abs(F.abs(PR.remainder(F.col("lng") - F.col("zlng"), 360.0)) - 40) < 1e-9) & R.rect_contains(R.rect_expanded(r, 1e-9, 1e-9), F.radians("lat"), F.radians("lng"))), F.lit(False)).alias("has"))
+    # A border of a millionth of a degree: positions in hundredths lie on it or well off it.
+    r = R.rect_from_degrees(F.col("zlat") - 20.000001, _wrap(F.col("zlng") - 40.000001), F.col("zlat") + 20.000001, _wrap(F.col("zlng") + 40.000001))
+    return df.select("id", R.rect_contains(r, F.radians("lat"), F.radians("lng")).alias("has"))
 
 
-@query(f"SELECT id, round(radians(10)*(sin(radians(least(90,lat+5)))-sin(radians(greatest(-90,lat-5)))), 8) AS area FROM {CUSTOMERS} WHERE abs(lng) < 175")
+@query(f"SELECT id, round(radians(10)*(sin(radians(least(90,lat+5)))-sin(radians(greatest(-90,lat-5)))), 8) AS area FROM {CUSTOMERS}")
 def rect_area(spark, d):
     r = R.rect_from_degrees(F.greatest(F.lit(-90.0), F.col("lat") - 5), _wrap(F.col("lng") - 5), F.least(F.lit(90.0), F.col("lat") + 5), _wrap(F.col("lng") + 5))
     return _customers(spark, d).select("id", _r(R.rect_area(r), 8).alias("area"))
 
 
-@query(f"""SELECT a.id AS id, abs(a.lat-b.lat) <= 30 AND abs(a.lng-b.lng) <= 30 AS meets, abs(a.lat-b.lat) <= 10 AND abs(a.lng-b.lng) <= 10 AS holds
-FROM {PAIRS} WHERE abs(a.lng) < 150 AND abs(b.lng) < 150 AND abs(a.lat) < 60 AND abs(b.lat) < 60 AND abs(a.lat-b.lat) NOT IN (10, 30) AND abs(a.lng-b.lng) NOT IN (10, 30)""")
+@query(f"""SELECT a.id AS id, {LAT_GAP} <= 30 AND {LNG_GAP} <= 30 AS meets,
+  greatest(-90, round(a.lat-20, 6)) <= greatest(-90, round(b.lat-10, 6)) AND least(90, round(a.lat+20, 6)) >= least(90, round(b.lat+10, 6)) AND {LNG_GAP} <= 10 AS holds FROM {PAIRS}""")
 def rect_relations(spark, d):
     df = _pairs(spark, d)
     box = lambda la, ln, s: R.rect_from_degrees(F.greatest(F.lit(-90.0), F.col(la) - s), _wrap(F.col(ln) - s), F.least(F.lit(90.0), F.col(la) + s), _wrap(F.col(ln) + s))
@@ -312,9 +364,9 @@ def cell_token_round_trip(spark, d):
     return _cells(spark, d).select("id", C.from_token(C.token("cell")).alias("back"), (F.length(C.token("cell")) == 16).alias("long_token"))
 
 
-@query(f"""SELECT id, face || '/' || array_to_string(list_transform(range(1, 9), lambda k: (cell >> (61 - 2*k)::INTEGER) & 3), '') AS path FROM {cells_sql(CUSTOMERS)}""")
+@query(f"""SELECT id, face || '/' || array_to_string(list_transform(range(1, 31), lambda k: (cell >> (61 - 2*k)::INTEGER) & 3), '') AS path FROM {cells_sql(CUSTOMERS)}""")
 def cell_debug_string(spark, d):
-    return _cells(spark, d, 8).select("id", C.debug_string("cell").alias("path"))
+    return _cells(spark, d).select("id", C.debug_string("cell").alias("path"))
 
 
 @query(f"""SELECT a.id AS id, CASE WHEN xor(a.cell, b.cell) < 0 OR (xor(a.cell, b.cell) >> 61) > 0 THEN NULL ELSE
@@ -332,18 +384,47 @@ def cell_contains_join(spark, d):
     return _cells(spark, d).withColumn("zone_cell", C.parent("cell", 3)).join(zones, "zone_cell").groupBy("zone_cell").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT id, (({up('cell', 9)} >> 43) & 262143) AS steps, {up('cell', 9)} + 2*({up('cell', 9)} & -{up('cell', 9)}) AS following FROM {cells_sql(CUSTOMERS)} WHERE face < 3")
+def unsigned(cell: str) -> str:
+    return f"(CASE WHEN {cell} < 0 THEN {cell}::HUGEINT + 18446744073709551616 ELSE {cell}::HUGEINT END)"
+
+
+def signed(cell: str) -> str:
+    return f"(CASE WHEN {cell} >= 9223372036854775808 THEN {cell} - 18446744073709551616 ELSE {cell} END)::BIGINT"
+
+
+_C9 = unsigned(up("cell", 9))
+
+
+@query(f"SELECT id, ({_C9} // 8796093022208)::BIGINT AS steps, {signed(f'({_C9} + 8796093022208)')} AS following FROM {cells_sql(CUSTOMERS)}")
 def cell_curve_steps(spark, d):
     df = _cells(spark, d, 9)
     return df.select("id", C.distance_from_begin("cell").alias("steps"), C.next_cell("cell").alias("following"))
 
 
-@query(f"""WITH q AS (SELECT id, face, i, j, {up('cell', 8)} AS c FROM {cells_sql(CUSTOMERS)})
-SELECT id, true AS near, true AS same FROM q""")
+def uv_sql(st: str) -> str:
+    return f"CASE WHEN {st} >= 0.5 THEN (4*({st})*({st})-1)/3 ELSE (1-4*(1-({st}))*(1-({st})))/3 END"
+
+
+def xyz_sql(source: str) -> str:
+    """id and a unit vector from columns face, u, v."""
+    x = "CASE face WHEN 0 THEN 1 WHEN 1 THEN -u WHEN 2 THEN -u WHEN 3 THEN -1 WHEN 4 THEN v ELSE v END"
+    y = "CASE face WHEN 0 THEN u WHEN 1 THEN 1 WHEN 2 THEN -v WHEN 3 THEN -v WHEN 4 THEN -1 ELSE u END"
+    z = "CASE face WHEN 0 THEN v WHEN 1 THEN v WHEN 2 THEN 1 WHEN 3 THEN -u WHEN 4 THEN -u ELSE -1 END"
+    return f"(SELECT * REPLACE (x/l AS x, y/l AS y, z/l AS z) FROM (SELECT *, sqrt(x*x+y*y+z*z) AS l FROM (SELECT *, ({x})::DOUBLE AS x, ({y})::DOUBLE AS y, ({z})::DOUBLE AS z FROM {source})))"
+
+
+def shifted_sql(level: int, di: str, dj: str, keep: str = "id") -> str:
+    """face, u, v at a cell's low corner plus (di, dj) sides, for the cell of each customer."""
+    side = 1 << (30 - level)
+    st = lambda a, by: f"((({a} // {side}) + {by}) * {side}) / {grid.SIZE}.0::DOUBLE"
+    return f"(SELECT {keep}, face, {uv_sql(st('i', di))} AS u, {uv_sql(st('j', dj))} AS v FROM {cells_sql(CUSTOMERS)})"
+
+
+@query(f"SELECT id, round(x, 9) + 0.0 AS x, round(y, 9) + 0.0 AS y, round(z, 9) + 0.0 AS z, true AS same FROM {xyz_sql(shifted_sql(8, '0.5', '0.5'))}")
 def cell_center(spark, d):
     df = C.with_center(_cells(spark, d, 8), "cell", "center")
     back = C.with_cell(df, "center", "again", 8)
-    return back.select("id", (V.angle("p", "center") <= 2.438654594434021 * 2.0**-8).alias("near"), (F.col("again") == F.col("cell")).alias("same"))
+    return back.select("id", *(_r(F.col("center")[c], 9).alias(c) for c in "xyz"), (F.col("again") == F.col("cell")).alias("same"))
 
 
 @query("""SELECT l::INTEGER AS level, round(2*sqrt(2)/3*power(2,-l), 12) AS min_width, round(4*pi()/6*power(4,-l), 12) AS avg_area, round(2.438654594434021*power(2,-l), 12) AS max_diag FROM range(0, 31) t(l)""")
@@ -352,16 +433,26 @@ def cell_metrics(spark, d):
     return df.select("level", *(_r(C.metric_value(m, "level"), 12).alias(m) for m in ("min_width", "avg_area", "max_diag")))
 
 
-@query(f"""SELECT n, count(*) AS cells FROM (SELECT DISTINCT {up('cell', 7)} AS c, 4 AS n FROM {cells_sql(CUSTOMERS)}) GROUP BY n""")
+# Points a little beyond the middle of each side: the neighbour's, on whatever face it lies.
+_BEYOND = " UNION ALL ".join(f"SELECT id * 4 + {k} AS id, x, y, z FROM {xyz_sql(shifted_sql(7, i, j))}" for k, (i, j) in enumerate((("0.5", "-1e-6"), ("1.000001", "0.5"), ("0.5", "1.000001"), ("-1e-6", "0.5"))))
+
+
+@query(f"""SELECT id // 4 AS id, list_sort(list({up('cell', 7)}))::VARCHAR AS neighbors FROM {cells_sql(f"({_BEYOND})")} GROUP BY 1""")
 def cell_neighbors(spark, d):
-    df = G.with_neighbors(_cells(spark, d, 7).select("cell").distinct())
-    return df.select(F.size(F.array_distinct("neighbors")).alias("n")).groupBy("n").agg(F.count("*").alias("cells"))
+    df = G.with_neighbors(_cells(spark, d, 7).select("id", "cell"))
+    return df.select("id", F.concat(F.lit("["), F.array_join(F.sort_array("neighbors"), ", "), F.lit("]")).alias("neighbors"))
+
 
+def corners_sql(level: int) -> str:
+    """id and the four corners a, b, c, d (structs) of the cell of each customer, counterclockwise."""
+    p = "{'x': x, 'y': y, 'z': z}"
+    ends = [f"(SELECT id, {p} AS {n} FROM {xyz_sql(shifted_sql(level, i, j))})" for n, i, j in (("a", "0", "0"), ("b", "1", "0"), ("c", "1", "1"), ("d", "0", "1"))]
+    return "(SELECT * FROM " + " JOIN ".join(f"{e} {'t' if k == 0 else f't{k}'}" + (" USING (id)" if k else "") for k, e in enumerate(ends)) + ")"
 
-@query("SELECT 1 AS one, round(4*pi(), 8) AS total")
+
+@query(f"SELECT id, round({corner('a', 'b', 'c')} + {corner('a', 'c', 'd')}, 10) AS area FROM {corners_sql(5)}")
 def cell_exact_area(spark, d):
-    faces = spark.createDataFrame([(int(c),) for c in grid.children(grid.faces()).ravel()], "cell long")
-    return G.with_exact_area(faces).agg(_r(F.sum("area"), 8).alias("total")).select(F.lit(1).alias("one"), "total")
+    return G.with_exact_area(_cells(spark, d, 5).select("id", "cell")).select("id", _r("area", 10).alias("area"))
 
 
 # Joins.
@@ -379,14 +470,27 @@ def radius_join(spark, d):
     return J.radius_join(_customers(spark, d), _asked(derived.suppliers(spark, d)), RADIUS).withColumn("chord2", _r("chord2", 9))
 
 
-@query(f"SELECT DISTINCT query_id FROM ({NEAR}) WHERE c <= power(2*sin({RADIUS / 4}/2),2)")
+# Places that are no customer's: a supplier's key by another rule.
+SHOPS = pos("supplier", "(s_suppkey * 37 + 11)")
+
+
+def _shops(spark, d):
+    key = spark.read.parquet(f"{d}/supplier.parquet").select((F.col("s_suppkey") * 37 + 11).cast("long").alias("id"))
+    lat, lng = derived.position("id")
+    return _asked(key.withColumns({"lat": lat, "lng": lng}).withColumn("p", V.from_degrees("lat", "lng")))
+
+
+_SERVED = f"SELECT b.id FROM {CUSTOMERS} a JOIN {SHOPS} b ON {CHORD} <= power(2*sin({RADIUS / 2}/2),2)"
+
+
+@query(f"SELECT id AS query_id FROM {SHOPS} WHERE id IN ({_SERVED})")
 def radius_semi(spark, d):
-    return J.radius_semi(_customers(spark, d), _asked(derived.suppliers(spark, d)), RADIUS / 4).select("query_id")
+    return J.radius_semi(_customers(spark, d), _shops(spark, d), RADIUS / 2).select("query_id")
 
 
-@query(f"SELECT id AS query_id FROM {SUPPLIERS} WHERE id NOT IN (SELECT query_id FROM ({NEAR}) WHERE c <= power(2*sin({RADIUS / 4}/2),2))")
+@query(f"SELECT id AS query_id FROM {SHOPS} WHERE id NOT IN ({_SERVED})")
 def radius_anti(spark, d):
-    return J.radius_anti(_customers(spark, d), _asked(derived.suppliers(spark, d)), RADIUS / 4).select("query_id")
+    return J.radius_anti(_customers(spark, d), _shops(spark, d), RADIUS / 2).select("query_id")
 
 
 @query(f"SELECT query_id, rank::INTEGER AS rank, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c, id) AS rank FROM ({NEAR})) WHERE rank <= 3")
@@ -410,26 +514,28 @@ def _polygons(spark, d, radius=0.15, n=6):
     return df.select(F.col("id").alias("polygon_id"), F.array("ring").alias("rings"))
 
 
-@query()
+@query(f"SELECT p.id AS id, s.id AS polygon_id FROM {CUSTOMERS} p, {sides_sql(ring_sql(ZONES, 0.15, 6), 6)} s GROUP BY p.id, s.id HAVING bool_and({det('s.a', 's.b', 'p')} > 0)")
 def pip_polygon(spark, d):
     return J.point_in_polygon(derived.customers(spark, d), _polygons(spark, d))
 
 
-@query(f"""WITH t AS (SELECT user_id, id, x, y, z, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)),
-e AS (SELECT *, y*z2-z*y2 AS nx, z*x2-x*z2 AS ny, x*y2-y*x2 AS nz FROM t WHERE x2 IS NOT NULL AND id % 20 = 0),
+@query(f"""WITH t AS (SELECT user_id, id, x, y, z, lead(id) OVER w AS id2, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)),
+e AS (SELECT *, y*z2-z*y2 AS nx, z*x2-x*z2 AS ny, x*y2-y*x2 AS nz FROM t WHERE x2 IS NOT NULL),
 p AS (SELECT a.id AS left_id, b.id AS right_id,
-  a.nx*b.x+a.ny*b.y+a.nz*b.z AS s1, a.nx*b.x2+a.ny*b.y2+a.nz*b.z2 AS s2, b.nx*a.x+b.ny*a.y+b.nz*a.z AS s3, b.nx*a.x2+b.ny*a.y2+b.nz*a.z2 AS s4 FROM e a JOIN e b ON a.id < b.id)
-SELECT left_id, right_id FROM p WHERE (s1 > 0 AND s2 < 0 AND s3 < 0 AND s4 > 0) OR (s1 < 0 AND s2 > 0 AND s3 > 0 AND s4 < 0)""")
+  a.nx*b.x+a.ny*b.y+a.nz*b.z AS s1, a.nx*b.x2+a.ny*b.y2+a.nz*b.z2 AS s2, b.nx*a.x+b.ny*a.y+b.nz*a.z AS s3, b.nx*a.x2+b.ny*a.y2+b.nz*a.z2 AS s4
+  FROM e a JOIN e b ON a.id < b.id AND a.id <> b.id2 AND a.id2 <> b.id AND a.id2 <> b.id2)
+SELECT left_id, count(*) AS n, sum(right_id)::BIGINT AS right_ids FROM p WHERE (s1 > 0 AND s2 < 0 AND s3 < 0 AND s4 > 0) OR (s1 < 0 AND s2 > 0 AND s3 > 0 AND s4 < 0) GROUP BY left_id""")
 def edge_crossing_join(spark, d):
-    # All arcs.  The SQL keeps a twentieth of them: its rows are those with both ids in it.
-    return J.crossing_pairs(derived.edges(spark, d).select("id", "a", "b"), level=3)
+    # All pairs of arcs that cross, counted by the arc with the smaller id.
+    pairs = J.crossing_pairs(derived.edges(spark, d).select("id", "a", "b"), level=3)
+    return pairs.groupBy("left_id").agg(F.count("*").alias("n"), F.sum("right_id").alias("right_ids"))
 
 
 @query(f"""WITH t AS (SELECT user_id, id, x, y, z, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2 FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY ts, id)),
 e AS (SELECT *, y*z2-z*y2 AS nx, z*x2-x*z2 AS ny, x*y2-y*x2 AS nz FROM t WHERE x2 IS NOT NULL),
 p AS (SELECT b.id AS query_id, a.id AS id,
    CASE WHEN (a.ny*a.z-a.nz*a.y)*b.x+(a.nz*a.x-a.nx*a.z)*b.y+(a.nx*a.y-a.ny*a.x)*b.z > 0 AND (a.y2*a.nz-a.z2*a.ny)*b.x+(a.z2*a.nx-a.x2*a.nz)*b.y+(a.x2*a.ny-a.y2*a.nx)*b.z > 0
-     THEN abs(asin(greatest(-1.0, least(1.0, (a.nx*b.x+a.ny*b.y+a.nz*b.z)/sqrt(a.nx*a.nx+a.ny*a.ny+a.nz*a.nz)))))
+     THEN least(abs(asin(greatest(-1.0, least(1.0, (a.nx*b.x+a.ny*b.y+a.nz*b.z)/sqrt(a.nx*a.nx+a.ny*a.ny+a.nz*a.nz))))), 2*asin(sqrt(least(power(a.x-b.x,2)+power(a.y-b.y,2)+power(a.z-b.z,2), power(a.x2-b.x,2)+power(a.y2-b.y,2)+power(a.z2-b.z,2)))/2))
      ELSE 2*asin(sqrt(least(power(a.x-b.x,2)+power(a.y-b.y,2)+power(a.z-b.z,2), power(a.x2-b.x,2)+power(a.y2-b.y,2)+power(a.z2-b.z,2)))/2) END AS r FROM e a, {ZONES} b)
 SELECT query_id, rank::INTEGER AS rank, id, round(r, 7) AS radians FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r, id) AS rank FROM p WHERE r <= 0.05) WHERE rank <= 2""")
 def closest_edges(spark, d):
@@ -564,13 +670,16 @@ def path_centroid(spark, d):
     return df.select("user_id", _r(F.col("centroid")["x"], 5).alias("x"), _r(F.col("centroid")["z"], 5).alias("z"))
 
 
-@query(f"SELECT id, round(2*pi() - 2*6*acos(cos(pi()/6)*sqrt(1 - power(sin(0.15)*0,2))), 3) * 0 + round(n * 2 * atan2(tan(h)*tan(k)*sin(2*pi()/n), 1 + tan(h)*tan(k)*cos(2*pi()/n)), 8) AS area FROM (SELECT id, 6 AS n, 0.15/2 AS h, 0.15/2 AS k FROM {ZONES})")
+@query(f"SELECT id, round(n * 2 * atan2(tan(h)*tan(k)*sin(2*pi()/n), 1 + tan(h)*tan(k)*cos(2*pi()/n)), 8) AS area FROM (SELECT id, 6 AS n, 0.15/2 AS h, 0.15/2 AS k FROM {ZONES})")
 def loop_area(spark, d):
     df = G.with_regular_ring(derived.zones(spark, d), "p", 0.15, 6)
     return df.select("id", _r(AG.ring_area(F.col("ring")), 8).alias("area"))
 
 
-@query()
+_NINE = "9*2*atan2(power(tan(0.15),2)*sin(2*pi()/9), 1+power(tan(0.15),2)*cos(2*pi()/9))"
+
+
+@query(f"SELECT id, round({_NINE}, 8) AS area, round({_NINE}, 8) AS from_turns, round(9*2*asin(sin(0.3)*sin(pi()/9)), 8) AS perimeter FROM {ZONES}")
 def loop_measures(spark, d):
     df = G.with_regular_ring(derived.zones(spark, d), "p", 0.3, 9)
     df = G.with_perimeter(G.with_curvature(G.with_area(df)))
@@ -578,45 +687,102 @@ def loop_measures(spark, d):
 
 
 @query(f"""SELECT a.id AS id, round(2*atan2(abs(a.x*(b.y*1.0-b.z*0.0)-a.y*(b.x*1.0-b.z*0.0)+a.z*(b.x*0.0-b.y*0.0)), 1+a.x*b.x+a.y*b.y+a.z*b.z+b.z+a.z), 6) AS area
-FROM {PAIRS} WHERE a.lat > -60 AND b.lat > -60 AND {ATAN} < 2.5""")
+FROM {PAIRS}""")
 def triangle_area(spark, d):
     pole = V.vector(0.0, 0.0, 1.0)
     df = _pairs(spark, d)
     return df.select("id", _r(V.triangle_area("p", "q", pole), 6).alias("area"))
 
 
-@query()
+def hull_sql(points: str, key: str) -> str:
+    """key, n, area: convex hulls of points (key, p) of less than a hemisphere by their sides,
+    which have all other points on the left."""
+    return f"""WITH pts AS {points}, sides AS (SELECT a.{key} AS {key}, a.p AS a, b.p AS b FROM pts a JOIN pts b ON a.{key} = b.{key} AND a.p <> b.p
+  WHERE NOT EXISTS (SELECT 1 FROM pts c WHERE c.{key} = a.{key} AND c.p <> a.p AND c.p <> b.p AND {det('a.p', 'b.p', 'c.p')} < 0)),
+  one AS (SELECT {key}, min(p) AS o FROM pts GROUP BY {key})
+SELECT {key}, greatest(1, count(a))::INTEGER AS n, round(sum(coalesce({corner('o', 'a', 'b')}, 0)), 8) + 0.0 AS area FROM one LEFT JOIN sides USING ({key}) GROUP BY {key}"""
+
+
+@query(hull_sql(f"(SELECT {up('cell', 2)} AS cell, p FROM {cells_sql(CUSTOMERS)} JOIN (SELECT id, {{'x': x, 'y': y, 'z': z}} AS p FROM {CUSTOMERS}) USING (id))", "cell"))
 def convex_hull(spark, d):
-    small = derived.customers(spark, d).filter("lat BETWEEN 10 AND 60 AND lng BETWEEN -60 AND 60")
-    hull = AG.convex_hull(small.select("c_nationkey", "p"), "c_nationkey")
-    return hull.select("c_nationkey", F.size("hull").alias("n"), _r(AG.ring_area(F.col("hull")), 8).alias("area"))
+    hull = AG.convex_hull(_cells(spark, d, 2).select("cell", "p"), "cell")
+    return hull.select("cell", F.size("hull").alias("n"), (_r(AG.ring_area(F.col("hull")), 8) + 0.0).alias("area"))
 
 
-@query()
+def _shifted_rings(spark, d, by, radius: float, n: int):
+    """polygon_id and the rings b about a point ``by`` away from each zone's centre."""
+    far = derived.zones(spark, d).withColumn("far", V.normalize(V.add("p", V.scale(V.ortho("p"), by))))
+    return G.with_regular_ring(far, "far", radius, n, "other").select(F.col("id").alias("polygon_id"), F.array("other").alias("b"))
+
+
+def far_sql(by: str) -> str:
+    s = f"sqrt(1+({by})*({by}))"
+    return f"(SELECT id, (x+({by})*ox)/{s} AS x, (y+({by})*oy)/{s} AS y, (z+({by})*oz)/{s} AS z FROM {ortho_sql(ZONES)})"
+
+
+_P = "{'x': x, 'y': y, 'z': z}"
+_RING_A, _RING_B = ring_sql(ZONES, 0.25, 8), ring_sql(far_sql("0.2"), 0.25, 7)
+
+
+def inside_sql(points: str, ring: str, n: int) -> str:
+    """Those of the points (id, p) that lie in the convex ring of the same id."""
+    return f"SELECT q.id, q.p FROM (SELECT id, {_P} AS p FROM {points}) q JOIN {sides_sql(ring, n)} s ON q.id = s.id GROUP BY q.id, q.p HAVING bool_and({det('s.a', 's.b', 'q.p')} > 0)"
+
+
+def crossings_sql(left: str, n: int, right: str, m: int) -> str:
+    """id and p where sides of two rings of one id cross."""
+    cut = lambda a, b: (f"({a}.y*{b}.z-{a}.z*{b}.y)", f"({a}.z*{b}.x-{a}.x*{b}.z)", f"({a}.x*{b}.y-{a}.y*{b}.x)")
+    (ax, ay, az), (bx, by, bz) = cut("s.a", "s.b"), cut("t.a", "t.b")
+    return f"""SELECT id, {{'x': g*x/l, 'y': g*y/l, 'z': g*z/l}} AS p FROM (SELECT *, sqrt(x*x+y*y+z*z) AS l, CASE WHEN x*mx+y*my+z*mz < 0 THEN -1 ELSE 1 END AS g FROM (
+      SELECT s.id, {ay}*{bz}-{az}*{by} AS x, {az}*{bx}-{ax}*{bz} AS y, {ax}*{by}-{ay}*{bx} AS z, s.a.x+s.b.x AS mx, s.a.y+s.b.y AS my, s.a.z+s.b.z AS mz
+      FROM {sides_sql(left, n)} s JOIN {sides_sql(right, m)} t ON s.id = t.id
+      WHERE {det('s.a', 's.b', 't.a')} * {det('s.a', 's.b', 't.b')} < 0 AND {det('t.a', 't.b', 's.a')} * {det('t.a', 't.b', 's.b')} < 0))"""
+
+
+def regular_area_sql(radius: float, n: int) -> str:
+    return f"{n}*2*atan2(power(tan({radius}/2),2)*sin(2*pi()/{n}), 1+power(tan({radius}/2),2)*cos(2*pi()/{n}))"
+
+
+_COMMON = hull_sql(f"({inside_sql(_RING_A, _RING_B, 7)} UNION ALL {inside_sql(_RING_B, _RING_A, 8)} UNION ALL {crossings_sql(_RING_A, 8, _RING_B, 7)})", "id")
+
+
+@query(f"""SELECT id AS polygon_id, round(area, 7) AS intersection_area, round({regular_area_sql(0.25, 8)} + {regular_area_sql(0.25, 7)} - area, 7) AS union_area, round({regular_area_sql(0.25, 8)} - area, 7) AS difference_area FROM ({_COMMON})""")
 def polygon_overlay(spark, d):
-    a = _polygons(spark, d, 0.25, 8)
-    df = a.withColumnRenamed("rings", "a").crossJoin(F.broadcast(a.filter("polygon_id = 7").select(F.col("rings").alias("b")))) if False else a.select("polygon_id", F.col("rings").alias("a"), F.col("rings").alias("b"))
-    shifted = G.with_regular_ring(derived.zones(spark, d).withColumn("near", V.normalize(V.add("p", V.scale(V.ortho("p"), 0.2)))), "near", 0.25, 7, "other")
-    df = df.drop("b").join(shifted.select(F.col("id").alias("polygon_id"), F.array("other").alias("b")), "polygon_id")
-    for op in ("union", "intersection", "difference"):
+    # Two convex polygons that overlap in part, for each zone.
+    df = _polygons(spark, d, 0.25, 8).select("polygon_id", F.col("rings").alias("a")).join(_shifted_rings(spark, d, 0.2, 0.25, 7), "polygon_id")
+    ops = ("union", "intersection", "difference")
+    for op in ops:
         df = G.with_polygon_area(G.with_overlay(df, "a", "b", op, op), op, f"{op}_area")
-    both = F.col("union_area") + F.col("intersection_area")
-    df = G.with_polygon_area(G.with_polygon_area(df, "a", "area_a"), "b", "area_b")
-    return df.select("polygon_id", _r("union_area", 8).alias("union_area"), _r("difference_area", 8).alias("difference_area"), (F.abs(both - F.col("area_a") - F.col("area_b")) < 1e-9).alias("adds_up"))
+    return df.select("polygon_id", *(_r(f"{op}_area", 7).alias(f"{op}_area") for op in ops))
 
 
-@query()
+_SMALL = ring_sql(far_sql("(id % 4) * 0.1"), 0.1, 5)
+_BIG = ring_sql(ZONES, 0.25, 8)
+
+
+@query(f"""WITH held AS ({inside_sql(_SMALL, _BIG, 8)}), round AS ({inside_sql(_BIG, _SMALL, 5)}), cut AS ({crossings_sql(_BIG, 8, _SMALL, 5)}),
+n AS (SELECT id, (SELECT count(*) FROM held WHERE held.id = z.id) AS held, (SELECT count(*) FROM round WHERE round.id = z.id) + (SELECT count(*) FROM cut WHERE cut.id = z.id) AS more FROM {ZONES} z)
+SELECT id AS polygon_id, held = 5 AS contains, held + more > 0 AS intersects, false AS equal FROM n""")
 def polygon_relations(spark, d):
-    big, small = _polygons(spark, d, 0.25, 8), _polygons(spark, d, 0.1, 5)
-    df = big.select("polygon_id", F.col("rings").alias("a")).join(small.select("polygon_id", F.col("rings").alias("b")), "polygon_id")
+    # A small polygon at four distances from a big one's centre: within, across its border, outside.
+    by = (F.col("id") % 4) * 0.1
+    df = _polygons(spark, d, 0.25, 8).select("polygon_id", F.col("rings").alias("a")).join(_shifted_rings(spark, d, by, 0.1, 5), "polygon_id")
     return G.polygon_relations(df, "a", "b").select("polygon_id", "contains", "intersects", "equal")
 
 
-@query("SELECT n_nationkey::BIGINT AS id, 0 AS faults FROM nation")
+_FAULTS = ("", "duplicate_vertices", "edges_cross", "not_enough_vertices", "not_unit_length")
+
+
+@query("SELECT n_nationkey::BIGINT AS id, ['', " + ", ".join(f"'{f}'" for f in _FAULTS[1:]) + "][(n_nationkey % 5 + 1)::BIGINT] AS faults FROM nation")
 def polygon_validate(spark, d):
-    p = _polygons(spark, d).select(F.col("polygon_id").alias("id"), "rings")
-    found = G.validate(p).groupBy("id").agg(F.count("*").cast("int").alias("faults"))
-    return p.select("id").join(found, "id", "left").select("id", F.coalesce("faults", F.lit(0)).alias("faults"))
+    # Sound rings, and four that break one rule each.
+    p, k = _polygons(spark, d).select(F.col("polygon_id").alias("id"), F.element_at("rings", 1).alias("r")), F.col("id") % 5
+    at = lambda *i: F.array(*(F.element_at("r", j) for j in i))
+    off = F.concat(F.array(V.scale(F.element_at("r", 1), 1.001)), F.slice("r", 2, 5))
+    r = F.when(k == 1, at(1, 2, 2, 3, 4, 5, 6)).when(k == 2, at(1, 2, 4, 3, 5, 6)).when(k == 3, F.slice("r", 1, 2)).when(k == 4, off).otherwise(F.col("r"))
+    p = p.select("id", F.array(r).alias("rings"))
+    found = G.validate(p).groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("code")), ",").alias("faults"))
+    return p.select("id").join(found, "id", "left").select("id", F.coalesce("faults", F.lit("")).alias("faults"))
 
 
 @query()
@@ -641,14 +807,23 @@ def union_operations(spark, d):
     return df.select("id", *(F.size(c).alias(c) for c in ("union", "intersection", "difference")))
 
 
-@query(f"""SELECT b.id AS target_id, c.id AS source_id, round({ATAN}, 7) AS radians FROM {ZONES} b, (SELECT * FROM {ZONES}) a JOIN (SELECT id FROM {ZONES}) c ON a.id = c.id WHERE b.id < 5 AND c.id >= 20""")
+_HEX = ring_sql(ZONES, 0.15, 6)
+_TRADE = "SELECT DISTINCT c_nationkey::BIGINT AS target_id, s_nationkey::BIGINT AS source_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey"
+
+
+@query(f"""WITH near AS (SELECT t.target_id, t.source_id, p.k, min({segment_sql('p', 's.a', 's.b')}) AS r FROM ({_TRADE}) t JOIN {_HEX} p ON p.id = t.target_id JOIN {sides_sql(_HEX, 6)} s ON s.id = t.source_id GROUP BY 1, 2, 3)
+SELECT target_id, source_id, round(max(r), 7) AS radians FROM near GROUP BY 1, 2""")
 def hausdorff(spark, d):
-    # All rings with all vertices and arcs.  The SQL is of some centres only.
+    # Whole rings of all zones, for every pair of nations that trade.
+    read = lambda t: spark.read.parquet(f"{d}/{t}.parquet")
+    sold = read("lineitem").select("l_orderkey", "l_suppkey").join(read("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    sold = sold.join(read("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("long").alias("target_id")), "o_custkey")
+    pairs = sold.join(read("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("source_id")), "l_suppkey").select("target_id", "source_id").distinct()
     z = G.with_regular_ring(derived.zones(spark, d), "p", 0.15, 6)
     target = z.select(F.col("id").alias("target_id"), F.explode("ring").alias("p"))
     turned = F.concat(F.slice("ring", F.lit(2), F.size("ring") - 1), F.slice("ring", 1, 1))
     source = z.select(F.col("id").alias("source_id"), F.explode(F.arrays_zip(F.col("ring").alias("a"), turned.alias("b"))).alias("arc")).select("source_id", "arc.a", "arc.b")
-    return AG.directed_hausdorff(target, source).withColumn("radians", _r("radians", 7))
+    return AG.directed_hausdorff(target, source, pairs).withColumn("radians", _r("radians", 7))
 
 
 @query()
@@ -665,16 +840,20 @@ def track_simplify(spark, d):
     return G.with_simplified(t, 0.3).select("user_id", F.size("chain").alias("n"), F.size("kept").alias("kept"))
 
 
-@query(f"""SELECT id, lat::VARCHAR AS a, count(*) AS n FROM (SELECT id, round(lat, 2) AS lat FROM {ZONES}) GROUP BY id, lat""")
+@query(f"SELECT id, n, round(lat, 2) AS lat, round(lng, 2) AS lng FROM {ZONES}, (VALUES (1), (2)) t(n)")
 def text_points(spark, d):
-    z = derived.zones(spark, d).withColumn("text", F.concat_ws(":", F.round("lat", 2).cast("string"), F.round("lng", 2).cast("string")))
-    z = z.withColumn("found", F.explode(T.parse_points(F.concat("text", F.lit(", oops, 1:x")))))
-    return z.groupBy("id", F.round(F.degrees(V.latitude("found")), 2).cast("string").alias("a")).agg(F.count("*").alias("n"))
+    # Each zone's position twice, with entries between that are none.
+    at = F.concat_ws(":", F.round("lat", 2).cast("string"), F.round("lng", 2).cast("string"))
+    z = derived.zones(spark, d).withColumn("text", F.concat(at, F.lit(", oops, 1:x, "), at))
+    z = z.select("id", F.posexplode(T.parse_points("text")).alias("n", "found"))
+    return z.select("id", (F.col("n") + 1).alias("n"), F.round(F.degrees(V.latitude("found")), 2).alias("lat"), F.round(F.degrees(V.longitude("found")), 2).alias("lng"))
 
 
-@query("SELECT c_mktsegment, (dense_rank() OVER (ORDER BY c_mktsegment) * 0)::BIGINT AS zero, 5::BIGINT AS n FROM (SELECT DISTINCT c_mktsegment FROM customer)")
+@query("SELECT c_mktsegment, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::BIGINT AS id FROM (SELECT DISTINCT c_mktsegment FROM customer)")
 def dictionary_ids(spark, d):
-    rows = spark.read.parquet(f"{d}/customer.parquet")
-    ids = AG.dense_ids(rows, "c_mktsegment")
-    total = ids.agg((F.max("id") + 1).alias("n"))
-    return ids.crossJoin(F.broadcast(total)).select("c_mktsegment", (F.col("id") * 0).alias("zero"), "n")
+    return AG.dense_ids(spark.read.parquet(f"{d}/customer.parquet"), "c_mktsegment")
+
+
+@query("SELECT ts, user_id, (dense_rank() OVER (ORDER BY ts, user_id) - 1)::BIGINT AS id FROM (SELECT DISTINCT ts, user_id FROM events)")
+def dictionary_ids_many(spark, d):
+    return AG.dense_ids(spark.read.parquet(f"{d}/events.parquet"), "ts", "user_id")
