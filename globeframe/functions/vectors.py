@@ -215,10 +215,17 @@ def _foot_inside(x, a, b) -> Column:
 @let
 def segment_distance(x, a, b) -> Column:
     """Angle from x to the nearest point of the arc ab."""
-    m = normalize(robust_cross(a, b))
-    plane = F.abs(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(m, x)))))
-    ends = F.least(angle(x, a), angle(x, b))
-    return F.when(norm2(subtract(a, b)) == 0, ends).otherwise(F.when(_foot_inside(x, a, b), F.least(plane, ends)).otherwise(ends))
+    return _arc_distance(cross(subtract(a, b), add(a, b)), x, a, b)
+
+
+@let
+def _arc_distance(n, x, a, b) -> Column:
+    """The same, with n across the arc bound once."""
+    size = norm(n)
+    off = F.abs(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(n, x), size)))))
+    ends = F.least(F.atan2(norm(cross(x, a)), dot(x, a)), F.atan2(norm(cross(x, b)), dot(x, b)))
+    inside = (size > 0) & (dot(cross(n, a), x) > 0) & (dot(cross(b, n), x) > 0)
+    return F.when(inside, F.least(off, ends)).otherwise(ends)
 
 
 @let
