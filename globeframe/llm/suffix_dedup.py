@@ -3,8 +3,8 @@
 Every byte covered by a ``LENGTH``-byte string (a window) that also starts in a document
 with a smaller id is removed.  Matches never cross documents.
 
-1. Anchors.  In each window the position whose ``SEED``-byte string has the least hash is
-   its anchor; equal windows have equal anchors.  Documents are dealt into batches by
+1. Anchors.  The least hash of a window's ``SEED``-byte strings is its anchor; equal
+   windows have equal anchors.  Documents are dealt into batches by
    hash of doc_id.  Each batch asks, once for each distinct anchor hash, whether documents
    elsewhere have it: what meets for one hash is a row for each batch, not for each
    document, so a passage in a third of all documents is no hot group.
@@ -40,8 +40,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import Scratch, table
-from ._text import CHUNK_BYTES, PrefixHash, mix
+from ._store import Scratch, fresh, table
+from ._text import PrefixHash, mix
 
 LENGTH = 50
 SEED = 16
@@ -50,38 +50,46 @@ BATCH_BYTES = 4 << 20
 #: An anchor hash with more occurrences than this sends its windows one by one.
 HOT = 2000
 HASH_BITS = np.uint64(48)
+#: Text hashed at once: the arrays of it stay in a processor's cache.
+HASH_BYTES = 128 << 10
 
 U64 = np.uint64
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int):
-    """The runs of windows with one anchor: (first window, last window, anchor, hash, row)."""
-    n = len(data)
-    z = np.zeros(0, np.int64)
+    """The runs of windows with one anchor: (first window, last window, hash, row).
+
+    Windows in a row with one least seed hash are a run; a longer one than a window has
+    seeds (a repetitive text) is several runs."""
+    n, z = len(data), np.zeros(0, np.int64)
     if n < length:
-        return z, z, z, np.zeros(0, np.uint64), z
-    span = length - seed + 1
-    starts = np.arange(n - seed + 1)
-    h = mix(PrefixHash(data).of(starts, starts + seed))
-    # Sliding minimum over ``span`` seeds by doubling, with the leftmost place of it.
-    at = starts.copy()
+        return z, z, np.zeros(0, np.uint64), z
+    prefix, span = PrefixHash(data), length - seed + 1
+    h = prefix.sums[seed:] - prefix.sums[:-seed]
+    h *= prefix.down[: len(h)]
+    h ^= h >> U64(32)
+    h *= U64(0xD6E8FEB86659FD93)
+    # Sliding minimum over ``span`` seeds by doubling.
     width = 1
     while width < span:
         step = min(width, span - width)
-        m = len(at) - step
-        left, right = at[:m], at[step:]
-        at = np.where(h[right] < h[left], right, left)
+        h = np.minimum(h[:-step], h[step:])
         width += step
-    row = np.searchsorted(offsets, np.arange(len(at)), "right") - 1
-    inside = np.arange(len(at)) + length <= offsets[row + 1]
-    first = np.empty(len(at), bool)
-    first[0] = True
-    first[1:] = (at[1:] != at[:-1]) | ~inside[:-1] | (row[1:] != row[:-1])
-    begin = np.flatnonzero(first & inside)
-    change = first | ~inside
-    ends = np.append(np.flatnonzero(change), len(at))
+    inside = np.ones(n + 1, bool)
+    for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        inside[max(s, e - length + 1) : e] = False
+    inside = inside[: len(h)]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | (h[1:] != h[:-1])
+    begin = np.flatnonzero(first)
+    ends = np.append(np.flatnonzero(first | ~inside), len(h))
     last = ends[np.searchsorted(ends, begin, "right")] - 1
-    return begin, last, at[begin], h[at[begin]] >> (U64(64) - HASH_BITS), row[begin]
+    parts = (last - begin) // span + 1
+    if len(parts) and parts.max() > 1:
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        last = np.minimum(np.repeat(last, parts), np.repeat(begin, parts) + (nth + 1) * span - 1)
+        begin = np.repeat(begin, parts) + nth * span
+    return begin, last, h[begin] >> (U64(64) - HASH_BITS), np.searchsorted(offsets, begin, "right") - 1
 
 
 class Batch:
@@ -94,10 +102,10 @@ class Batch:
         parts, self.starts = [], np.concatenate([[0], np.cumsum([len(t) for t in self.texts])]).astype(np.int64)
         for s, e in _slices(self.starts):
             data = np.frombuffer(b"".join(self.texts[s:e]), np.uint8)
-            begin, last, at, h, row = anchors(data, self.starts[s : e + 1] - self.starts[s], length, seed)
+            begin, last, h, row = anchors(data, self.starts[s : e + 1] - self.starts[s], length, seed)
             base = self.starts[s]
-            parts.append((begin + base, last + base, at + base, h, row + s))
-        self.begin, self.last, self.at, self.hash, self.row = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (int, int, int, np.uint64, int))
+            parts.append((begin + base, last + base, h, row + s))
+        self.begin, self.last, self.hash, self.row = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, t) for t in (int, int, np.uint64, int))
         self.all = b"".join(self.texts)
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,18 +150,20 @@ class Batch:
         if len(start):
             mask = np.array([bits.get(j, 0) for j in range(len(least))], np.uint64)[which]
             mask[self.ids[row] > least[which]] = ~U64(0)
-            for w in range(int(windows.max())):
+            hit = mask > 0
+            start, windows, mask = start[hit], windows[hit], mask[hit]
+            for w in range(int(windows.max(initial=0))):  # runs are apart, so no place comes twice
                 s = start[(w < windows) & ((mask >> U64(min(w, 63))) & U64(1) > 0)] + w
-                np.add.at(gone, s, 1)
-                np.add.at(gone, s + self.length, -1)
+                gone[s] += 1
+                gone[s + self.length] -= 1
         return np.cumsum(gone[:-1]) > 0
 
 
 def _slices(starts: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of about CHUNK_BYTES."""
+    """Row ranges of about HASH_BYTES; a longer text is one of its own."""
     n, s = len(starts) - 1, 0
     while s < n:
-        e = max(s + 1, int(np.searchsorted(starts, starts[s] + CHUNK_BYTES, "right")) - 1)
+        e = max(s + 1, int(np.searchsorted(starts, starts[s] + HASH_BYTES, "right")) - 1)
         yield s, e
         s = e
 
@@ -334,10 +344,11 @@ class Dedup:
         self.scratch = Scratch(docs.sparkSession, "suffix")
         total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.parts = max(16, -(-total // batch_bytes))
-        self.batched = docs.filter("doc_id IS NOT NULL").withColumn("__batch", F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int"))
+        self.by = fresh("batch", docs.columns)
+        self.batched = docs.filter("doc_id IS NOT NULL").withColumn(self.by, F.pmod(F.xxhash64("doc_id"), F.lit(self.parts)).cast("int"))
 
     def _texts(self) -> DataFrame:
-        return self.batched.select("__batch", F.col("doc_id").cast("long").alias("doc_id"), "text")
+        return self.batched.select(F.col(self.by).alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def live(self) -> DataFrame:
         """Mail to batches: those of their anchor hashes that two documents have."""
@@ -345,7 +356,7 @@ class Dedup:
         batch_of = partial(_as_batch, length=self.length, seed=self.seed)
 
         def ask(rows: pa.Table) -> pa.Table:
-            me = rows.column("__batch")[0].as_py()
+            me = rows.column("batch")[0].as_py()
             h, runs, twice = batch_of(rows).distinct()
             to = (h % U64(parts)).astype(int)
             order = np.argsort(to, kind="stable")
@@ -378,7 +389,7 @@ class Dedup:
                 at += n
             return _mail(out)
 
-        asked = self._texts().groupBy("__batch").applyInArrow(ask, MAIL)
+        asked = self._texts().groupBy("batch").applyInArrow(ask, MAIL)
         return self.scratch.save(asked.groupBy("to").applyInArrow(answer, MAIL))
 
     def found(self, live: DataFrame) -> DataFrame:
@@ -389,7 +400,7 @@ class Dedup:
         def send(rows: pa.Table, mail: pa.Table) -> pa.Table:
             if not rows.num_rows or not mail.num_rows:
                 return _mail([])
-            me = rows.column("__batch")[0].as_py()
+            me = rows.column("batch")[0].as_py()
             *_, least, texts, key = batch_of(rows).segments(*_read_live(mail))
             to = (key % U64(parts)).astype(int)
             order = np.argsort(to, kind="stable")
@@ -421,14 +432,16 @@ class Dedup:
                     out.append((sender, me, 1, _packed(number=number[b > 0], bits=b[b > 0])))
             return _mail(out)
 
-        sent = self._texts().groupBy("__batch").cogroup(live.groupBy("to")).applyInArrow(send, MAIL)
+        sent = self._texts().groupBy("batch").cogroup(live.groupBy("to")).applyInArrow(send, MAIL)
         return self.scratch.save(sent.groupBy("to").applyInArrow(sort, MAIL))
 
     def cut(self, finish, columns: list[str], schema) -> DataFrame:
         """``finish(rows in order of the batch, kept bytes, removed, spans)`` for each batch."""
         batch_of = partial(_as_batch, length=self.length, seed=self.seed)
         live = self.live()
+        self.scratch.free_shuffles()  # the texts that were dealt for it
         mail = live.unionAll(self.found(live))
+        self.scratch.free_shuffles()
 
         def apply(rows: pa.Table, mail: pa.Table) -> pa.Table:
             rows = rows.take(np.argsort(rows.column("doc_id").to_numpy(), kind="stable"))
@@ -452,8 +465,8 @@ class Dedup:
         def either(rows: pa.Table, mail: pa.Table) -> pa.Table:
             return apply(rows, mail) if rows.num_rows else finish(rows, [], [], [])
 
-        texts = self.batched.select("__batch", *columns)
-        return texts.groupBy("__batch").cogroup(mail.groupBy("to")).applyInArrow(either, schema)
+        texts = self.batched.select(self.by, *[f"`{c}`" for c in columns])
+        return texts.groupBy(self.by).cogroup(mail.groupBy("to")).applyInArrow(either, schema)
 
 
 def _read_live(mail: pa.Table) -> tuple[np.ndarray, np.ndarray]:
