@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
-from ..kernels import grid
+from ..kernels import density as walk
+from .lineage import cut
+
+#: Cells of a tree that is walked as a whole.
+MAX_CELLS = 2_000_000
 
 
 def tree(points: DataFrame, max_level: int, weight: str | None = None) -> DataFrame:
@@ -46,65 +50,79 @@ def leaves(t: DataFrame) -> DataFrame:
 
 def normalize(t: DataFrame, max_level: int) -> DataFrame:
     """Siblings scaled to their parent's new weight, level by level, rounded up in integers."""
+    t = cut(t)
     done = t.filter("level = 0").select("cell", "level", F.col("weight").cast("decimal(38,0)").alias("weight"))
     out = done
     for k in range(1, max_level + 1):
         here = t.filter(F.col("level") == k).select("cell", "level", F.col("weight").cast("decimal(19,0)").alias("own"), C.parent("cell", None).alias("up"))
         total = here.groupBy("up").agg(F.sum("own").alias("total"))
         scaled = here.join(total, "up").join(done.select(F.col("cell").alias("up"), F.col("weight").cast("decimal(19,0)").alias("above")), "up")
-        product = (F.col("own") * F.col("above")).cast("decimal(38,0)")
-        whole = F.expr("CAST(floor((CAST(own * above AS decimal(38,0)) + total - 1) / total) AS decimal(38,0))") if product is not None else None
-        done = scaled.select("cell", "level", whole.alias("weight"))
+        whole = F.expr("CAST(floor((CAST(own * above AS decimal(38,0)) + total - 1) / total) AS decimal(38,0))")
+        done = cut(scaled.select("cell", "level", whole.alias("weight")))
         out = out.unionByName(done)
     return out
 
 
-def dilate(t: DataFrame, level: int) -> DataFrame:
-    """Each cell of a level gets the greatest weight of itself and its neighbours."""
-    src = t.filter(F.col("level") == level).select("cell", "weight")
+def normal_weights(t: DataFrame) -> DataFrame:
+    """cell, level, weight: each cell's share of its face's weight in doubles, rounded once;
+    unlike ``normalize`` nothing is rounded on the way down."""
+    rows = t.select("cell", "level", F.col("weight").cast("double").alias("own"))
+    total = rows.filter("level > 0").groupBy(C.parent("cell", None).alias("up")).agg(F.sum("own").alias("total"))
+    part = rows.withColumn("up", F.when(F.col("level") > 0, C.parent("cell", None))).join(total, "up", "left")
+    part = part.select("cell", "level", "own", (F.col("own") / F.col("total")).alias("share"))
+    chain = rows.select(F.col("cell").alias("below"), F.col("level").alias("depth"), F.explode(F.transform(F.sequence(F.lit(0), "level"), lambda k: C.parent("cell", k))).alias("cell"))
+    # Log shares are summed over a cell's ancestors; the face gives its weight.
+    product = F.exp(F.sum(F.when(F.col("level") > 0, F.ln("share")).otherwise(F.ln("own"))))
+    out = chain.join(part, "cell").groupBy("below", "depth").agg(product.alias("weight"))
+    return out.select(F.col("below").alias("cell"), F.col("depth").alias("level"), F.round("weight").cast("long").alias("weight"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cells, weights, cell_of = b.column("cell").to_pylist(), b.column("weight").to_pylist(), ([], [])
-            for c, w in zip(cells, weights, strict=True):
-                near = [c, *grid.all_neighbors(c, level).tolist()]
-                cell_of[0].extend(near)
-                cell_of[1].extend([w] * len(near))
-            yield pa.RecordBatch.from_arrays([pa.array(cell_of[0], pa.int64()), pa.array(cell_of[1], b.schema.field("weight").type)], ["cell", "weight"])
 
-    spread = src.mapInArrow(run, src.schema)
-    return spread.groupBy("cell").agg(F.max("weight").alias("weight")).withColumn("level", F.lit(level)).select("cell", "level", "weight")
+def _walked(t: DataFrame, kernel: Callable[[walk.Tree], list[tuple]], schema: str) -> DataFrame:
+    """Rows of ``kernel`` over the whole tree.
 
+    What comes next on the curve depends on all before it, so the tree is walked in one
+    task.  It is a summary whose depth its builder picks; one of more than ``MAX_CELLS``
+    cells is refused."""
+    if (n := t.count()) > MAX_CELLS:
+        raise ValueError(f"the tree has {n} cells; build it to a smaller depth (at most {MAX_CELLS} cells)")
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64()}
 
-def partition(t: DataFrame, max_weight: int) -> DataFrame:
-    """Leaves in curve order cut into runs of at most ``max_weight`` (one heavier leaf alone).
+    def run(rows: pa.Table) -> pa.Table:
+        found = kernel(walk.Tree(rows.column("cell").to_pylist(), rows.column("weight").to_pylist()))
+        columns = zip(*found, strict=True) if found else [()] * len(names)
+        return pa.table([pa.array(list(v), kinds[c.split()[1]]) for v, c in zip(columns, schema.split(", "), strict=True)], names)
 
-    A run closes when the next leaf would exceed it.  The cuts depend on all before them, so
-    they are made in one task, over the leaves of the tree, whose number its depth bounds.
-    """
-    ordered = leaves(t).select("cell", F.col("weight").cast("long").alias("weight")).repartition(1).sortWithinPartitions(C.order_key("cell"))
+    rows = t.select("cell", F.col("weight").cast("long").alias("weight"))
+    return rows.groupBy(F.lit(0).alias("all")).applyInArrow(run, schema)
+
+
+def dilate(t: DataFrame, radius: float, max_level_diff: int) -> DataFrame:
+    """cell, level, weight: the tree with the ring of a radius (radians) around its leaves, cells
+    there having the greatest weight among the tree's cells beside them."""
+    deep = C.metric_max_level("min_width", radius)
+
+    def kernel(tree: walk.Tree) -> list[tuple]:
+        return [(walk.signed(c), walk.level(c), w) for c, w in walk.dilate(tree, deep, max_level_diff).items()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, total = 0, 0
-        for b in batches:
-            out = []
-            for w in b.column("weight").to_pylist():
-                if total and total + w > max_weight:
-                    part, total = part + 1, 0
-                total += w
-                out.append(part)
-            yield pa.RecordBatch.from_arrays([b.column("cell"), b.column("weight"), pa.array(out, pa.int64())], ["cell", "weight", "part"])
+    return _walked(t, kernel, "cell long, level int, weight long")
 
-    return ordered.mapInArrow(run, "cell long, weight long, part long")
+
+def partition(t: DataFrame, max_weight: int) -> DataFrame:
+    """cell, weight, part: cells of the tree in curve order, grouped below a weight."""
+
+    def kernel(tree: walk.Tree) -> list[tuple]:
+        return [(walk.signed(c), w, k) for c, w, k in walk.partition(tree, max_weight)]
+
+    return _walked(t, kernel, "cell long, weight long, part int")
 
 
 def clusters(t: DataFrame, target: int) -> DataFrame:
-    """Leaves in curve order grouped into runs near a target weight: the running weight before
-    a leaf, in units of the target, tells its run; one window over partial sums."""
-    by = leaves(t).withColumn("face", C.face("cell"))
-    w = Window.partitionBy("face").orderBy(C.order_key("cell")).rowsBetween(Window.unboundedPreceding, -1)
-    before = by.groupBy("face").agg(F.sum("weight").alias("all"))
-    base = before.alias("x").join(before.alias("y"), F.col("y.face") < F.col("x.face"), "left").groupBy(F.col("x.face").alias("face")).agg(F.coalesce(F.sum("y.all"), F.lit(0)).alias("base"))
-    run = by.withColumn("inner", F.coalesce(F.sum("weight").over(w), F.lit(0))).join(base, "face")
-    part = F.floor((F.col("base") + F.col("inner")) / F.lit(target)).cast("long")
-    return run.select("cell", "weight", part.alias("cluster"))
+    """cluster, begin, end, weight: stretches of the curve (leaf cells, end excluded) of a weight
+    within a fifth of the target, a leaf cell of the tree being cut in proportion."""
+    low, high = max(1, target * 8 // 10), max(1, target * 12 // 10)
+
+    def kernel(tree: walk.Tree) -> list[tuple]:
+        return [(k, walk.signed(b), walk.signed(e), w) for k, (b, e, w) in enumerate(walk.clusters(tree, low, high))]
+
+    return _walked(t, kernel, "cluster int, begin long, end long, weight long")

@@ -616,6 +616,16 @@ def density_normalize(spark, d):
     return D.normalize(t, 4).select("cell", "level", F.col("weight").cast("long").alias("weight"))
 
 
+_SHARES = ", ".join(f"s{k} AS (SELECT {up('cell', k)} AS cell, count(*) AS w FROM c GROUP BY 1)" for k in range(5))
+_NORMAL = " UNION ALL ".join(f"SELECT cell, {k} AS level, w AS weight FROM s{k}" for k in range(5))
+
+
+@query(f"WITH c AS (SELECT * FROM {cells_sql(CUSTOMERS)}), {_SHARES} {_NORMAL}")
+def density_normal_weights(spark, d):
+    # Sums add up in a tree of counts, so a cell's share of its face is its own weight.
+    return D.normal_weights(D.tree(_cells(spark, d).withColumnRenamed("cell", "leaf"), 4))
+
+
 @query()
 def density_partition(spark, d):
     return D.partition(D.tree(_cells(spark, d).withColumnRenamed("cell", "leaf"), 6), 40)
@@ -623,11 +633,10 @@ def density_partition(spark, d):
 
 @query()
 def density_dilate(spark, d):
-    return D.dilate(D.tree(_cells(spark, d).withColumnRenamed("cell", "leaf"), 3), 3)
+    return D.dilate(D.tree(_cells(spark, d).withColumnRenamed("cell", "leaf"), 3), 0.05, 2)
 
 
-@query(f"""WITH t AS (SELECT {up('cell', 5)} AS cell, count(*) AS weight FROM {cells_sql(CUSTOMERS)} GROUP BY 1)
-SELECT cell, weight, (coalesce(sum(weight) OVER (ORDER BY CASE WHEN cell < 0 THEN 1 ELSE 0 END, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 100)::BIGINT AS cluster FROM t""")
+@query()
 def density_clusters(spark, d):
     return D.clusters(D.tree(_cells(spark, d).withColumnRenamed("cell", "leaf"), 5), 100)
 
