@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 BASE_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 CHUNK_BYTES = 2 << 20
+SHORT = np.uint64(0x9FB21C651E98DF25)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -102,11 +103,28 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix(PrefixHash(data).of(start, end) + (end - start).astype(np.uint64))
 
 
+def _factors(width: int) -> np.ndarray:
+    return mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
+
+
+def short_runs(hashes: np.ndarray, row: np.ndarray, n: int):
+    """(hash, row) of every run of ``n`` words within a row, hashed as ``shingles`` hashes a row
+    of just these words."""
+    m = len(hashes) - n + 1
+    if m <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    h, factor = np.zeros(m, np.uint64), _factors(n)
+    for k in range(n):
+        h += hashes[k : k + m] * factor[k]
+    whole = row[:m] == row[n - 1 :]
+    return mix(h[whole] + np.uint64(n) * SHORT), row[:m][whole]
+
+
 def shingles(hashes: np.ndarray, row: np.ndarray, n_rows: int, width: int):
     """(hash, row) of every run of ``width`` words within a row, in order; a row with fewer
     words, but one at least, has its whole sequence as its only shingle."""
     counts = np.bincount(row, minlength=n_rows)
-    factor = mix(np.arange(1, width + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
+    factor = _factors(width)
     m = len(hashes) - width + 1
     if m > 0:
         h = np.zeros(m, np.uint64)
@@ -123,7 +141,7 @@ def shingles(hashes: np.ndarray, row: np.ndarray, n_rows: int, width: int):
         for k in range(width - 1):
             has = counts[short] > k
             extra[has] += hashes[first[short[has]] + k] * factor[k]
-        extra = mix(extra + counts[short].astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+        extra = mix(extra + counts[short].astype(np.uint64) * SHORT)
         order = np.argsort(np.concatenate([at, short]), kind="stable")
         h, at = np.concatenate([h, extra])[order], np.concatenate([at, short])[order]
     return h, at

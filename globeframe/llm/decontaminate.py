@@ -8,12 +8,16 @@ size bound so that by pigeonhole a document with the asked share of the item's
 shingles must hold one of the k.  The search therefore misses nothing; hits are
 confirmed by exact containment of shingles.
 
-The items go to the executors in blocks of ``BLOCK_BYTES`` at most, each block in one
-pass over the documents, so what is sent at once is bounded however many items exist.
-
-Defined results: a null or empty text has no shingle and matches nothing; an item
-with fewer words than a shingle has its whole word sequence as one shingle; equal
-items each match; documents without a match give no row; other columns are ignored.
+The items go to the executors in broadcast blocks of ``BLOCK_BYTES`` at most; each block is
+one pass over the documents, and blocks stay broadcast until the result has been read.
+Shingles are told by 64-bit hashes: two different ones agree with a chance of 5e-20.
+
+Defined results: a null or empty text has no shingle and matches nothing; an item with
+fewer words than a shingle has its whole word sequence as one, and is sought among the
+runs of so many words of every document; equal items each match; documents without a
+match give no row; rows with one doc_id are searched each, rows without an id match
+nothing and are kept; very long texts are searched whole; empty tables give no rows;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,8 +51,9 @@ def size_class(n: int) -> int:
 class Block:
     """The sketches and full sets of some items, as flat sorted arrays."""
 
-    def __init__(self, ids: list[int], sets: list[np.ndarray], share: int):
+    def __init__(self, ids: list[int], sets: list[np.ndarray], words: list[int], width: int, share: int):
         self.ids, self.share = np.array(ids, np.int64), share
+        self.short = sorted({n for n in words if n < width})
         self.size = np.array([len(s) for s in sets], np.int64)
         low = [s[: min(len(s), sketch_size(size_class(len(s)), share))] for s in sets]
         flat = lambda parts: (np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(p) for p in parts]))
@@ -85,26 +90,44 @@ class Block:
 
 
 def item_blocks(items: DataFrame, width: int, share: int) -> Iterator[Block]:
-    """The items in blocks; only one block is on the driver at a time."""
+    """The items in blocks, read from the table one partition at a time."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values, bounds = _text.shingle_sets(b.column("text"), width, _text.NOT_ALNUM)
             rows = [values[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("item_id").cast(pa.int64()), pa.array(rows, pa.binary())], ["item_id", "hashes"])
+            data, offsets = _text.utf8(b.column("text"))
+            n = np.bincount(_text.words(data, offsets, _text.NOT_ALNUM)[2], minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("item_id").cast(pa.int64()), pa.array(rows, pa.binary()), pa.array(n, pa.int64())], ["item_id", "hashes", "words"])
 
-    hashed = items.select("item_id", "text").mapInArrow(sets, "item_id long, hashes binary").filter("item_id IS NOT NULL AND octet_length(hashes) > 0")
-    ids, found, size = [], [], 0
+    hashed = items.select("item_id", "text").mapInArrow(sets, "item_id long, hashes binary, words long").filter("item_id IS NOT NULL AND octet_length(hashes) > 0")
+    ids, found, words, size = [], [], [], 0
     for r in hashed.toLocalIterator():
         s = np.frombuffer(bytes(r.hashes), np.uint64)
         if found and size + 2 * s.nbytes > BLOCK_BYTES:
-            yield Block(ids, found, share)
-            ids, found, size = [], [], 0
+            yield Block(ids, found, words, width, share)
+            ids, found, words, size = [], [], [], 0
         ids.append(r.item_id)
+        words.append(r.words)
         found.append(s)
         size += 2 * s.nbytes
     if found:
-        yield Block(ids, found, share)
+        yield Block(ids, found, words, width, share)
+
+
+def document_sets(column, width: int, short: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of every text, and its runs of so many words as short items have:
+    (values, offsets)."""
+    data, offsets = _text.utf8(column)
+    data = _text.LOWER[data]
+    start, end, row = _text.words(data, offsets, _text.NOT_ALNUM)
+    hashes = _text.word_hashes(data, start, end)
+    parts = [_text.shingles(hashes, row, len(offsets) - 1, width), *(_text.short_runs(hashes, row, n) for n in short)]
+    h, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if short:
+        order = np.argsort(at, kind="stable")
+        h, at = h[order], at[order]
+    return _text.distinct_sets(h, at, len(offsets) - 1)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: int = SHARE) -> DataFrame:
@@ -118,7 +141,7 @@ def contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: i
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for b in _text.pieces(batch, "text"):
-                    values, bounds = _text.shingle_sets(b.column("text"), width, _text.NOT_ALNUM)
+                    values, bounds = document_sets(b.column("text"), width, sent.value.short)
                     if hits := sent.value.match(values, bounds):
                         row, item, size, shared = (pa.array(x, pa.int64()) for x in zip(*hits, strict=True))
                         yield pa.RecordBatch.from_arrays([b.column("doc_id").take(row), item, size, shared], ["doc_id", "item_id", "n_item", "n_shared"])
@@ -141,16 +164,16 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle(width: int = WIDTH, share: int = SHARE) -> str:
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-    def sets(name: str, key: str) -> str:
-        words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
-        return f"""
-  (SELECT {key}, unnest(list_distinct(CASE WHEN len(w) = 0 THEN []
-      WHEN len(w) < {width} THEN [array_to_string(w, ' ')]
-      ELSE list_transform(range(1, len(w) - {width - 2}), lambda i: array_to_string(w[i:i + {width - 1}], ' ')) END)) AS s
-   FROM (SELECT {key}, {words} AS w FROM {name}))"""
+    def words(name: str, key: str) -> str:
+        found = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+        return f"(SELECT {key}, {found} AS w FROM {name} WHERE {key} IS NOT NULL)"
 
+    runs = lambda n: f"list_transform(range(1, len(w) + 2 - {n}), lambda i: array_to_string(w[i:i + {n} - 1], ' '))"
     return f"""
-WITH d AS {sets("documents", "doc_id")}, q AS {sets("benchmark", "item_id")},
+WITH qw AS {words("benchmark", "item_id")}, dw AS {words("documents", "doc_id")},
+q AS (SELECT item_id, unnest(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {width} THEN [array_to_string(w, ' ')] ELSE {runs(width)} END)) AS s FROM qw),
+lengths AS (SELECT DISTINCT least({width}, len(w)) AS n FROM qw WHERE len(w) > 0),
+d AS (SELECT doc_id, unnest(list_distinct({runs('n')})) AS s FROM dw, lengths WHERE len(w) >= n),
 sizes AS (SELECT item_id, count(*) AS n_item FROM q GROUP BY item_id),
 shared AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN q USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n_item, n_shared FROM shared JOIN sizes USING (item_id) WHERE 100 * n_shared >= {share} * n_item"""
