@@ -6,12 +6,17 @@ each into signed rows (minus the old count, plus the new one), summed by source,
 language and tokenizer version.  Totals are the sum of all batches' signed rows, so they
 are never recomputed from documents.  A batch is written under its own number and only
 looks at smaller numbers: committing it again, after a failure or by mistake, replaces
-its files with the same rows and the totals stay.
+its files with the same rows and the totals stay.  Which batches are committed is read
+from the folder (a batch counts once its signed rows are written whole), so a new driver
+goes on where the last one stopped.  ``compact`` writes the newest states in one table, so
+that later batches read it and what came after it, not the whole history.
 
 Defined results: a null text has 0 tokens; null source or lang is a group of its own; of
 rows with one doc_id in a batch the greatest (deleted, source, lang, n_tokens) counts,
-nulls least; a deletion of an unknown document changes nothing; a null doc_id is a key as
-any other; empty tables give no rows; other columns are ignored.
+nulls least; a deletion of an unknown document changes nothing; rows with a null doc_id
+are documents of their own, inserted each and never revised, and a deletion without an id
+changes nothing; very long texts are counted whole; empty tables give no rows; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -64,7 +69,20 @@ class Rollup:
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
         self.root = root or Scratch(spark, "rollup").root
-        self.batches: set[int] = set()
+
+    def _whole(self, kind: str) -> list[int]:
+        """The numbers of a kind's tables that were written whole."""
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not fs.exists(path):
+            return []
+        found = [s.getPath() for s in fs.listStatus(path)]
+        return sorted(int(p.getName()) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def batches(self) -> list[int]:
+        """The numbers of the committed batches."""
+        return self._whole("deltas")
 
     def _read(self, kind: str, numbers: list[int]) -> DataFrame | None:
         parts = [self.spark.read.parquet(f"{self.root}/{kind}/{n}").withColumn("batch", F.lit(n)) for n in numbers]
@@ -72,31 +90,38 @@ class Rollup:
 
     def states(self, before: int | None = None) -> DataFrame | None:
         """The newest state of every document and tokenizer version."""
-        log = self._read("states", sorted(n for n in self.batches if before is None or n < before))
-        if log is None:
+        older = lambda numbers: [n for n in numbers if before is None or n < before]
+        compacted = older(self._whole("compacted"))[-1:]
+        logs = [n for n in older(self.batches()) if not compacted or n > compacted[0]]
+        parts = [p for p in (self._read("compacted", compacted), self._read("states", logs)) if p is not None]
+        if not parts:
             return None
         newest = F.max_by(F.struct(*STATE), "batch").alias("s")
-        return log.groupBy("doc_id", "tokenizer").agg(newest).select("doc_id", "tokenizer", "s.*")
+        return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "tokenizer").agg(newest).select("doc_id", "tokenizer", "s.*")
+
+    def compact(self, number: int) -> None:
+        """Writes the newest states up to batch ``number`` as one table; totals stay as they are."""
+        if (states := self.states(number + 1)) is not None:
+            states.write.mode("overwrite").parquet(f"{self.root}/compacted/{number}")
 
     def commit(self, number: int, changes: DataFrame) -> None:
         """Adds batch ``number``; batches are committed in order of number."""
         key = ["doc_id", "tokenizer"]
-        one = changes.groupBy(*key).agg(F.max(F.struct(*STATE)).alias("s")).select(*key, "s.*")
+        known = changes.filter("doc_id IS NOT NULL")
+        one = known.groupBy(*key).agg(F.max(F.struct(*STATE)).alias("s")).select(*key, "s.*")
         where = f"{self.root}/states/{number}"
         one.write.mode("overwrite").parquet(where)
         new = self.spark.read.schema(one.schema).parquet(where)
-        signed = new.select(*GROUP, "n_tokens", F.lit(1).alias("sign")).filter(~F.col("deleted"))
+        row = lambda df, sign: df.filter(~F.col("deleted")).select(*GROUP, "n_tokens", F.lit(sign).alias("sign"))
+        signed = row(new, 1).unionByName(row(changes.filter("doc_id IS NULL"), 1))
         if (old := self.states(number)) is not None:
-            match = [old[c].eqNullSafe(new[c]) for c in key]
-            gone = old.join(new.select(*key), match, "left_semi").filter(~F.col("deleted"))
-            signed = signed.unionByName(gone.select(*GROUP, "n_tokens", F.lit(-1).alias("sign")))
+            signed = signed.unionByName(row(old.join(new.select(*key), key, "left_semi"), -1))
         delta = signed.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
         delta.write.mode("overwrite").parquet(f"{self.root}/deltas/{number}")
-        self.batches.add(number)
 
     def totals(self) -> DataFrame:
         """n_docs and n_tokens by source, lang and tokenizer; groups without documents are left out."""
-        deltas = self._read("deltas", sorted(self.batches))
+        deltas = self._read("deltas", self.batches())
         if deltas is None:
             return self.spark.createDataFrame([], "source string, lang string, tokenizer string, n_docs long, n_tokens long")
         sums = deltas.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
