@@ -10,8 +10,9 @@ corpus; the weights, not the pages, are broadcast.
 Defined results: a null or empty page, and one without main blocks, gives ''; a page
 without tags is one block; unclosed tags, stray end tags and comments left open are taken
 as browsers take them; ``<br>`` is white space inside a block; script, style and other
-hidden elements are no text; rows with equal ids are extracted each; an empty table gives
-no rows; other columns are ignored.
+hidden elements are no text; rows with equal ids are extracted each, those without an id or url
+too; very long and deeply nested pages take time in proportion to their length; an empty
+table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ EPOCHS = 14
 
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))"
-    r"|<[!?][^>]*>"
+    r"|<[!?][^>]*(?:>|\Z)"
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>"']++|"[^"]*"|'[^']*')*+)>"""
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)",
     re.S,
@@ -59,6 +60,8 @@ IMPLIED = {
     "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}),
     "option": ({"option"}, {"select"}),
 }
+#: Elements inside which a block does not close a p outside.
+P_SCOPE = frozenset("td th table button caption object".split())
 INLINE_BREAK = frozenset("br wbr img input".split())
 WORD = re.compile(r"[a-z]+")
 FURNITURE = frozenset(w.lower() for words in labelled_pages.FURNITURE.values() for w in words if len(w) > 2) | {"©"}
@@ -83,38 +86,70 @@ def _attribute_words(rest: str) -> tuple[tuple[str, ...], bool]:
     return tuple(found), hidden
 
 
-def leaves(page: str) -> list[Leaf]:
-    """The leaf blocks of a page in order, with character references decoded."""
+class _Open:
+    """The open elements, with the places of each tag, so that none is searched for."""
+
+    def __init__(self):
+        # Tag, path's features, hidden, in a link, nearest block tag, nearest p that a block closes.
+        self.rows: list[tuple[str, tuple[str, ...], bool, bool, str, int]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def top(self) -> tuple[str, tuple[str, ...], bool, bool, str, int]:
+        return self.rows[-1] if self.rows else ("", (), False, False, "", -1)
+
+    def nearest(self, tags) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def push(self, tag: str, path: tuple[str, ...], hidden: bool, link: bool) -> None:
+        before, place = self.top(), len(self.rows)
+        p = place if tag == "p" else -1 if tag in P_SCOPE else before[5]
+        self.rows.append((tag, path, hidden, link, tag if tag in BLOCK else before[4], p))
+        self.places.setdefault(tag, []).append(place)
+
+    def cut(self, place: int) -> bool:
+        """Closes all from a place on; whether a block was among them."""
+        block = False
+        while len(self.rows) > place:
+            tag = self.rows.pop()[0]
+            self.places[tag].pop()
+            block |= tag in BLOCK
+        return block
+
+
+def leaves(page: str, known: frozenset[str] | None = None) -> list[Leaf]:
+    """The leaf blocks of a page in order, with character references decoded, in time
+    proportional to the page's length however its tags nest.  Of the path's features only
+    ``known`` ones are kept, if given."""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...], bool, bool]] = []  # tag, features of the path, hidden, in a link
+    open_ = _Open()
     buffer: list[str] = []
-    linked = 0
+    blank, linked = True, 0
     where: tuple[tuple[str, ...], str] = ((), "")
 
     def flush() -> None:
-        nonlocal linked
-        text = " ".join("".join(buffer).split())
-        if text:
-            out.append(Leaf(text, *where, linked))
+        nonlocal linked, blank
+        if not blank:
+            out.append(Leaf(" ".join("".join(buffer).split()), *where, linked))
         buffer.clear()
-        linked = 0
+        blank, linked = True, 0
 
     def add(raw: str) -> None:
-        nonlocal linked, where
-        if not raw or stack and stack[-1][2]:
+        nonlocal linked, where, blank
+        _, path, hidden, link, block, _ = open_.top()
+        if not raw or hidden:
             return
         text = html.unescape(raw) if "&" in raw else raw
-        if not buffer or not any(map(str.strip, buffer)):
-            blocks = [t for t, *_ in stack if t in BLOCK]
-            where = (stack[-1][1] if stack else (), blocks[-1] if blocks else "")
+        if blank:
+            where = (path, block)
         buffer.append(text)
-        if stack and stack[-1][3]:
-            linked += len(text.strip())
+        bare = text.strip()
+        blank &= not bare
+        if link:
+            linked += len(bare)
 
-    def close(upto: int) -> None:
-        if any(t in BLOCK for t, *_ in stack[upto:]):
+    def close(place: int) -> None:
+        if open_.cut(place):
             flush()
-        del stack[upto:]
 
     at, n = 0, len(page)
     while at < n:
@@ -128,51 +163,38 @@ def leaves(page: str) -> list[Leaf]:
         if not tag:
             continue
         if m["end"] or m["end2"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-            else:
-                if tag in ("p", "br"):
-                    flush() if tag == "p" else buffer.append(" ")
+            if (place := open_.nearest((tag,))) >= 0:
+                close(place)
+            elif tag in ("p", "br"):
+                flush() if tag == "p" else buffer.append(" ")
             continue
         if tag in INLINE_BREAK:
             buffer.append(" ")
         if tag in BLOCK:
             flush()
-        if tag in CLOSES_P:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in ("td", "th", "table", "button", "caption", "object"):
-                    break
+        if tag in CLOSES_P and (place := open_.top()[5]) >= 0:
+            close(place)
         if tag in IMPLIED:
             shut, scope = IMPLIED[tag]
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in scope:
+            while (place := open_.nearest(shut)) > open_.nearest(scope):
+                close(place)
+                if tag != "tr":
                     break
-                if stack[i][0] in shut:
-                    close(i)
-                    if tag != "tr":
-                        break
         if tag in VOID:
             continue
         rest = m["rest"] if m["rest"] is not None else m["rest2"] or ""
         words, hidden = _attribute_words(rest) if rest and not rest.isspace() else ((), False)
-        before = stack[-1] if stack else ("", (), False, False)
-        features = before[1]
-        if tag in BLOCK and tag not in ("html", "body"):
-            features = features + (f"in:{tag}",)
-        if words:
-            features = features + tuple(f"at:{w}" for w in words)
+        before = open_.top()
+        path = before[1]
+        more = [f"in:{tag}"] if tag in BLOCK and tag not in ("html", "body") else []
+        more = [f for f in dict.fromkeys(more + [f"at:{w}" for w in words]) if f not in path and (known is None or f in known)]
         if rest.endswith("/") and tag not in BLOCK and tag not in HIDDEN and tag not in ("a", "b", "i", "em", "strong", "span"):
             continue
-        stack.append((tag, features, before[2] or hidden or tag in HIDDEN, before[3] or tag == "a"))
         if tag in RAW:
             shut = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            stack.pop()
             at = shut.end() if shut else n
+            continue
+        open_.push(tag, (*path, *more) if more else path, before[2] or hidden or tag in HIDDEN, before[3] or tag == "a")
     flush()
     return out
 
@@ -209,6 +231,9 @@ class Field:
     step: np.ndarray  # 2 x 2, from the label before to this one
     start: np.ndarray
 
+    def __post_init__(self):
+        self.known = frozenset(self.emit)
+
     def scores(self, rows: list[list[str]]) -> np.ndarray:
         zero = np.zeros(2)
         return np.array([sum((self.emit.get(f, zero) for f in r), zero) for r in rows]).reshape(-1, 2)
@@ -291,7 +316,7 @@ def default_field() -> Field:
 
 
 def main_text(page: str | None, field: Field) -> str:
-    blocks = leaves(page or "")
+    blocks = leaves(page or "", field.known)
     return "\n".join(b.text for b, keep in zip(blocks, field.decode(features(blocks)), strict=True) if keep)
 
 
