@@ -8,13 +8,14 @@ first, while the Bayesian information criterion falls.  The prediction is the la
 the largest proportion.
 
 The distributions are fitted on a bounded sample, about ``PER_LANG`` rows of each language
-by hash of doc_id; what reaches the driver is at most ``BUCKETS`` counts a language.
-Whole texts are predicted.
+by hash of doc_id, for the ``LANGS`` most frequent ones; what reaches the driver is at most
+``BUCKETS`` counts a language.  Whole texts are predicted.
 
 Defined results: a text that is null or has no letter gets ``und`` with score 0; without
 any training row every text gets ``und``; ties go to the smaller language code; repeated
-rows are predicted each; an empty table gives no rows; lang and source are never read
-when predicting.
+rows are predicted each; a row with a null doc_id is predicted, is not held out and is not
+learned from; very long texts are predicted whole; an empty table gives no rows; lang and
+source are never read when predicting, other columns never.
 """
 
 from __future__ import annotations
@@ -32,7 +33,11 @@ from ._store import table
 
 PER_LANG = 1500
 BUCKETS = 1 << 15
-ROUNDS = 12
+#: Expectation-maximisation ends once no proportion moves by more than this.
+SETTLED = 1e-4
+ROUNDS = 200
+#: Languages learned: the most frequent ones.
+LANGS = 256
 FOLDS = 3
 UNKNOWN = "und"
 #: Words are runs of ASCII letters and bytes over 127.
@@ -75,7 +80,10 @@ class Mixture:
         def em(cols: np.ndarray) -> tuple[np.ndarray, float]:
             sub, w = p[:, cols], np.full(len(cols), 1 / len(cols))
             for _ in range(ROUNDS if len(cols) > 1 else 0):
-                w = w * (sub.T @ (1 / np.maximum(sub @ w, 1e-300))) / n
+                new = w * (sub.T @ (1 / np.maximum(sub @ w, 1e-300))) / n
+                moved, w = np.abs(new - w).max(), new
+                if moved < SETTLED:
+                    break
             return w, base + float(np.log(np.maximum(sub @ w, 1e-300)).sum())
 
         w, like = em(chosen)
@@ -113,7 +121,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Mixture:
     """Fits the trigram distributions; ``docs`` has doc_id, text and lang, rows for training only."""
     spark = docs.sparkSession
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    share = [(r.lang, min(1.0, per_lang / r.n)) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    share = [(r.lang, min(1.0, per_lang / r.n)) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS).collect()]
     if not share:
         return Mixture([], np.zeros((BUCKETS, 0)))
     chance = F.broadcast(spark.createDataFrame(share, "lang string, chance double"))
