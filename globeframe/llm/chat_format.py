@@ -8,8 +8,9 @@ string into turns again.
 Defined results: a null text is empty; a null role is the role ''; rows of one
 conversation with equal turn numbers are ordered by role, then text; an invalid
 order of turns is formatted all the same and flagged ``valid = false``; rows with a
-null ``conv_id`` form one conversation; an empty table gives an empty table; other
-columns of the input are ignored.
+null ``conv_id`` form one conversation; repeated rows are turns each; very long texts are
+formatted whole; an empty table gives an empty table; other columns of the input are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ of doc_id), of which only the vocabulary's counts travel; it is then applied to
 
 Defined results: a null, empty or wordless text has the features of an empty text; labels
 of unknown documents or null are skipped; without labelled rows of both kinds everything
-scores 0; repeated rows are scored each; an empty table gives no rows.
+scores 0; repeated rows and rows with a null doc_id are scored each; very long texts are
+scored whole; an empty table gives no rows; other columns are ignored by the scores and
+kept, whatever their names, by ``keep_clean``.
 """
 
 from __future__ import annotations
@@ -174,8 +176,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ordinal:
                 load = np.bincount(row[np.unique(word[marked[at]])], minlength=n)
                 yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array(load, pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], ["toxic", "load", "x"])
 
-    # At most ``sample`` rows of VOCABULARY numbers, whatever the size of the tables.
-    rows = texts.mapInArrow(vectors, "toxic int, load long, x binary").limit(sample).collect()
+    # At most ``sample`` rows of VOCABULARY numbers, whatever the size of the tables: where ids
+    # with several rows make more, those of the least hashes.
+    rows = texts.mapInArrow(vectors, "toxic int, load long, x binary").orderBy(F.xxhash64("x", "toxic")).limit(sample).collect()
     x = np.stack([np.frombuffer(bytes(r.x), "<f4") for r in rows]).astype(float)
     load = np.array([r.load for r in rows])
     y = np.where([r.toxic > 0 for r in rows], 1 + sum((load >= t).astype(int) for t in LOADS), 0)
