@@ -53,7 +53,7 @@ POSITIONS = CHUNKS * CHUNK
 #: Signatures further apart than this are no pair at similarity 0.8, by six deviations.
 FAR = 31
 #: Documents, and bytes of their sets, in a block of a key's members.
-BLOCK = 512
+BLOCK = 1024
 BLOCK_BYTES = 16 << 20
 SIMILARITY = 80  # per cent
 
