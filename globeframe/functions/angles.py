@@ -65,6 +65,34 @@ def chord_plus_error(chord, error) -> Column:
     return F.when(special, c).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(4.0), c + _c(error))))
 
 
+def _beside(name: str, value: Column) -> Column:
+    """The next double up or down, by the JVM's own method."""
+    return F.call_function("reflect", F.lit("java.lang.Math"), F.lit(name), value).cast("double")
+
+
+def chord_successor(chord) -> Column:
+    """The next larger chord: 0 after -1, infinity after 4."""
+    c = _c(chord)
+    return F.when(c >= 4, INFINITE).when(c < 0, 0.0).otherwise(_beside("nextUp", c))
+
+
+def chord_predecessor(chord) -> Column:
+    """The next smaller chord: -1 before 0, 4 before infinity."""
+    c = _c(chord)
+    return F.when(c <= 0, -1.0).when(c > 4, 4.0).otherwise(_beside("nextDown", c))
+
+
+def latlng_is_valid(lat, lng) -> Column:
+    """Positions in radians."""
+    return (F.abs(_c(lat)) <= math.pi / 2) & (F.abs(_c(lng)) <= math.pi)
+
+
+def latlng_normalized(lat, lng) -> tuple[Column, Column]:
+    """The latitude cut at the poles, the longitude turned into [-pi, pi]."""
+    turned = _c(lng) - F.round(_c(lng) / (2 * math.pi)) * (2 * math.pi)
+    return F.greatest(F.lit(-math.pi / 2), F.least(F.lit(math.pi / 2), _c(lat))), turned
+
+
 def chord_sin2(chord) -> Column:
     return _c(chord) * (1 - _c(chord) / 4)
 

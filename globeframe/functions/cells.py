@@ -158,6 +158,96 @@ def distance_from_begin(cell) -> Column:
     return F.call_function("shiftrightunsigned", _c(cell), shift)
 
 
+# Steps along the curve: a cell is its number among the cells of its level.
+
+
+def _shift_of(at_level) -> Column:
+    return (2 * (F.lit(30) - _c(at_level)) + 1).cast("int") if not isinstance(at_level, int) else F.lit(2 * (30 - at_level) + 1)
+
+
+def cells_at(at_level) -> Column:
+    """How many cells a level has."""
+    return F.call_function("shiftleft", F.lit(6).cast("long"), (2 * _c(at_level)).cast("int")) if not isinstance(at_level, int) else F.lit(6 << (2 * at_level)).cast("long")
+
+
+def from_steps(steps, at_level) -> Column:
+    """The cell after so many others of its level; the number of all gives the end, no valid id."""
+    return F.call_function("shiftleft", _c(steps), _shift_of(at_level)).bitwiseOR(level_lsb(at_level))
+
+
+def begin(at_level) -> Column:
+    return from_steps(F.lit(0).cast("long"), at_level)
+
+
+def end(at_level) -> Column:
+    return from_steps(cells_at(at_level), at_level)
+
+
+@let
+def _stepped(cell, steps, at_level) -> Column:
+    here, total = distance_from_begin(cell), cells_at(at_level)
+    return from_steps(here + F.greatest(-here, F.least(_c(steps), total - here)), at_level)
+
+
+def advance(cell, steps) -> Column:
+    """So many steps on or back at the cell's level, stopping at the begin and the end."""
+    return _stepped(cell, _c(steps).cast("long") if not isinstance(steps, int) else F.lit(steps).cast("long"), level(cell))
+
+
+@let
+def _wrapped(cell, steps, at_level) -> Column:
+    total = cells_at(at_level)
+    return from_steps(F.pmod(distance_from_begin(cell) + F.pmod(_c(steps), total) - total, total), at_level)
+
+
+def advance_wrap(cell, steps) -> Column:
+    """The same, going round from the last cell to the first."""
+    return _wrapped(cell, _c(steps).cast("long") if not isinstance(steps, int) else F.lit(steps).cast("long"), level(cell))
+
+
+def next_wrap(cell) -> Column:
+    return advance_wrap(cell, 1)
+
+
+def previous_wrap(cell) -> Column:
+    return advance_wrap(cell, -1)
+
+
+def from_face(face_col) -> Column:
+    return F.shiftleft(_c(face_col).cast("long"), 61).bitwiseOR(F.lit(1 << 60))
+
+
+def from_face_pos_level(face_col, pos, at_level) -> Column:
+    """The cell of a level at a position on a face's curve."""
+    return parent(F.shiftleft(_c(face_col).cast("long"), 61).bitwiseOR(_c(pos)).bitwiseOR(F.lit(1)), at_level)
+
+
+def from_face_ij(face_col, i, j) -> Column:
+    return leaf_at(face_col, i, j)
+
+
+@let
+def from_debug_string(text) -> Column:
+    """The cell of a ``face/path``; null where it is none."""
+    t = _c(text)
+    depth = (F.length(t) - 2).cast("int")
+    digits = F.filter(F.split(F.substr(t, F.lit(3)), ""), lambda d: d != "")
+    path = F.aggregate(digits, F.lit(0).cast("long"), lambda n, d: F.shiftleft(n, 2).bitwiseOR(d.cast("long")))
+    at = F.call_function("shiftleft", path, (61 - 2 * depth).cast("int"))
+    whole = F.shiftleft(F.substring(t, 1, 1).cast("long"), 61).bitwiseOR(at).bitwiseOR(level_lsb(depth))
+    return F.when(t.rlike("^[0-5]/[0-3]{0,30}$"), whole)
+
+
+@let
+def maximum_tile(cell, limit) -> Column:
+    """The largest cell that starts where ``cell`` does and ends before ``limit`` starts; ``limit``
+    if there is none."""
+    start, stop = range_min(cell), order_key(range_min(limit))
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: parent(start, k))
+    fit = F.filter(tiles, lambda t: (range_min(t) == start) & (order_key(range_max(t)) < stop))
+    return F.when(order_key(start) >= stop, _c(limit)).otherwise(F.element_at(fit, 1))
+
+
 @let
 def common_ancestor_level(a, b) -> Column:
     """Level of the smallest cell with both, null on different faces."""
@@ -321,5 +411,48 @@ def uv_to_xyz(face_col, u, v) -> Column:
     return V.vector(pick(one, -u, -u, -one, v, v), pick(u, one, -v, -v, -one, u), pick(v, v, one, -u, -u, -one))
 
 
+@let
+def _bounds(cell, place) -> Column:
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), (30 - level(cell)).cast("int"))
+    low = lambda a: _c(place)[a].bitwiseAND(-size)
+    edge = lambda x: st_to_uv(x / F.lit(float(grid.SIZE)))
+    return F.struct(edge(low("i")).alias("u_lo"), edge(low("i") + size).alias("u_hi"), edge(low("j")).alias("v_lo"), edge(low("j") + size).alias("v_hi"))
+
+
+def bound_uv(cell) -> Column:
+    """The cell's rectangle on its face: u_lo, u_hi, v_lo, v_hi."""
+    return _bounds(cell, ij_of(cell))
+
+
+@let
+def _center_si_ti(cell, place) -> Column:
+    size = F.call_function("shiftleft", F.lit(1).cast("long"), (30 - level(cell)).cast("int"))
+    mid = lambda a: 2 * _c(place)[a].bitwiseAND(-size) + size
+    return F.struct(face(cell).alias("face"), mid("i").alias("si"), mid("j").alias("ti"))
+
+
+def center_si_ti(cell) -> Column:
+    """face, si and ti of the centre, in half leaf widths."""
+    return _center_si_ti(cell, ij_of(cell))
+
+
+@let
+def expanded_by_distance_uv(bound, radians) -> Column:
+    """A face rectangle grown so that it holds all points within a distance; shrunk if negative,
+    to its low corner if nothing is left."""
+    b, sin = _c(bound), F.sin(_c(radians))
+    wide, high = F.greatest(F.abs(b["u_lo"]), F.abs(b["u_hi"])), F.greatest(F.abs(b["v_lo"]), F.abs(b["v_hi"]))
+
+    def moved(u: Column, across: Column, by: Column) -> Column:
+        turn = by * F.sqrt((1 + u * u + across * across) / (1 + u * u))
+        cos = F.sqrt(1 - turn * turn)
+        return (cos * u + turn) / (cos - turn * u)
+
+    grown = {"u_lo": moved(b["u_lo"], high, -sin), "u_hi": moved(b["u_hi"], high, sin), "v_lo": moved(b["v_lo"], wide, -sin), "v_hi": moved(b["v_hi"], wide, sin)}
+    gone = (grown["u_lo"] > grown["u_hi"]) | (grown["v_lo"] > grown["v_hi"])
+    corner = {"u_lo": b["u_lo"], "u_hi": b["u_lo"], "v_lo": b["v_lo"], "v_hi": b["v_lo"]}
+    return F.struct(*(F.when(gone, corner[k]).otherwise(v).alias(k) for k, v in grown.items()))
+
+
 def average_area(cell) -> Column:
     return metric_value("avg_area", level(cell))

@@ -13,6 +13,8 @@ ORIGIN = np.array([-0.00999946643502502, 0.002592454260932412, 0.999946643502502
 
 def unpack(chain) -> np.ndarray:
     """(n, 3) from a list of x, y, z triples or structs."""
+    if isinstance(chain, np.ndarray):
+        return chain
     if len(chain) and isinstance(chain[0], dict):
         return np.array([(p["x"], p["y"], p["z"]) for p in chain])
     return np.asarray(chain, float).reshape(-1, 3)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels import cover, grid, overlay, shapes
+from ..kernels import cell_distance, cover, grid, overlay, shapes
 from ..kernels import predicates as P
 from .spatial_join import points_array
 
@@ -23,19 +23,100 @@ def structs(points: np.ndarray) -> list[dict]:
     return [dict(zip("xyz", map(float, p), strict=True)) for p in points]
 
 
+def _schema_with(df: DataFrame, name: str, sql_type: str) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{name}` {sql_type}"
+
+
 def with_kernel(df: DataFrame, name: str, sql_type: str, arrow_type: pa.DataType, inputs: list[str], kernel: Callable) -> DataFrame:
-    """Adds a column: ``kernel`` over the Python values of some columns; nulls give null."""
-    schema = df.schema.add(name, sql_type) if False else None
-    del schema
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{name}` {sql_type}"
+    """Adds a column: ``kernel`` over the values of some columns, row by row; nulls give null.
+
+    For results of varying length.  Chains of points come as (n, 3) arrays, cut from the flat
+    arrays of the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in inputs]
+            columns = [_values(b.column(c)) for c in inputs]
             values = [None if any(v is None for v in row) else kernel(*row) for row in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, arrow_type)], [*b.schema.names, name])
 
-    return df.mapInArrow(run, out)
+    return df.mapInArrow(run, _schema_with(df, name, sql_type))
+
+
+def _is_point(kind: pa.DataType) -> bool:
+    return pa.types.is_struct(kind) and [f.name for f in kind] == ["x", "y", "z"]
+
+
+def _values(column: pa.Array) -> list:
+    """Python values of a column; chains as arrays, lists of chains as lists of arrays."""
+    kind = column.type
+    if not pa.types.is_list(kind):
+        return column.to_pylist()
+    if _is_point(kind.value_type):
+        flat, offsets = points_array(column.values), column.offsets.to_numpy()
+        parts = [flat[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+    elif pa.types.is_list(kind.value_type) and _is_point(kind.value_type.value_type):
+        inner, offsets = _values(column.values), column.offsets.to_numpy()
+        parts = [inner[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+    else:
+        return column.to_pylist()
+    return [p if ok else None for p, ok in zip(parts, column.is_valid().to_pylist(), strict=True)]
+
+
+def with_arrays(df: DataFrame, name: str, sql_type: str, kernel: Callable, inputs: list[str]) -> DataFrame:
+    """Adds a column: ``kernel`` over whole columns of a batch as NumPy arrays, points as (n, 3)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                columns = [points_array(c) if _is_point(c.type) else c.to_numpy(zero_copy_only=False) for c in map(b.column, inputs)]
+                yield b.append_column(name, pa.array(kernel(*columns)))
+
+    return df.mapInArrow(run, _schema_with(df, name, sql_type))
+
+
+#: Distances of a cell column to others, in radians, by kind.
+CELL_DISTANCES = {
+    "point": cell_distance.to_point,
+    "border": cell_distance.border_to_point,
+    "edge": cell_distance.to_edge,
+    "cell": cell_distance.to_cell,
+    "max_point": cell_distance.max_to_point,
+    "max_edge": cell_distance.max_to_edge,
+    "max_cell": cell_distance.max_to_cell,
+}
+
+
+def with_cell_distance(df: DataFrame, kind: str, cell: str, *others: str, name: str = "radians") -> DataFrame:
+    """Distance of each cell to a point, an edge (two points) or a cell; ``max_`` for the largest,
+    ``border`` for that of the border alone."""
+    return with_arrays(df, name, "double", CELL_DISTANCES[kind], [cell, *others])
+
+
+def with_rect_distance(df: DataFrame, a: str, b: str, hausdorff: bool = False, name: str = "radians") -> DataFrame:
+    """Distance of rectangles (functions.regions.rect), or the larger of both directed Hausdorff
+    distances."""
+    flat = df
+    sides = []
+    for k, r in (("a", a), ("b", b)):
+        names = [f"_{k}_{x}" for x in ("lat_lo", "lat_hi", "lng_lo", "lng_hi")]
+        flat = flat.withColumns(dict(zip(names, (F.col(r)["lat"]["lo"], F.col(r)["lat"]["hi"], F.col(r)["lng"]["lo"], F.col(r)["lng"]["hi"]), strict=True)))
+        sides += names
+
+    def kernel(*v):
+        r, s = v[:4], v[4:]
+        if hausdorff:
+            return np.maximum(cell_distance.rect_directed_hausdorff(r, s), cell_distance.rect_directed_hausdorff(s, r))
+        return cell_distance.rect_distance(r, s)
+
+    return with_arrays(flat, name, "double", kernel, sides).drop(*sides)
+
+
+def with_chain_rect(df: DataFrame, chain: str = "chain", name: str = "bound") -> DataFrame:
+    """The bounding rectangle of each chain's arcs, in radians, with a margin of rounding."""
+    sql = "struct<lat_lo:double,lat_hi:double,lng_lo:double,lng_hi:double>"
+    kind = pa.struct([(c, pa.float64()) for c in ("lat_lo", "lat_hi", "lng_lo", "lng_hi")])
+    names = [f.name for f in kind]
+    return with_kernel(df, name, sql, kind, [chain], lambda c: dict(zip(names, map(float, cell_distance.chain_rect(c)), strict=True)))
 
 
 def _chain(f):
@@ -109,7 +190,7 @@ def with_union_op(df: DataFrame, a: str, b: str, op: str, name: str = "cells") -
 
 def with_neighbors(df: DataFrame, cell: str = "cell", name: str = "neighbors") -> DataFrame:
     """The four edge neighbours of each cell."""
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{name}` array<long>"
+    out = _schema_with(df, name, "array<long>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,7 +201,7 @@ def with_neighbors(df: DataFrame, cell: str = "cell", name: str = "neighbors") -
 
 
 def with_exact_area(df: DataFrame, cell: str = "cell", name: str = "area") -> DataFrame:
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{name}` double"
+    out = _schema_with(df, name, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,7 +211,7 @@ def with_exact_area(df: DataFrame, cell: str = "cell", name: str = "area") -> Da
 
 
 def with_orientation(df: DataFrame, a: str, b: str, c: str, name: str = "sign") -> DataFrame:
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{name}` int"
+    out = _schema_with(df, name, "int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:

@@ -1 +1,3 @@
-"""Subpackage."""
+"""The registered queries: importing the package fills ``catalogue.QUERIES``."""
+
+from . import catalogue, steps  # noqa: F401

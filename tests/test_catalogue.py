@@ -9,8 +9,6 @@ import pytest
 from globeframe.plans import catalogue
 
 TABLES = "/root/testdata/sf0.001"
-#: Queries whose rows are known to differ from their SQL; the README lists them.
-OPEN = {"closest_edges"}
 
 
 def _text(value):
@@ -27,7 +25,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [pytest.param(n, marks=[pytest.mark.xfail(reason="open mismatch")] if n in OPEN else []) for n in catalogue.ORACLES])
+@pytest.mark.parametrize("name", list(catalogue.ORACLES))
 def test_matches_sql(spark, duck, name):
     df = catalogue.QUERIES[name](spark, TABLES)
     expected = duck.execute(catalogue.ORACLES[name])
