@@ -1,3 +1,3 @@
 """The registered queries: importing the package fills ``catalogue.QUERIES``."""
 
-from . import catalogue, steps  # noqa: F401
+from . import catalogue, nearest, steps  # noqa: F401
