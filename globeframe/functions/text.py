@@ -34,7 +34,25 @@ def format_points(points, digits: int = 15) -> Column:
 
 
 def format_rings(rings) -> Column:
-    return F.array_join(F.transform(_c(rings), format_points), "; ")
+    """Rings apart by ``;``; ``empty`` without a ring, ``full`` for one without a vertex."""
+    one = lambda r: F.when(F.size(r) == 0, "full").otherwise(format_points(r))
+    return F.when(F.size(_c(rings)) == 0, "empty").otherwise(F.array_join(F.transform(_c(rings), one), "; "))
+
+
+def format_index(points, chains, polygons) -> Column:
+    """``points # chains # polygons`` of arrays; items of a part are apart by ``|``."""
+    part = lambda items, show: F.array_join(F.transform(_c(items), show), " | ")
+    shown = [part(points, lambda p: format_points(F.array(p))), part(chains, lambda c: format_points(c)), part(polygons, lambda r: format_rings(r))]
+    return F.trim(F.concat_ws(" # ", *shown))
+
+
+def parse_rect(text) -> Column:
+    """lat_lo, lat_hi, lng_lo, lng_hi (radians) of the points of a text, the longitudes the shorter
+    way from the least to the greatest; null without a point."""
+    p = parse_points(text)
+    lat, lng = F.transform(p, lambda q: V.latitude(q)), F.transform(p, lambda q: V.longitude(q))
+    some = F.struct(F.array_min(lat).alias("lat_lo"), F.array_max(lat).alias("lat_hi"), F.array_min(lng).alias("lng_lo"), F.array_max(lng).alias("lng_hi"))
+    return F.when(F.size(p) > 0, some)
 
 
 def parse_index(text) -> Column:
