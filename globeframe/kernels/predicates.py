@@ -154,7 +154,7 @@ def segment_distance(x, a, b) -> np.ndarray:
     within = ((np.cross(n, a) * x).sum(-1) > 0) & ((np.cross(b, n) * x).sum(-1) > 0)
     with np.errstate(all="ignore"):
         plane = np.abs(np.arcsin(np.clip((n * x).sum(-1) / size, -1, 1)))
-    return np.where((size > 0) & within, plane, ends)
+    return np.where((size > 0) & within, np.minimum(plane, ends), ends)
 
 
 def segment_pair_distance(a, b, c, d) -> np.ndarray:

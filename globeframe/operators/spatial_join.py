@@ -125,43 +125,42 @@ def furthest_points(points: DataFrame, queries: DataFrame, k: int, min_distance:
     return near.select("query_id", "rank", "id", (4 - F.col("chord2")).alias("chord2"))
 
 
-def point_in_polygon(points: DataFrame, polygons: DataFrame, max_cells: int = 32, max_level: int = 18, level_mod: int = 3) -> DataFrame:
+def point_in_polygon(points: DataFrame, polygons: DataFrame, max_cells: int = 32, max_level: int = 18, level_mod: int = 3, id_type: str = "long") -> DataFrame:
     """id, polygon_id: polygons as ``rings`` (array of arrays of points), semi-open borders.
 
     Cells that lie inside a polygon are sure and skip the exact test; the others are tested
-    by parity of crossings.
+    by parity of crossings.  Rings are fetched by polygon for the pairs that need the test,
+    so they do not travel with the cells.
     """
     min_level = max_level % level_mod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in range(b.num_rows):
-                region = cover.Polygon([shapes.unpack(r) for r in b.column("rings")[row].as_py() or []])
-                cells = cover.cover(region, max_cells, min_level, max_level, level_mod)
-                if len(cells):
-                    sure = region.holds(cells)
-                    one = b.slice(row, 1).take(pa.array(np.zeros(len(cells), int)))
-                    rings = pa.array([None if s else v for s, v in zip(sure.tolist(), one.column("rings").to_pylist(), strict=True)], one.column("rings").type)
-                    yield pa.RecordBatch.from_arrays([one.column("polygon_id"), rings, pa.array(cells), pa.array(sure)], ["polygon_id", "rings", "cell", "sure"])
-
-    ring_type = polygons.schema["rings"].dataType.simpleString()
-    covered = polygons.select("polygon_id", "rings").mapInArrow(run, f"polygon_id long, rings {ring_type}, cell long, sure boolean")
+            found = [cover.Polygon([shapes.unpack(r) for r in x.as_py() or []]) for x in b.column("rings")]
+            cells = [cover.cover(r, max_cells, min_level, max_level, level_mod) for r in found]
+            sure = [r.holds(c) if len(c) else np.zeros(0, bool) for r, c in zip(found, cells, strict=True)]
+            ids = b.column("polygon_id").take(pa.array(np.repeat(np.arange(b.num_rows), [len(c) for c in cells])))
+            flat = lambda x, kind: pa.array(np.concatenate(x) if x else [], kind)
+            yield pa.RecordBatch.from_arrays([ids, flat(cells, pa.int64()), flat(sure, pa.bool_())], ["polygon_id", "cell", "sure"])
+
+    covered = polygons.select("polygon_id", "rings").mapInArrow(run, "polygon_id long, cell long, sure boolean")
     levels = list(range(min_level, max_level + 1, level_mod))
     keyed = C.with_cell(points.select("id", "p"), "p", "leaf").withColumn("cell", F.explode(F.array(*(C.parent("leaf", k) for k in levels)))).drop("leaf")
-    pairs = keyed.join(covered, "cell")
-    sure = pairs.filter("sure").select("id", "polygon_id")
+    pairs = keyed.join(covered, "cell").select("id", "polygon_id", "p", "sure")
+    # Sure pairs carry no rings.
+    rings = polygons.select(F.col("polygon_id").alias("_of"), "rings")
+    tested = pairs.join(rings, (F.col("polygon_id") == F.col("_of")) & ~F.col("sure"), "left").select("id", "polygon_id", "p", "sure", "rings")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("polygon_id").to_numpy()
-            p, inside = points_array(b.column("p")), np.zeros(b.num_rows, bool)
-            for polygon in np.unique(ids):
-                k = np.flatnonzero(ids == polygon)
+            ids, inside = b.column("polygon_id").to_numpy(), b.column("sure").to_numpy(zero_copy_only=False).copy()
+            p = points_array(b.column("p"))
+            for polygon in np.unique(ids[~inside]):
+                k = np.flatnonzero((ids == polygon) & ~b.column("sure").to_numpy(zero_copy_only=False))
                 inside[k] = shapes.contains([shapes.unpack(r) for r in b.column("rings")[int(k[0])].as_py()], p[k])
             yield b.select(["id", "polygon_id"]).filter(pa.array(inside))
 
-    tested = pairs.filter("NOT sure").select("id", "polygon_id", "p", "rings").mapInArrow(test, "id long, polygon_id long")
-    return sure.unionAll(tested)
+    return tested.mapInArrow(test, f"id {id_type}, polygon_id long")
 
 
 def _arc_cells(a: np.ndarray, b: np.ndarray, level: int, margin: float = 0.0) -> tuple[np.ndarray, np.ndarray]:

@@ -1,3 +1,3 @@
 """The registered queries: importing the package fills ``catalogue.QUERIES``."""
 
-from . import catalogue, forms, nearest, steps  # noqa: F401
+from . import catalogue, forms, nearest, steps, surface  # noqa: F401

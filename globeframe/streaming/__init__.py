@@ -1 +1 @@
-"""Subpackage."""
+"""Streams against static regions."""
