@@ -116,6 +116,67 @@ class Chain:
         return P.segment_distance(c[:, None], self.a[None], self.b[None]).min(1) + r <= self.radius
 
 
+class Near:
+    """All points within a radius of a polygon, its inside included."""
+
+    def __init__(self, rings: list[np.ndarray], radius: float):
+        self.polygon, self.radius = Polygon(rings), radius
+
+    def _far(self, cells):
+        c, r = grid.cell_bound(cells)
+        if not len(self.polygon.a):
+            return np.full(len(cells), np.inf), r
+        d = P.segment_distance(c[:, None], self.polygon.a[None], self.polygon.b[None]).min(1)
+        return np.where(shapes.contains(self.polygon.rings, c), 0.0, d), r
+
+    def may_hit(self, cells):
+        d, r = self._far(cells)
+        return d <= self.radius + r + 1e-15
+
+    def holds(self, cells):
+        d, r = self._far(cells)
+        return d + r <= self.radius
+
+
+class Point:
+    """One point, which no cell lies within."""
+
+    def __init__(self, p):
+        self.leaf = int(grid.from_xyz(np.asarray(p, float)[None])[0])
+
+    def may_hit(self, cells):
+        return grid.parent(np.array([self.leaf]), grid.level_of(cells)) == cells
+
+    def holds(self, cells):
+        return np.zeros(len(cells), bool)
+
+
+class Any:
+    """The union of regions."""
+
+    def __init__(self, regions: list):
+        self.regions = regions
+
+    def may_hit(self, cells):
+        return np.any([r.may_hit(cells) for r in self.regions], axis=0) if self.regions else np.zeros(len(cells), bool)
+
+    def holds(self, cells):
+        return np.any([r.holds(cells) for r in self.regions], axis=0) if self.regions else np.zeros(len(cells), bool)
+
+
+class All:
+    """The intersection of regions; of none, the whole sphere."""
+
+    def __init__(self, regions: list):
+        self.regions = regions
+
+    def may_hit(self, cells):
+        return np.all([r.may_hit(cells) for r in self.regions], axis=0) if self.regions else np.ones(len(cells), bool)
+
+    def holds(self, cells):
+        return np.all([r.holds(cells) for r in self.regions], axis=0) if self.regions else np.ones(len(cells), bool)
+
+
 class Union:
     def __init__(self, cells: np.ndarray):
         self.cells = grid.normalize(cells)
@@ -242,3 +303,32 @@ def canonicalize(cells: np.ndarray, max_cells: int = 8, min_level: int = 0, max_
         now = np.append(now[grid.parent(now, np.minimum(common[k], grid.level_of(now))) != grid.parent(now[k], common[k])], grid.parent(now[k], common[k]))
         now = grid.denormalize(grid.normalize(now), min_level, level_mod)
     return now
+
+
+def cap_bound(center, radius: float) -> np.ndarray:
+    """At most four cells that hold a disc: those around its centre's nearest corner, at the
+    deepest level whose cells are twice as wide; the six faces for a wide one."""
+    level = next((k for k in range(30, -1, -1) if 2 * np.sqrt(2) / 3 * 2.0**-k >= 2 * radius), -1) if radius >= 0 else 0
+    if radius < 0:
+        return np.zeros(0, np.int64)
+    if level < 1:
+        return grid.faces()
+    leaf = int(grid.from_xyz(np.asarray(center, float)[None])[0])
+    return np.sort(grid.vertex_neighbors(leaf, level - 1))
+
+
+def fast_cover(region, max_level: int = 30, max_cells: int = 8) -> np.ndarray:
+    """A quick covering: cells of the deepest level at which few are enough."""
+    best = grid.faces()[region.may_hit(grid.faces())]
+    while len(best) and grid.level_of(best).max() < max_level:
+        finer = grid.children(best).ravel()
+        finer = finer[region.may_hit(finer)]
+        if len(finer) > max_cells:
+            break
+        best = finer
+    return grid.normalize(best)
+
+
+def simple_cover(region, start: np.ndarray, level: int) -> np.ndarray:
+    """The cells of a level joined by edges to that of a point of the region, that meet it."""
+    return np.array(sorted(flood_fill(region, int(grid.from_xyz(np.asarray(start, float)[None], level)[0])), key=lambda x: x & (2**64 - 1)), np.int64)

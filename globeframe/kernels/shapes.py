@@ -54,9 +54,16 @@ def ring_contains(ring: np.ndarray, points: np.ndarray, origin: bool | None = No
 
 
 def contains(rings: list[np.ndarray], points: np.ndarray) -> np.ndarray:
+    """Points inside a polygon: what lies left of its rings, holes running the other way round; of
+    rings that all run counterclockwise, those in an odd number of them."""
+    rings = [r for r in rings if len(r) >= 3]
     out = np.zeros(len(points), bool)
     for r in rings:
         out ^= ring_contains(r, points)
+    # Left of the first ring's first side is inside; that settles which parity is.
+    if len(rings) > 1:
+        mid = grid.unit(rings[0][:1] + rings[0][1:2])
+        out ^= bool(sum(bool(ring_contains(r, mid)[0]) for r in rings[1:]) % 2)
     return out
 
 
@@ -310,25 +317,196 @@ def consensus(chains: list[np.ndarray], rounds: int = 5) -> np.ndarray:
     return now
 
 
-def tessellate(a: np.ndarray, b: np.ndarray, project, unproject, tolerance: float, depth: int = 24) -> list[tuple[float, float]]:
-    """Plane points of the arc ab, as many as keep the plane chain within tolerance."""
-    pa, pb = project(a), project(b)
+def tessellate(a: np.ndarray, b: np.ndarray, project, unproject, tolerance: float, start: tuple[float, float] | None = None, period: float | None = None, depth: int = 24) -> list[tuple[float, float]]:
+    """Plane points of the arc ab, as many as keep the plane chain within tolerance.
+
+    Where the plane is periodic in x each point is taken within half a period of the one
+    before it, the first of ``start``."""
+
+    def beside(q, base):
+        return q if period is None or base is None else (q[0] - period * round((q[0] - base[0]) / period), q[1])
 
     def bend(a, pa, b, pb, left):
         mid = a + b
         mid = mid / np.linalg.norm(mid)
-        straight = unproject(((pa[0] + pb[0]) / 2, (pa[1] + pb[1]) / 2))
-        quarter = unproject((pa[0] + (pb[0] - pa[0]) * 0.25, pa[1] + (pb[1] - pa[1]) * 0.25))
-        off = max(float(angle(mid, straight)), float(P.segment_distance(quarter, a, b)))
+        at = lambda t: unproject((pa[0] + (pb[0] - pa[0]) * t, pa[1] + (pb[1] - pa[1]) * t))
+        off = max(float(angle(mid, at(0.5))), *(float(P.segment_distance(at(t), a, b)) for t in (0.25, 0.75)))
         if not left or off <= tolerance:
             return [pb]
-        pm = project(mid)
-        return bend(a, pa, mid, pm, left - 1) + bend(mid, pm, b, pb, left - 1)
+        first = bend(a, pa, mid, beside(project(mid), pa), left - 1)
+        return first + bend(mid, first[-1], b, beside(pb, first[-1]), left - 1)
 
-    return [pa, *bend(a, pa, b, pb, depth)]
+    pa = beside(project(a), start)
+    return [pa, *bend(a, pa, b, beside(project(b), pa), depth)]
 
 
 def hausdorff(target: np.ndarray, source: np.ndarray) -> float:
     """Directed: the largest distance from a vertex of target to the chain source."""
     a, b = (source[:-1], source[1:]) if len(source) > 1 else (source, source)
     return float(P.segment_distance(target[:, None], a[None], b[None]).min(1).max())
+
+
+# Polygons as lists of rings.
+
+
+def distance(rings: list[np.ndarray], p: np.ndarray) -> float:
+    """From a point to a polygon: 0 inside."""
+    if bool(contains(rings, p[None])[0]):
+        return 0.0
+    return border_distance(rings, p)
+
+
+def border_distance(rings: list[np.ndarray], p: np.ndarray) -> float:
+    return min((float(P.segment_distance(p, *edges(r)).min()) for r in rings if len(r)), default=np.inf)
+
+
+def project_polygon(rings: list[np.ndarray], p: np.ndarray, border: bool = False) -> np.ndarray:
+    """A polygon's nearest point to p: p itself inside, unless only the border counts."""
+    if not border and bool(contains(rings, p[None])[0]):
+        return p
+    best = min((r for r in rings if len(r)), key=lambda r: float(P.segment_distance(p, *edges(r)).min()))
+    return project(np.concatenate([best, best[:1]]), p)[0]
+
+
+def smaller_side(ring: np.ndarray) -> np.ndarray:
+    """The ring in the direction that has the smaller side of its border on the left."""
+    return ring if signed_area(ring) >= 0 else ring[::-1]
+
+
+def nesting(rings: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(parent, depth) of each ring: the smallest ring around it, or -1."""
+    small = [smaller_side(r) for r in rings]
+    areas = [signed_area(r) for r in small]
+    out = []
+    for k, r in enumerate(rings):
+        around = [j for j in range(len(rings)) if j != k and areas[j] >= areas[k] and bool(ring_contains(small[j], r[:1])[0])]
+        out.append((min(around, key=lambda j: areas[j]) if around else -1, len(around)))
+    return out
+
+
+def oriented(rings: list[np.ndarray]) -> list[np.ndarray]:
+    """Rings as shells and holes by how deep they lie in each other."""
+    return [smaller_side(r) if depth % 2 == 0 else smaller_side(r)[::-1] for r, (_, depth) in zip(rings, nesting(rings), strict=True)]
+
+
+def groups(rings: list[np.ndarray]) -> list[list[int]]:
+    """The polygons of a set of rings: each shell with the holes just inside it."""
+    tree = nesting(rings)
+    shells = [k for k, (_, d) in enumerate(tree) if d % 2 == 0]
+    return [[k, *(j for j, (up, d) in enumerate(tree) if up == k and d % 2 == 1)] for k in shells]
+
+
+def compare_border(a: np.ndarray, b: np.ndarray) -> int:
+    """1 if ring a holds the border of b, -1 if it keeps it out, 0 if the borders cross."""
+    (p, q), (r, s) = edges(a), edges(b)
+    if (P.crossing(p[:, None], q[:, None], r[None], s[None]) > 0).any():
+        return 0
+    inside = ring_contains(a, grid.unit(r + s))
+    return 1 if inside.all() else -1 if not inside.any() else 0
+
+
+def ring_holds(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the region of ring a holds that of ring b."""
+    return compare_border(a, b) == 1 and not bool(ring_contains(b, a[:1])[0] and signed_area(b) > signed_area(a))
+
+
+def rings_meet(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the regions of two rings share a point inside both."""
+    return compare_border(a, b) != -1 or bool(ring_contains(b, grid.unit(np.add(*edges(a)))).any())
+
+
+def border_equal(a: np.ndarray, b: np.ndarray, tolerance: float = 0.0) -> bool:
+    """Whether two rings have the same vertices in the same order, from any start, each within a
+    distance."""
+    return len(a) == len(b) and any((angle(a, np.roll(b, k, axis=0)) <= tolerance).all() for k in range(max(1, len(b))))
+
+
+def border_near(a: np.ndarray, b: np.ndarray, tolerance: float) -> bool:
+    """Whether each vertex of either ring is within a distance of the other's border."""
+    one = lambda x, y: P.segment_distance(x[:, None], y[None], np.roll(y, -1, axis=0)[None]).min(1).max()
+    return bool(max(one(a, b), one(b, a)) <= tolerance)
+
+
+class Window:
+    """Directions from a point in which an arc passes within discs and keeps clear of others."""
+
+    def __init__(self, source: np.ndarray):
+        self.source = source
+        self.x = P.reference_dir(source[None])[0]
+        self.y = np.cross(source, self.x)
+        self.low, self.high, self.full = 0.0, 0.0, True
+
+    def _towards(self, p: np.ndarray) -> float:
+        return float(np.arctan2(p @ self.y, p @ self.x))
+
+    def _half(self, p: np.ndarray, radius: float) -> float:
+        """Half the angle that a disc takes up as seen from the source."""
+        far = float(angle(self.source, p))
+        return np.pi if far <= radius else float(np.arcsin(min(1.0, np.sin(radius) / np.sin(far))))
+
+    def _turn(self, a: float) -> float:
+        return float(np.remainder(a - (self.low + self.high) / 2 + np.pi, 2 * np.pi) - np.pi)
+
+    def target(self, p: np.ndarray, radius: float) -> bool:
+        """Keeps the directions that pass within the disc; whether any are left."""
+        half = self._half(p, radius)
+        if half >= np.pi:
+            return True
+        at = self._towards(p)
+        if self.full:
+            self.low, self.high, self.full = at - half, at + half, False
+            return True
+        mid, t = (self.low + self.high) / 2, self._turn(at)
+        low, high = max(self.low, mid + t - half), min(self.high, mid + t + half)
+        self.low, self.high = low, high
+        return low <= high
+
+    def avoid(self, p: np.ndarray, radius: float, on_left: bool) -> bool:
+        """Keeps the directions that leave the disc on the asked side."""
+        half = self._half(p, radius)
+        if half >= np.pi or self.full:
+            return half < np.pi
+        mid, t = (self.low + self.high) / 2, self._turn(self._towards(p))
+        if on_left:
+            self.high = min(self.high, mid + t - half)
+        else:
+            self.low = max(self.low, mid + t + half)
+        return self.low <= self.high
+
+    def reaches(self, p: np.ndarray) -> bool:
+        """Whether the arc from the source to p is allowed."""
+        if self.full:
+            return True
+        t = self._turn(self._towards(p))
+        return abs(t) <= (self.high - self.low) / 2 + 1e-15
+
+
+def simplify(chain: np.ndarray, tolerance: float) -> list[int]:
+    """Indices of a subset of vertices: from each kept one the arc goes on as far as it passes within
+    the tolerance of all vertices between, in their order."""
+    out, i, n = [0] if len(chain) else [], 0, len(chain)
+    while i < n - 1:
+        window, best, far = Window(chain[i]), i + 1, 0.0
+        for k in range(i + 1, n):
+            away = float(angle(chain[i], chain[k]))
+            if away > np.pi / 2 or away < far - tolerance:
+                break
+            if window.reaches(chain[k]) and (P.segment_distance(chain[i + 1 : k], chain[i], chain[k]) <= tolerance).all():
+                best = k
+            far = max(far, away)
+            if not window.target(chain[k], tolerance):
+                break
+        out.append(best)
+        i = best
+    return out
+
+
+def medoid(chains: list[np.ndarray], radius: int | None = None) -> int:
+    """The chain with the least summed cost of alignment with all others; the first of equals."""
+    sums = np.zeros(len(chains))
+    for i, a in enumerate(chains):
+        for j in range(i + 1, len(chains)):
+            c = dtw_cost(a, chains[j], radius)
+            sums[i] += c
+            sums[j] += c
+    return int(sums.argmin())
