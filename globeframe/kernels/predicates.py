@@ -187,3 +187,148 @@ def wedge_contains(a0, ab1, a2, b0, b2) -> bool:
 
 def wedge_intersects(a0, ab1, a2, b0, b2) -> bool:
     return not bool(ordered_ccw(a0, b2, b0, ab1) & ordered_ccw(b0, a2, a0, ab1))
+
+
+# Exact comparisons: doubles decide where they can, rationals the rest.
+
+
+def _exact(p) -> list[Fraction]:
+    return [Fraction(float(v)) for v in p]
+
+
+def _dot(a, b) -> Fraction:
+    return sum(x * y for x, y in zip(a, b, strict=True))
+
+
+def _cross(a, b) -> list[Fraction]:
+    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+
+
+def _sign(x) -> int:
+    return (x > 0) - (x < 0)
+
+
+def _settled(value: np.ndarray, error: float, exact) -> np.ndarray:
+    out = np.where(value > error, 1, np.where(value < -error, -1, 0)).astype(np.int8)
+    for k in np.argwhere(out == 0):
+        out[tuple(k)] = exact(tuple(k))
+    return out
+
+
+def sign_dot(a, b) -> np.ndarray:
+    """Sign of a.b."""
+    a, b = np.broadcast_arrays(a, b)
+    return _settled((a * b).sum(-1), 4 * EPS, lambda k: _sign(_dot(_exact(a[k]), _exact(b[k]))))
+
+
+def compare_distance(x, y, chord2) -> np.ndarray:
+    """-1, 0 or 1 as the angle between the directions x and y is below, at or above that of a squared
+    chord."""
+    x, y = np.broadcast_arrays(x, y)
+    limit = np.broadcast_to(np.asarray(chord2, float), x.shape[:-1])
+
+    def exact(k):
+        p, q, c = _exact(x[k]), _exact(y[k]), 1 - Fraction(float(limit[k])) / 2
+        # cos = dot / (|x| |y|) against c: signed squares, so without roots.
+        dot = _dot(p, q)
+        left, right = dot * abs(dot), c * abs(c) * _dot(p, p) * _dot(q, q)
+        return _sign(right - left)
+
+    return _settled(((x - y) ** 2).sum(-1) - limit, 32 * EPS, exact)
+
+
+def compare_edge_distance(x, a, b, chord2) -> np.ndarray:
+    """The same for the distance of x to the arc ab."""
+    x, a, b = np.broadcast_arrays(x, a, b)
+    limit = np.broadcast_to(np.asarray(chord2, float), x.shape[:-1])
+    n = np.cross(a - b, a + b)
+    within = (sign_dot(np.cross(n, a), x) > 0) & (sign_dot(np.cross(b, n), x) > 0)
+    ends = np.minimum(compare_distance(x, a, limit), compare_distance(x, b, limit))
+    sin2 = limit * (1 - limit / 4)
+    with np.errstate(all="ignore"):
+        value = (n * x).sum(-1) ** 2 / (n * n).sum(-1) - sin2
+
+    def exact(k):
+        p, q, r = _exact(x[k]), _exact(a[k]), _exact(b[k])
+        m, c = _cross(q, r), Fraction(float(limit[k]))
+        return _sign(_dot(m, p) ** 2 - c * (1 - c / 4) * _dot(m, m) * _dot(p, p))
+
+    line = np.where(limit >= 2, -1, _settled(np.where(within, value, 1.0), 64 * EPS, exact))
+    return np.where(within, np.minimum(line, ends), ends).astype(np.int8)
+
+
+def compare_edge_pair_distance(a, b, c, d, chord2) -> np.ndarray:
+    """The same for the distance of two arcs; touching and crossing ones are at distance 0."""
+    limit = np.asarray(chord2, float)
+    near = np.minimum(np.minimum(compare_edge_distance(a, c, d, limit), compare_edge_distance(b, c, d, limit)), np.minimum(compare_edge_distance(c, a, b, limit), compare_edge_distance(d, a, b, limit)))
+    return np.where(crossing(a, b, c, d) >= 0, -np.sign(limit), near).astype(np.int8)
+
+
+def compare_edge_directions(a, b, c, d) -> np.ndarray:
+    """Sign of the cosine between the directions of travel of two arcs: 1 the same way, -1 against."""
+    a, b, c, d = np.broadcast_arrays(a, b, c, d)
+    value = (np.cross(a - b, a + b) * np.cross(c - d, c + d)).sum(-1)
+    return _settled(value, 64 * EPS, lambda k: _sign(_dot(_cross(_exact(a[k]), _exact(b[k])), _cross(_exact(c[k]), _exact(d[k])))))
+
+
+def robust_cross(a, b) -> np.ndarray:
+    """A unit vector across from a and b, never zero: exact, or from a point beside b, where the two
+    are parallel in doubles."""
+    a, b = np.broadcast_arrays(a, b)
+    out = np.cross(a - b, a + b)
+    size = np.linalg.norm(out, axis=-1)
+    for k in np.argwhere(size < 1e-15):
+        k = tuple(k)
+        m = [2 * v for v in _cross(_exact(a[k]), _exact(b[k]))]
+        scale = max(map(abs, m))
+        out[k] = [float(v / scale) for v in m] if scale else reference_dir(a[k][None])[0]
+    return out / np.linalg.norm(out, axis=-1, keepdims=True)
+
+
+# Clipping in the plane and to a cube face.
+
+#: Each face's normal and the directions in which u and v grow.
+FACE_AXES = (
+    ((1, 0, 0), (0, 1, 0), (0, 0, 1)),
+    ((0, 1, 0), (-1, 0, 0), (0, 0, 1)),
+    ((0, 0, 1), (-1, 0, 0), (0, -1, 0)),
+    ((-1, 0, 0), (0, 0, -1), (0, -1, 0)),
+    ((0, -1, 0), (0, 0, -1), (1, 0, 0)),
+    ((0, 0, -1), (0, 1, 0), (1, 0, 0)),
+)
+
+
+def clip_to_rect(a, b, low, high) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends of the part of each plane segment ab inside a rectangle, and whether there is one)."""
+    a, b, low, high = (np.asarray(v, float) for v in (a, b, low, high))
+    step = b - a
+    with np.errstate(all="ignore"):
+        t0, t1 = (low - a) / step, (high - a) / step
+        enter = np.where(step == 0, np.where((a >= low) & (a <= high), -np.inf, np.inf), np.minimum(t0, t1)).max(-1)
+        leave = np.where(step == 0, np.where((a >= low) & (a <= high), np.inf, -np.inf), np.maximum(t0, t1)).min(-1)
+    enter, leave = np.maximum(enter, 0.0), np.minimum(leave, 1.0)
+    some = enter <= leave
+    first, last = np.where(some, enter, 0.0)[..., None], np.where(some, leave, 0.0)[..., None]
+    return a + first * step, a + last * step, some
+
+
+def clip_to_face(a, b, face: int, padding: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v) of the ends of the part of each arc on a cube face, grown by a padding, and whether there
+    is one.
+
+    In homogeneous coordinates the face's four borders are half spaces, as is its front."""
+    axes, u_axis, v_axis = (np.array(x) for x in FACE_AXES[face])
+    enter, leave = np.zeros(len(a)), np.ones(len(a))
+    edge = 1 + padding
+    for normal in (axes, axes * edge - u_axis, axes * edge + u_axis, axes * edge - v_axis, axes * edge + v_axis):
+        p, q = a @ normal, b @ normal
+        with np.errstate(all="ignore"):
+            t = p / (p - q)
+        enter = np.where((p < 0) & (q >= 0), np.maximum(enter, t), enter)
+        leave = np.where((p >= 0) & (q < 0), np.minimum(leave, t), leave)
+        enter = np.where((p < 0) & (q < 0), 2.0, enter)
+    some = enter <= leave
+    first, last = (a + np.where(some, t, 0.0)[:, None] * (b - a) for t in (enter, leave))
+    with np.errstate(all="ignore"):
+        uv = [np.stack([p @ u_axis / (p @ axes), p @ v_axis / (p @ axes)], -1) for p in (first, last)]
+    return uv[0], uv[1], some

@@ -248,17 +248,37 @@ def polygon_relations(df: DataFrame, a: str, b: str) -> DataFrame:
     return with_kernel(df, "relation", sql, kind, [a, b], kernel).select("*", "relation.*").drop("relation")
 
 
+def _crossing_rings(parts: list[np.ndarray]) -> set[tuple[int, int]]:
+    """Pairs of rings with sides that cross, each with itself included, in blocks of sides."""
+    a = np.concatenate(parts)
+    b = np.concatenate([np.roll(r, -1, axis=0) for r in parts])
+    of = np.repeat(np.arange(len(parts)), [len(r) for r in parts])
+    found: set[tuple[int, int]] = set()
+    step = max(1, 200_000 // len(a))
+    for s in range(0, len(a), step):
+        i, j = np.nonzero(P.crossing(a[s : s + step, None], b[s : s + step, None], a[None], b[None]) > 0)
+        found |= {(int(min(x, y)), int(max(x, y))) for x, y in zip(of[i + s], of[j], strict=True)}
+    return found
+
+
 def validate(rings: DataFrame) -> DataFrame:
     """id, code, message of every rule that a polygon (id, rings) breaks: rings of under three
-    vertices, points off the sphere, repeated or antipodal neighbours, crossing edges."""
+    vertices, points off the sphere or not finite, repeated or antipodal neighbours, sides that
+    cross within a ring or between rings, sides used twice in one direction, and rings whose
+    direction does not fit how deep they lie."""
 
     def kernel(value):
         found = []
         parts = [shapes.unpack(r) for r in value]
+        sound = True
         for k, r in enumerate(parts):
             if len(r) < 3:
                 found.append(("not_enough_vertices", f"ring {k} has {len(r)} vertices"))
                 continue
+            if not np.isfinite(r).all():
+                found.append(("invalid_vertex", f"ring {k} has a vertex that is not finite"))
+                sound = False
+                continue
             if (np.abs((r * r).sum(1) - 1) > 1e-14).any():
                 found.append(("not_unit_length", f"ring {k} has a vertex off the sphere"))
             nxt = np.roll(r, -1, axis=0)
@@ -267,11 +287,19 @@ def validate(rings: DataFrame) -> DataFrame:
             if (r == -nxt).all(1).any():
                 found.append(("antipodal_vertices", f"ring {k} has an edge between antipodes"))
         whole = [r for r in parts if len(r) >= 3]
-        if whole:
-            a = np.concatenate(whole)
-            b = np.concatenate([np.roll(r, -1, axis=0) for r in whole])
-            if (P.crossing(a[:, None], b[:, None], a[None], b[None]) > 0).any():
-                found.append(("edges_cross", "two edges cross"))
+        if whole and sound:
+            crossing = _crossing_rings(whole)
+            if any(x == y for x, y in crossing):
+                found.append(("edges_cross", "two edges of a ring cross"))
+            if any(x != y for x, y in crossing):
+                found.append(("rings_cross", "edges of two rings cross"))
+            sides = [(tuple(p), tuple(q)) for r in whole for p, q in zip(r.tolist(), np.roll(r, -1, axis=0).tolist(), strict=True) if p != q]
+            if len(set(sides)) < len(sides):
+                found.append(("duplicate_edges", "an edge is there twice"))
+            if not found and len(whole) > 1:
+                wrong = [k for k, (r, (_, depth)) in enumerate(zip(whole, shapes.nesting(whole), strict=True)) if (shapes.signed_area(r) < 0) != (depth % 2 == 1)]
+                if wrong:
+                    found.append(("inconsistent_orientation", f"ring {wrong[0]} runs the wrong way round"))
         return [{"code": c, "message": m} for c, m in found]
 
     sql = "array<struct<code:string,message:string>>"

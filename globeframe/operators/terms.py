@@ -54,10 +54,9 @@ def point_index_terms(leaf, o: TermOptions = TermOptions()) -> Column:
 
 
 def point_query_terms(leaf, o: TermOptions = TermOptions()) -> Column:
-    at = C.parent(leaf, o.top)
-    tokens = [C.token(C.parent(leaf, k)) for k in range(o.min_level, o.top + 1)] if o.save_space else [C.token(at)]
-    marks = [] if o.points_only else [_marked(C.parent(leaf, k), o) for k in range(o.min_level, o.top + 1)]
-    return F.array(*tokens, *marks)
+    """The token of the point's cell, then the marks of it and its ancestors, deepest first."""
+    marks = [_marked(C.parent(leaf, k), o) for k in range(o.top, o.min_level - 1, -1)]
+    return F.array(C.token(C.parent(leaf, o.top)), *marks)
 
 
 def index_terms(cells, o: TermOptions = TermOptions()) -> Column:

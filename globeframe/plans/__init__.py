@@ -1,3 +1,3 @@
 """The registered queries: importing the package fills ``catalogue.QUERIES``."""
 
-from . import catalogue, forms, nearest, polygons, steps, surface  # noqa: F401
+from . import building, catalogue, forms, nearest, polygons, steps, surface  # noqa: F401
