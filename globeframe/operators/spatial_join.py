@@ -14,13 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from ..functions import angles as A
 from ..functions import cells as C
 from ..functions import vectors as V
 from ..kernels import cover, grid, shapes
 from ..kernels import predicates as P
+from .lineage import cut
 
 #: The level of joins on discs: the cell is about as wide as the radius.
 DEEPEST = 24
@@ -41,30 +40,22 @@ def level_for(radius: float) -> int:
     return max(0, min(DEEPEST, C.metric_max_level("min_width", radius)))
 
 
-def _with_cover(df: DataFrame, build, level: int, name: str = "cell") -> DataFrame:
-    """Explodes each row to the cells of one level that may meet ``build(row batch)[k]``."""
-    schema = StructType([*df.schema.fields, StructField(name, LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [cover.at_level(r, level) for r in build(b)]
-            rows = np.repeat(np.arange(b.num_rows), [len(f) for f in found])
-            cells = np.concatenate(found) if found else np.zeros(0, np.int64)
-            taken = b.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(cells, pa.int64())], [*b.schema.names, name])
-
-    return df.mapInArrow(run, schema)
-
-
 def radius_candidates(points: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
     """Pairs of (id, p) and (query_id, q) at most ``radius`` (radians) apart, with their chord."""
     level = level_for(radius)
     left = C.with_cell(points.select("id", "p"), "p", "cell", level)
 
-    def caps(b: pa.RecordBatch):
-        return [cover.Cap(p, radius) for p in points_array(b.column("q"))]
+    point = queries.schema["q"].dataType.simpleString()
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                q = points_array(b.column("q"))
+                rows, cells = _arc_cells(q, q, level, radius)
+                yield b.take(pa.array(rows, pa.int64())).append_column("cell", pa.array(cells, pa.int64()))
 
-    right = _with_cover(queries.select("query_id", "q"), caps, level)
+    kind = queries.schema["query_id"].dataType.simpleString()
+    right = queries.select("query_id", "q").mapInArrow(enter, f"query_id {kind}, q {point}, cell long")
     limit = 4 * math.sin(min(radius, math.pi) / 2) ** 2
     pairs = left.join(right, "cell").withColumn("chord2", V.chord2("p", "q"))
     return pairs.filter(F.col("chord2") <= limit).select("query_id", "id", "chord2")
@@ -90,7 +81,8 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, max_distance: float
     """query_id, rank, id, chord2: the k nearest points of each query, ties by id.
 
     Radius joins with a growing radius; a query is finished once k points lie within it, so
-    the result is exact.  ``max_distance`` is exclusive.
+    the result is exact.  Each round's rows are written, so no round is run again.
+    ``max_distance`` is exclusive.
     """
     n = points.count()
     if first_radius is None:
@@ -102,18 +94,18 @@ def knn_join(points: DataFrame, queries: DataFrame, k: int, max_distance: float
     while True:
         last = radius >= limit
         pairs = radius_join(points, todo, min(radius, limit))
-        ranked = pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-        full = ranked.groupBy("query_id").agg(F.max("rank").alias("found")).filter(F.col("found") >= k)
-        part = ranked if last else ranked.join(full.select("query_id"), "query_id", "left_semi")
+        if max_distance is not None and last:
+            pairs = pairs.filter(F.col("chord2") < 4 * math.sin(limit / 2) ** 2)
+        ranked = cut(pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k))
+        full = ranked.filter(F.col("rank") == k).select("query_id")
+        part = ranked if last else ranked.join(full, "query_id", "left_semi")
         out = part if out is None else out.unionByName(part)
         if last:
             break
-        todo = todo.join(full.select("query_id"), "query_id", "left_anti").checkpoint() if todo.sparkSession.conf.get("spark.checkpoint.dir", None) else todo.join(full.select("query_id"), "query_id", "left_anti")
+        todo = cut(todo.join(full, "query_id", "left_anti"))
         if todo.isEmpty():
             break
         radius *= 3
-    if max_distance is not None:
-        out = out.filter(F.col("chord2") < 4 * math.sin(limit / 2) ** 2) if limit < math.pi else out
     return out.select("query_id", "rank", "id", "chord2")
 
 
