@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -20,17 +22,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+def _remove_last(spark: SparkSession, path: str) -> None:
+    """At the driver's end: results that read the tables are no longer asked for then."""
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        _remove(spark, path)
+
+
 class Scratch:
     """Named tables below one shared folder; each write cuts the lineage of what follows.
 
     Parquet keeps the statistics that adaptive joins need and is smaller than a
-    checkpointed RDD.  ``drop`` removes a table that no later plan reads.
+    checkpointed RDD.  ``drop`` removes a table that no later plan reads; the rest goes when
+    the driver ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(_remove_last, spark, self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         self.count += 1
@@ -42,10 +58,8 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _remove(self.spark, df.scratch_path)
 
     def free_shuffles(self) -> None:
         """Spark deletes the shuffle files of finished plans when the driver's heap is collected."""
