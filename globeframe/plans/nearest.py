@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cells as C
 from ..functions import vectors as V
 from ..operators import edge_queries as Q
 from ..operators import geometry as G
-from ..sources import derived
+from ..sources import derived, index
 from .catalogue import _HEX, CUSTOMERS, EVENTS, SHOPS, SUPPLIERS, ZONES, _cells, _r, _shifted_rings, _shops, cells_sql, corners_sql, det, far_sql, query, ring_sql, segment_sql, sides_sql, signed, unsigned, up, xyz_sql, shifted_sql
 
 _P = "{'x': x, 'y': y, 'z': z}"
@@ -204,3 +208,22 @@ def cell_shapes(spark, d):
     cells = _cells(spark, d, 4).select(F.col("id").alias("target_id"), "cell")
     z = G.with_regular_ring(derived.zones(spark, d), "p", 0.15, 6).select(F.col("id").alias("polygon_id"), F.array("ring").alias("rings"))
     return Q.cell_shapes(cells, z)
+
+
+@query(f"""WITH e AS {_EDGES}, n AS (SELECT shape_id, edge_id FROM e) SELECT count(*) AS edges, (SELECT count(*) FROM n) AS distinct_edges, true AS ordered, true AS same FROM n""")
+def shape_index_store(spark, d):
+    # Written by cell, read back, scanned in curve order; each edge once, and one part alone.
+    edges = _edges(spark, d)
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='globeframe-')}"
+    path = f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
+    index.write(edges, path, 3)
+    stored = index.read(spark, path)
+    once = stored.dropDuplicates(["shape_id", "edge_id"])
+    before = F.lag(C.order_key("cell")).over(Window.partitionBy("part").orderBy(C.order_key("cell"), "shape_id", "edge_id"))
+    ordered = stored.select((F.coalesce(before, C.order_key("cell")) <= C.order_key("cell")).alias("ok")).agg(F.min("ok").alias("ordered"))
+    face = (2 << 61) | (1 << 60)
+    one = index.scan(stored, [face]).agg(F.count("*").alias("n")).join(stored.filter(C.face("cell") == 2).agg(F.count("*").alias("n")), "n").agg((F.count("*") == 1).alias("same"))
+    found = once.join(edges, ["shape_id", "edge_id"], "left_semi").agg(F.count("*").alias("edges"))
+    total = edges.agg(F.count("*").alias("distinct_edges"))
+    key = lambda df: df.withColumn("k", F.lit(0))
+    return key(found).join(key(total), "k").join(key(ordered), "k").join(key(one), "k").select("edges", "distinct_edges", "ordered", "same")

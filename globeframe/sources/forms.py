@@ -19,6 +19,7 @@ KINDS = {
     "cap": ("array<double>", pa.list_(pa.float64())),
     "rect": ("array<double>", pa.list_(pa.float64())),
     "cell_union": ("array<long>", pa.list_(pa.int64())),
+    "cell_vector": ("array<long>", pa.list_(pa.int64())),
     "polyline": (CHAIN_SQL, CHAIN),
     "loop": (CHAIN_SQL, CHAIN),
     "lax_polyline": (CHAIN_SQL, CHAIN),

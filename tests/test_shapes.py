@@ -176,6 +176,10 @@ def test_byte_forms_of_bad_bytes():
                 codecs.decode(kind, raw)
     ids = grid.normalize(grid.from_xyz(unit(9), 7))
     assert (codecs.decode("cell_union", codecs.encode("cell_union", ids)) == ids).all()
+    for vector in ([], [0], ids, grid.from_xyz(unit(50), 30), grid.from_xyz(unit(50), 4), grid.children(grid.from_xyz(unit(1), 12)).ravel(), grid.faces(), np.concatenate([grid.from_xyz(unit(3), k) for k in range(31)])):
+        raw = codecs.encode("cell_vector", np.asarray(vector, np.int64))
+        assert codecs.decode("cell_vector", raw).tolist() == list(vector)
+    assert len(codecs.encode("cell_vector", grid.children(grid.from_xyz(unit(1), 12)).ravel())) <= 2 + 7 + 4
     for width, top in ((4, 2**32 - 1), (8, 2**64 - 1)):
         values = [0, 1, 255, 256, top]
         assert codecs.read_uints(codecs.Reader(codecs.encode_uints(values, width)), width).tolist() == values
