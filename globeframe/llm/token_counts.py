@@ -89,7 +89,7 @@ class Rollup:
         return reduce(DataFrame.unionByName, parts) if parts else None
 
     def states(self, before: int | None = None) -> DataFrame | None:
-        """The newest state of every document and tokenizer version."""
+        """The newest state of every document with an id, by tokenizer version."""
         older = lambda numbers: [n for n in numbers if before is None or n < before]
         compacted = older(self._whole("compacted"))[-1:]
         logs = [n for n in older(self.batches()) if not compacted or n > compacted[0]]
@@ -97,7 +97,8 @@ class Rollup:
         if not parts:
             return None
         newest = F.max_by(F.struct(*STATE), "batch").alias("s")
-        return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "tokenizer").agg(newest).select("doc_id", "tokenizer", "s.*")
+        known = reduce(DataFrame.unionByName, parts).filter("doc_id IS NOT NULL")
+        return known.groupBy("doc_id", "tokenizer").agg(newest).select("doc_id", "tokenizer", "s.*")
 
     def compact(self, number: int) -> None:
         """Writes the newest states up to batch ``number`` as one table; totals stay as they are."""
@@ -107,13 +108,14 @@ class Rollup:
     def commit(self, number: int, changes: DataFrame) -> None:
         """Adds batch ``number``; batches are committed in order of number."""
         key = ["doc_id", "tokenizer"]
-        known = changes.filter("doc_id IS NOT NULL")
-        one = known.groupBy(*key).agg(F.max(F.struct(*STATE)).alias("s")).select(*key, "s.*")
+        # Rows without an id are groups of one each, so the changes are computed once.
+        nth = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+        one = changes.groupBy(*key, nth.alias("nth")).agg(F.max(F.struct(*STATE)).alias("s")).select(*key, "s.*")
         where = f"{self.root}/states/{number}"
         one.write.mode("overwrite").parquet(where)
         new = self.spark.read.schema(one.schema).parquet(where)
         row = lambda df, sign: df.filter(~F.col("deleted")).select(*GROUP, "n_tokens", F.lit(sign).alias("sign"))
-        signed = row(new, 1).unionByName(row(changes.filter("doc_id IS NULL"), 1))
+        signed = row(new, 1)
         if (old := self.states(number)) is not None:
             signed = signed.unionByName(row(old.join(new.select(*key), key, "left_semi"), -1))
         delta = signed.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
