@@ -18,7 +18,9 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
+    "op2_suffix_dedup": suffix_dedup.oracle(),
     "op4_chat_format": chat_format.oracle(),
     "op8_decontaminate": decontaminate.oracle(),
     "op9_topk_search": topk_search.oracle(),
+    "op10_near_duplicates": near_duplicates.oracle(),
 }

@@ -516,3 +516,21 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+def oracle(length: int = LENGTH) -> str:
+    """The same by a row for each window: bytes as hexadecimal digits (cut from blocks, since a cut
+    takes time in proportion to its place), runs by window functions."""
+    return f"""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+blocks AS (SELECT doc_id, o, substr(h, 2 * o + 1, {2 * (512 + length - 1)}) AS b FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 512)) AS o FROM d)),
+w AS (SELECT doc_id, o + j AS i, substr(b, 2 * j + 1, {2 * length}) AS piece FROM (SELECT doc_id, o, b, unnest(range(0, least(512, length(b) // 2 - {length - 1}))) AS j FROM blocks)),
+first AS (SELECT piece, min(doc_id) AS first FROM w GROUP BY 1),
+hits AS (SELECT doc_id, i FROM w JOIN first USING (piece) WHERE first < doc_id),
+marked AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {length} THEN 0 ELSE 1 END AS new FROM hits),
+spans AS (SELECT doc_id, min(i) AS s, max(i) + {length} AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM marked) GROUP BY doc_id, span),
+cuts AS (SELECT doc_id, s, e FROM spans UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM d),
+kept AS (SELECT doc_id, s, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s, e), 0) AS start, s AS stop FROM cuts),
+left_over AS (SELECT doc_id, string_agg(substr(h, 2 * start + 1, 2 * (stop - start)), '' ORDER BY start) AS h FROM kept JOIN d USING (doc_id) GROUP BY 1)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, ((length(d.h) - length(k.h)) // 2)::BIGINT AS n_removed,
+  (SELECT count(*) FROM spans WHERE spans.doc_id = d.doc_id) AS n_spans, sha256(unhex(k.h)) AS kept_sha256 FROM d JOIN left_over k USING (doc_id)"""
