@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal, localcontext
 from fractions import Fraction
 
 import numpy as np
@@ -271,6 +272,85 @@ def compare_edge_directions(a, b, c, d) -> np.ndarray:
     return _settled(value, 64 * EPS, lambda k: _sign(_dot(_cross(_exact(a[k]), _exact(b[k])), _cross(_exact(c[k]), _exact(d[k])))))
 
 
+def circle_edge_sign(a, b, n, x) -> np.ndarray:
+    """On which side of the great circle across from x the circles ab and across from n meet: the sign
+    of ((a x b) x n).x."""
+    a, b, n, x = np.broadcast_arrays(a, b, n, x)
+    value = (n * a).sum(-1) * (x * b).sum(-1) - (n * b).sum(-1) * (x * a).sum(-1)
+
+    def exact(k):
+        p, q, m, y = (_exact(v[k]) for v in (a, b, n, x))
+        return _sign(_dot(m, p) * _dot(y, q) - _dot(m, q) * _dot(y, p))
+
+    return _settled(value, 16 * EPS, exact)
+
+
+def circle_edge_order(a, b, c, d, m, n) -> np.ndarray:
+    """-1, 0 or 1 as arc ab meets the great circle across from m nearer to that across from n than arc
+    cd does, equally far, or farther."""
+    a, b, c, d, m, n = np.broadcast_arrays(a, b, c, d, m, n)
+    far = lambda p, q: np.cross(np.cross(p, q), m)
+    with np.errstate(all="ignore"):
+        share = [(u * n).sum(-1) ** 2 / (u * u).sum(-1) for u in (far(a, b), far(c, d))]
+
+    def exact(k):
+        sides = []
+        for p, q in ((a[k], b[k]), (c[k], d[k])):
+            u = _cross(_cross(_exact(p), _exact(q)), _exact(m[k]))
+            sides.append((_dot(u, _exact(n[k])) ** 2, _dot(u, u)))
+        (s, t), (v, w) = sides
+        return _sign(s * w - v * t)
+
+    return _settled(np.nan_to_num(share[0] - share[1]), 1e-12, exact)
+
+
+def edge_circumcenter_sign(x0, x1, a, b, c) -> np.ndarray:
+    """On which side of the arc x0 x1 the centre of the circle through a, b and c lies: 1 left, -1
+    right, 0 on it or for two equal points.
+
+    Directions count, not lengths: what doubles leave open is worked out with unit vectors of
+    100 digits, and less than 1e-60 is on the arc."""
+    x0, x1, a, b, c = np.broadcast_arrays(x0, x1, a, b, c)
+    turn = orientation(a, b, c)
+    value = (np.cross(x0 - x1, x0 + x1) * np.cross(b - a, c - a)).sum(-1) * turn
+
+    def exact(k):
+        with localcontext() as context:
+            context.prec = 100
+            one = lambda p: [Decimal(float(v)) for v in p]
+            unit = lambda p: [v / _dot(p, p).sqrt() for v in p]
+            p, q, r = (unit(one(v[k])) for v in (a, b, c))
+            less = lambda u, v: [i - j for i, j in zip(u, v, strict=True)]
+            got = _dot(_cross(one(x0[k]), one(x1[k])), _cross(less(q, p), less(r, p))) * int(turn[k])
+            return 0 if abs(got) < Decimal("1e-60") else _sign(got)
+
+    out = _settled(value, 128 * EPS, exact)
+    return np.where(turn == 0, 0, out).astype(np.int8)
+
+
+#: Which of two sites an edge does not need.
+NEITHER, FIRST, SECOND = 0, 1, 2
+
+
+def site_exclusion(a, b, x0, x1, radius: float) -> np.ndarray:
+    """Of two sites within a radius of the edge x0 x1, a nearer to x0: the one whose stretch of the edge
+    within the radius lies inside the other's (FIRST, SECOND), or NEITHER.  In doubles."""
+    a, b, x0, x1 = np.broadcast_arrays(a, b, x0, x1)
+    n = robust_cross(x0, x1)
+    side = np.cross(n, x0)
+
+    def stretch(s):
+        off = np.clip((s * n).sum(-1), -1, 1)
+        at = np.arctan2((s * side).sum(-1), (s * x0).sum(-1))
+        half = np.arccos(np.clip(np.cos(radius) / np.sqrt(1 - off * off), -1, 1))
+        return at - half, at + half
+
+    (low_a, high_a), (low_b, high_b) = stretch(a), stretch(b)
+    first, second = (low_a >= low_b) & (high_a <= high_b), (low_b >= low_a) & (high_b <= high_a)
+    nearer = compare_distances(x1, a, b) < 0
+    return np.where(nearer | second, SECOND, np.where(first, FIRST, NEITHER)).astype(np.int8)
+
+
 def robust_cross(a, b) -> np.ndarray:
     """A unit vector across from a and b, never zero: exact, or from a point beside b, where the two
     are parallel in doubles."""

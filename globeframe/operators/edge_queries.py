@@ -78,7 +78,7 @@ def _entered(rows: DataFrame, level: int, margin: float) -> DataFrame:
 def edges_within(edges: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
     """target_id, shape_id, edge_id, radians of the edges at most ``radius`` from a target."""
     level = min(level_for(max(radius, 1e-9)), 8)
-    right = _entered(targets.select("target_id", F.col("a").alias("a"), F.col("b").alias("b")), level, 0.0).select("target_id", F.col("a").alias("c"), F.col("b").alias("d"), "cell")
+    right = _entered(targets.select("target_id", "a", "b"), level, 0.0).select("target_id", F.col("a").alias("c"), F.col("b").alias("d"), "cell")
     pairs = _entered(edges.select("shape_id", "edge_id", "a", "b"), level, radius).join(right, "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

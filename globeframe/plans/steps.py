@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import angles as A
 from ..functions import cells as C
 from ..functions import regions as R
-from ..functions import vectors as V
 from ..operators import geometry as G
 from ..sources import derived
-from .catalogue import ATAN, CUSTOMERS, EVENTS, LAT_GAP, LNG_GAP, PAIRS, ZONES, _cells, _customers, _pairs, _r, _wrap, cells_sql, corners_sql, query, segment_sql, shifted_sql, signed, unsigned, up, xyz_sql
+from .catalogue import CUSTOMERS, EVENTS, LAT_GAP, LNG_GAP, PAIRS, ZONES, _cells, _customers, _pairs, _r, _wrap, cells_sql, corners_sql, query, segment_sql, shifted_sql, signed, unsigned, up
 
 
 @query(f"""SELECT id, lat * 2 BETWEEN -90 AND 90 AND lng * 3 BETWEEN -180 AND 180 AS valid, round(greatest(-90, least(90, lat * 2)), 7) AS lat,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -38,6 +39,6 @@ def stream_geofence(spark, d):
     hits = geofence.counts(placed, fences, late="36500 days")
     name = "globe_geofence"
     root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="globeframe-")
-    run = hits.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{root}/{name}-{abs(hash(d))}").trigger(availableNow=True).start()
+    run = hits.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{root}/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name).select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "polygon_id", "n")

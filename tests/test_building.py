@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from globeframe.functions import intervals as I
-from globeframe.kernels import builder, grid, overlay, shapes
+from globeframe.kernels import builder, grid, shapes
 from globeframe.kernels import predicates as P
 from globeframe.operators import terms as T
 
@@ -117,6 +117,30 @@ def test_exact_predicates():
     assert np.allclose(np.abs((n * x).sum(1)), 0, atol=1e-14) and np.isfinite(P.robust_cross(x, x)).all() and np.isfinite(P.robust_cross(x, -x)).all()
 
 
+def test_circle_and_site_predicates():
+    a, b, c, n, x, y = (unit(150) for _ in range(6))
+    want = np.sign((np.cross(np.cross(a, b), n) * x).sum(1))
+    assert (P.circle_edge_sign(a, b, n, x) == want).all()
+    e = np.eye(3)
+    assert P.circle_edge_sign(e[:1], e[1:2], e[2:], e[2:])[0] == 0
+    m = unit(150)
+    far = lambda p, q: np.abs((grid.unit(np.cross(np.cross(p, q), m)) * n).sum(1))
+    assert (P.circle_edge_order(a, b, c, x, m, n) == np.sign(far(a, b) - far(c, x))).all()
+    assert (P.circle_edge_order(a, b, a, b, m, n) == 0).all()
+    centre = grid.unit(np.cross(b - a, c - a)) * P.orientation(a, b, c)[:, None]
+    assert np.allclose(np.ptp([shapes.angle(centre, p) for p in (a, b, c)], axis=0), 0, atol=1e-9)
+    assert (P.edge_circumcenter_sign(x, y, a, b, c) == P.orientation(x, y, centre)).all()
+    # The centre of a symmetric circle lies on the axis of symmetry.
+    ring = np.array([[0.6, 0.3, 0.5], [0.6, -0.3, 0.5], [0.9, 0.0, 0.1]])
+    assert P.edge_circumcenter_sign(e[0][None], e[2][None], *(p[None] for p in ring))[0] == 0
+    assert P.edge_circumcenter_sign(a, b, c, c, x).tolist() == [0] * 150
+    x0, x1 = np.array([1.0, 0, 0]), np.array([np.cos(0.5), np.sin(0.5), 0])
+    at = lambda t, h: np.array([np.cos(t) * np.cos(h), np.sin(t) * np.cos(h), np.sin(h)])
+    assert P.site_exclusion(at(0.2, 0.09), at(0.21, 0.0), x0, x1, 0.1) == P.FIRST
+    assert P.site_exclusion(at(0.2, 0.0), at(0.21, 0.09), x0, x1, 0.1) == P.SECOND
+    assert P.site_exclusion(at(0.1, 0.01), at(0.3, 0.01), x0, x1, 0.1) == P.NEITHER
+
+
 def test_clipping():
     a, b = RNG.uniform(-2, 2, (300, 2)), RNG.uniform(-2, 2, (300, 2))
     p, q, some = P.clip_to_rect(a, b, [-1, -0.5], [1, 0.5])

@@ -104,6 +104,36 @@ def test_simplified_chains_stay_near():
     assert shapes.simplify(straight, 1e-6) == [0, 19] and shapes.simplify(straight[:1], 0.1) == [0]
 
 
+def test_subsampled_chains_stay_near(spark):
+    rows = {r["user_id"]: r for r in catalogue.QUERIES["track_simplify"](spark, TABLES).collect()}
+    for r in derived.tracks(spark, TABLES).collect():
+        chain = np.array([tuple(p) for p in r["chain"]])
+        kept = shapes.subsample(chain, 0.3)
+        assert rows[r["user_id"]]["n"] == len(chain) and rows[r["user_id"]]["kept"] == len(kept)
+        assert kept[0] == 0 and kept[-1] == len(chain) - 1 and kept == sorted(set(kept))
+        for i, j in zip(kept[:-1], kept[1:]):
+            assert (P.segment_distance(chain[i : j + 1], chain[i], chain[j]) <= 0.3 + 1e-12).all()
+
+
+def test_buffered_chains(spark):
+    rows = {r["id"]: r["area"] for r in catalogue.QUERIES["buffer_chain"](spark, TABLES).collect()}
+    # Two half discs and a band about an arc of atan(0.1); polygons around circles add a little.
+    exact = 2 * np.pi * (1 - np.cos(0.02)) + np.arctan(0.1) * 2 * np.sin(0.02)
+    assert len(rows) == 25 and all(exact <= a <= 1.01 * exact for a in rows.values())
+
+
+def test_coverings_of_zones(spark):
+    zones = {r["id"]: np.array(tuple(r["p"])) for r in derived.zones(spark, TABLES).collect()}
+    for r in catalogue.QUERIES["region_covering"](spark, TABLES).collect():
+        cells = np.array(r["cells"], np.int64)
+        points = around(zones[r["id"]], 0.0799, 300)
+        assert len(cells) <= 8 and grid.union_contains(grid.normalize(cells), grid.from_xyz(points)).all()
+    for r in catalogue.QUERIES["union_operations"](spark, TABLES).collect():
+        a, b = (grid.normalize(cover.cover(cover.Cap(zones[r["id"]], x))) for x in (0.08, 0.05))
+        want = (grid.normalize(np.concatenate([a, b])), grid.union_intersection(a, b), grid.union_difference(a, b))
+        assert (r["union"], r["intersection"], r["difference"]) == tuple(map(len, want))
+
+
 def test_tessellated_chains_keep_the_tolerance(spark):
     from globeframe.operators import polygons as PG
 
