@@ -178,9 +178,11 @@ class Suffixes:
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Common prefix length of the suffixes at a and b, up to ``length``: binary search."""
         low, high = np.zeros(len(a), np.int64), np.full(len(a), self.length)
+        sums, down = self.hash.sums, self.hash.down
+        sum_a, down_a, sum_b, down_b = sums[a], down[a], sums[b], down[b]
         while (open_ := low < high).any():
             mid = (low + high + 1) // 2
-            same = self.hash.of(a, a + mid) == self.hash.of(b, b + mid)
+            same = (sums[a + mid] - sum_a) * down_a == (sums[b + mid] - sum_b) * down_b
             low = np.where(open_ & same, mid, low)
             high = np.where(open_ & ~same, mid - 1, high)
         return low
@@ -287,10 +289,12 @@ def resolve(segments: list[bytes], least: np.ndarray, key: np.ndarray, length: i
     # Back to all segments of each unit: a window counts if its smallest id is below the segment's.
     first = np.full(n_units, -1)
     first[mixed] = np.cumsum(count) - count
-    for i in np.flatnonzero(first[unit] >= 0).tolist():
-        s = first[unit[i]]
-        hit = found[s : s + windows[i]] < least[i]
-        bits[i] |= U64(sum(1 << int(w) for w in np.flatnonzero(hit)))
+    some = np.flatnonzero(first[unit] >= 0)
+    many = windows[some]
+    starts = np.cumsum(many) - many
+    place = np.arange(many.sum()) - np.repeat(starts, many)
+    hit = found[np.repeat(first[unit[some]], many) + place] < np.repeat(least[some], many)
+    bits[some] |= np.bitwise_or.reduceat(hit.astype(np.uint64) << place.astype(np.uint64), starts)
     return bits
 
 
