@@ -144,6 +144,35 @@ def rect_directed_hausdorff(r, s) -> np.ndarray:
     return np.where(turn == 0, below, best)
 
 
+def rect_expanded(r, distance) -> list[np.ndarray]:
+    """A rectangle grown so that it holds all points within a distance of it, or shrunk by a negative
+    one so that all points within that distance of its inside lie in the old one.
+
+    What is left of nothing is empty: lat_lo > lat_hi, and the longitudes pi to -pi."""
+    lat_lo, lat_hi, lng_lo, lng_hi = (np.asarray(x, float) for x in r)
+    d, width = np.broadcast_to(np.asarray(distance, float), lat_lo.shape), _width(r)
+    whole = width >= 2 * np.pi
+    pole = np.pi / 2
+    grow = d >= 0
+    low, high = np.maximum(-pole, lat_lo - d), np.minimum(pole, lat_hi + d)
+    # A disc about a corner reaches this far in longitude; one over a pole reaches all round.
+    with np.errstate(all="ignore"):
+        turn = [np.where(np.abs(x) + d >= pole, np.inf, np.arcsin(np.minimum(1, np.sin(d) / np.cos(x)))) for x in (lat_lo, lat_hi)]
+        out = np.maximum(*turn)
+        in_low, in_high = np.where((lat_lo <= -pole) & whole, -pole, lat_lo - d), np.where((lat_hi >= pole) & whole, pole, lat_hi + d)
+        share = np.sin(-d) / np.cos(np.maximum(-in_low, in_high))
+        inner = -np.where(share < 1, np.arcsin(np.clip(share, -1, 1)), pole)
+    by = np.where(grow, out, inner)
+    size = width + 2 * by
+    full = whole & (grow | (inner > -pole)) | (size >= 2 * np.pi)
+    lat = [np.where(grow, x, y) for x, y in ((low, in_low), (high, in_high))]
+    empty = (lat[0] > lat[1]) | (~full & (size < 0))
+    with np.errstate(invalid="ignore"):
+        west, east = (np.remainder(x + np.pi, 2 * np.pi) - np.pi for x in (lng_lo - by, lng_hi + by))
+    lng = [np.where(full, -np.pi, west), np.where(full, np.pi, east)]
+    return [np.where(empty, e, v) for e, v in ((1.0, lat[0]), (0.0, lat[1]), (np.pi, lng[0]), (-np.pi, lng[1]))]
+
+
 def chain_rect(chain: np.ndarray) -> tuple[float, float, float, float]:
     """lat_lo, lat_hi, lng_lo, lng_hi (radians) that hold all arcs of a chain, with a margin of
     rounding; all longitudes if an arc passes over a pole."""

@@ -111,6 +111,23 @@ def with_rect_distance(df: DataFrame, a: str, b: str, hausdorff: bool = False, n
     return with_arrays(flat, name, "double", kernel, sides).drop(*sides)
 
 
+def with_rect_expanded(df: DataFrame, rect: str, distance: str, name: str = "expanded") -> DataFrame:
+    """A rectangle (functions.regions.rect) grown by a distance in radians, or shrunk by a negative
+    one: lat_lo, lat_hi, lng_lo, lng_hi."""
+    names = ["lat_lo", "lat_hi", "lng_lo", "lng_hi"]
+    sides = [f"_{x}" for x in names]
+    flat = df.withColumns(dict(zip(sides, (F.col(rect)["lat"]["lo"], F.col(rect)["lat"]["hi"], F.col(rect)["lng"]["lo"], F.col(rect)["lng"]["hi"]), strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                v = [b.column(c).to_numpy() for c in (*sides, distance)]
+                out = pa.StructArray.from_arrays([pa.array(x) for x in cell_distance.rect_expanded(v[:4], v[4])], names)
+                yield b.append_column(name, out)
+
+    return flat.mapInArrow(run, _schema_with(flat, name, "struct<lat_lo:double,lat_hi:double,lng_lo:double,lng_hi:double>")).drop(*sides)
+
+
 def with_chain_rect(df: DataFrame, chain: str = "chain", name: str = "bound") -> DataFrame:
     """The bounding rectangle of each chain's arcs, in radians, with a margin of rounding."""
     sql = "struct<lat_lo:double,lat_hi:double,lng_lo:double,lng_hi:double>"

@@ -136,3 +136,17 @@ SELECT user_id, round(greatest(max(radians(lat)), coalesce(max(CASE WHEN s1 > 0
 def chain_bounds(spark, d):
     df = G.with_chain_rect(derived.tracks(spark, d))
     return df.select("user_id", _r("bound.lat_hi", 7).alias("lat_hi"), _r("bound.lat_lo", 7).alias("lat_lo"))
+
+
+_HALF = "CASE WHEN abs(lat {0} 5) + degrees(d) >= 90 THEN 9 ELSE asin(least(1, sin(d) / cos(radians(lat {0} 5)))) END"
+
+
+@query(f"""SELECT id, round(greatest(-pi()/2, radians(lat - 5) - d), 8) AS lat_lo, round(least(pi()/2, radians(lat + 5) + d), 8) AS lat_hi,
+  round(least(2*pi(), radians(10) + 2 * greatest({_HALF.format('-')}, {_HALF.format('+')})), 7) AS width FROM (SELECT *, (id % 7) / 50.0::DOUBLE AS d FROM {CUSTOMERS})""")
+def rect_expanded(spark, d):
+    box = R.rect_from_degrees(F.col("lat") - 5, _wrap(F.col("lng") - 5), F.col("lat") + 5, _wrap(F.col("lng") + 5))
+    df = _customers(spark, d).select("id", box.alias("r"), (F.col("id") % 7 / 50).alias("d"))
+    df = G.with_rect_expanded(df, "r", "d")
+    e = F.col("expanded")
+    width = F.when(e["lng_hi"] - e["lng_lo"] >= 2 * math.pi, 2 * math.pi).otherwise(F.pmod(e["lng_hi"] - e["lng_lo"], F.lit(2 * math.pi)))
+    return df.select("id", _r(e["lat_lo"], 8).alias("lat_lo"), _r(e["lat_hi"], 8).alias("lat_hi"), _r(width, 7).alias("width"))

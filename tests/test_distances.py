@@ -86,3 +86,27 @@ def test_chain_bounds_hold_the_chain():
             inside = (lng >= west) & (lng <= east) if west <= east else (lng >= west) | (lng <= east)
             assert inside.all()
     assert D.chain_rect(np.zeros((0, 3)))[0] > D.chain_rect(np.zeros((0, 3)))[1]
+
+
+def test_expanded_rectangles():
+    one = lambda x: [np.array([v]) for v in x]
+    for _ in range(60):
+        r, d = draw_rect(), RNG.uniform(0, 0.4)
+        points = rect_points(r, 25)
+        lo, hi, west, east = (x[0] for x in D.rect_expanded(one(r), d))
+        around = np.concatenate([points * np.cos(d * 0.999) + np.sin(d * 0.999) * t for t in (tangent(points) for _ in range(6))])
+        lat, lng = np.arcsin(np.clip(around[:, 2], -1, 1)), np.arctan2(around[:, 1], around[:, 0])
+        assert ((lat >= lo - 1e-12) & (lat <= hi + 1e-12)).all()
+        assert ((np.remainder(lng - west, 2 * np.pi) <= np.remainder(east - west, 2 * np.pi) + 1e-9) | (east - west >= 2 * np.pi - 1e-9)).all()
+        lo, hi, west, east = (x[0] for x in D.rect_expanded(one(r), -d / 4))
+        if lo <= hi:
+            inner = (lo, hi, west, east)
+            assert D.rect_directed_hausdorff(one(inner), one(r))[0] < 1e-9
+            back = [x[0] for x in D.rect_expanded(one(inner), d / 4)]
+            assert back[0] >= r[0] - 1e-9 and back[1] <= r[1] + 1e-9
+    assert D.rect_expanded(one((0.0, 0.1, 0.0, 0.1)), -0.2)[0][0] == 1
+
+
+def tangent(points):
+    t = np.cross(points, unit(len(points)))
+    return t / np.linalg.norm(t, axis=1, keepdims=True)
