@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -122,20 +123,27 @@ def _nearest(within: Callable[[DataFrame, float], DataFrame], targets: DataFrame
         radius *= 3
 
 
-def closest_edges(edges: DataFrame, targets: DataFrame, k: int = 1, max_distance: float | None = None, polygons: DataFrame | None = None, inclusive: bool = False) -> DataFrame:
+def closest_edges(edges: DataFrame, targets: DataFrame, k: int = 1, max_distance: float | None = None, polygons: DataFrame | None = None, inclusive: bool = False, touching: DataFrame | None = None) -> DataFrame:
     """target_id, rank, shape_id, edge_id, radians: each target's k nearest edges, by distance,
     shape and edge.
 
     ``max_distance`` is exclusive unless ``inclusive``.  With ``polygons`` (shape_id, rings)
-    a target inside one has it at distance 0, as edge -1."""
+    a target inside one has it at distance 0, as edge -1.  ``touching`` (target_id, shape_id,
+    edge_id) are pairs known to meet, such as the edges inside a target cell."""
     limit = math.pi if max_distance is None else min(math.pi, max_distance)
-    inner = interiors(polygons, targets).select("target_id", "shape_id", F.lit(INTERIOR).alias("edge_id"), F.lit(0.0).alias("radians")) if polygons is not None else None
-    inner = cut(inner) if inner is not None else None
+    zero = F.lit(0.0).alias("radians")
+    known = []
+    if polygons is not None:
+        known.append(interiors(polygons, targets).select("target_id", "shape_id", F.lit(INTERIOR).alias("edge_id"), zero))
+    if touching is not None:
+        known.append(touching.select("target_id", "shape_id", "edge_id", zero))
+    inner = cut(reduce(DataFrame.unionByName, known)) if known else None
 
     def within(todo: DataFrame, radius: float) -> DataFrame:
         found = edges_within(edges, todo, radius)
         if inner is not None:
             found = found.unionByName(inner.join(todo.select("target_id").distinct(), "target_id", "left_semi"))
+            found = found.groupBy("target_id", "shape_id", "edge_id").agg(F.min("radians").alias("radians"))
         return found if max_distance is None or inclusive or radius < limit else found.filter(F.col("radians") < limit)
 
     n = edges.count()
@@ -143,6 +151,22 @@ def closest_edges(edges: DataFrame, targets: DataFrame, k: int = 1, max_distance
     return _nearest(within, targets, k, first, limit, ["radians", "shape_id", "edge_id"]).select("target_id", "rank", "shape_id", "edge_id", "radians")
 
 
+def closest_points(points: DataFrame, targets: DataFrame, k: int = 1, max_distance: float | None = None, inclusive: bool = False) -> DataFrame:
+    """target_id, rank, id, radians: the k nearest points (id, p) of targets of any kind, by distance
+    and id.  A region filter is a filter on the points."""
+    as_edges = points.select(F.col("id").alias("shape_id"), F.lit(0).alias("edge_id"), F.col("p").alias("a"), F.col("p").alias("b"))
+    found = closest_edges(as_edges, targets, k, max_distance, inclusive=inclusive)
+    return found.select("target_id", "rank", F.col("shape_id").alias("id"), "radians")
+
+
+def edges_in_cells(edges: DataFrame, cells: DataFrame) -> DataFrame:
+    """target_id, shape_id, edge_id of the edges that start in cells (target_id, cell): with those that
+    cross a side, all that meet them."""
+    leaf = C.with_cell(edges.select("shape_id", "edge_id", "a"), "a", "leaf")
+    up = leaf.select("shape_id", "edge_id", F.explode(_ancestors("leaf")).alias("cell"))
+    return up.join(cells.select("target_id", "cell"), "cell").select("target_id", "shape_id", "edge_id")
+
+
 def furthest_edges(edges: DataFrame, targets: DataFrame, k: int = 1, min_distance: float | None = None) -> DataFrame:
     """target_id, rank, shape_id, edge_id, radians: the k farthest edges, the farthest point of an
     edge counting; ``min_distance`` is exclusive.  They are the nearest to the antipodal target."""

@@ -73,6 +73,23 @@ def shapes_nearest(spark, d):
     return Q.closest_shapes(_edges(spark, d), _targets(spark, d), 0.05).select("target_id", "shape_id", _r("radians", 7).alias("radians"))
 
 
+@query(top(f"SELECT target_id, c.id AS id, {segment_sql('c.p', 't.c', 't.d')} AS r FROM (SELECT id, {_P} AS p FROM {CUSTOMERS}) c, {_ARC} t", 3, "r, id", "id, round(r, 7) AS radians"))
+def points_nearest_arc(spark, d):
+    return Q.closest_points(derived.customers(spark, d), _arc_targets(spark, d), 3).withColumn("radians", _r("radians", 7))
+
+
+_ZONE_SIDES = " UNION ALL ".join(f"SELECT u.id AS target_id, u.p AS c, v.p AS d FROM (SELECT id, {_P} AS p FROM {xyz_sql(shifted_sql(3, i, j).replace(CUSTOMERS, ZONES))}) u JOIN (SELECT id, {_P} AS p FROM {xyz_sql(shifted_sql(3, k, l).replace(CUSTOMERS, ZONES))}) v ON u.id = v.id" for i, j, k, l in (("0", "0", "1", "0"), ("1", "0", "1", "1"), ("1", "1", "0", "1"), ("0", "1", "0", "0")))
+_STARTS = f"SELECT z.id AS target_id, e.id AS edge_id FROM (SELECT id, {up('cell', 3)} AS cell FROM {cells_sql(ZONES)}) z JOIN (SELECT id, {up('cell', 3)} AS cell FROM {cells_sql(EVENTS)}) e USING (cell)"
+
+
+@query(top(f"""SELECT target_id, shape_id, edge_id, CASE WHEN s.edge_id IS NOT NULL THEN 0 ELSE r END AS r FROM (SELECT target_id, shape_id, edge_id, min({_BETWEEN}) AS r FROM {_EDGES} e, ({_ZONE_SIDES}) t GROUP BY 1, 2, 3) LEFT JOIN ({_STARTS}) s USING (target_id, edge_id)""", 4, "r, shape_id, edge_id", "shape_id, edge_id::INTEGER AS edge_id, round(r, 7) AS radians"))
+def edges_nearest_cell(spark, d):
+    cells = C.with_cell(derived.zones(spark, d), "p", "cell", 3).select(F.col("id").alias("target_id"), "cell")
+    edges = _edges(spark, d)
+    out = Q.closest_edges(edges, Q.cell_targets(cells), 4, touching=Q.edges_in_cells(edges, cells))
+    return out.withColumn("radians", _r("radians", 7))
+
+
 # Polygons as targets' surroundings: the interior counts.
 
 _OFF = ring_sql(far_sql("0.05"), 0.15, 6)

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import angles as A
 from ..functions import cells as C
 from ..functions import regions as R
+from ..functions import vectors as V
 from ..operators import geometry as G
 from ..sources import derived
-from .catalogue import CUSTOMERS, EVENTS, LAT_GAP, LNG_GAP, PAIRS, ZONES, _cells, _customers, _pairs, _r, _wrap, cells_sql, corners_sql, query, segment_sql, shifted_sql, signed, unsigned, up
+from .catalogue import CHORD, CUSTOMERS, EVENTS, LAT_GAP, LNG_GAP, PAIRS, ZONES, _cells, _customers, _pairs, _r, _wrap, cells_sql, corners_sql, query, segment_sql, shifted_sql, signed, unsigned, up
 
 
 @query(f"""SELECT id, lat * 2 BETWEEN -90 AND 90 AND lng * 3 BETWEEN -180 AND 180 AS valid, round(greatest(-90, least(90, lat * 2)), 7) AS lat,
@@ -150,3 +151,26 @@ def rect_expanded(spark, d):
     e = F.col("expanded")
     width = F.when(e["lng_hi"] - e["lng_lo"] >= 2 * math.pi, 2 * math.pi).otherwise(F.pmod(e["lng_hi"] - e["lng_lo"], F.lit(2 * math.pi)))
     return df.select("id", _r(e["lat_lo"], 8).alias("lat_lo"), _r(e["lat_hi"], 8).alias("lat_hi"), _r(width, 7).alias("width"))
+
+
+_IN_CAP = f"{CHORD} <= power(2*sin(0.6/2),2)"
+_IN_RECT = f"({LAT_GAP} <= 20 AND {LNG_GAP} <= 40)"
+
+
+@query(f"""SELECT a.id AS id, {up('c.cell', 1)} = {up('z.cell', 1)} AS in_cell, {up('c.cell', 1)} IN ({up('z.cell', 1)}, {up('o.cell', 1)}) AS in_union, {_IN_CAP} OR {_IN_RECT} AS in_either, {_IN_CAP} AND {_IN_RECT} AS in_both, a.x = b.x AND a.y = b.y AND a.z = b.z AS is_it
+FROM {PAIRS} JOIN {cells_sql(CUSTOMERS)} c ON c.id = a.id JOIN {cells_sql(ZONES)} z ON z.id = b.id JOIN {cells_sql(f"(SELECT id, -x AS x, -y AS y, -z AS z FROM {ZONES})")} o ON o.id = b.id""")
+def region_predicates(spark, d):
+    # A cell, a union of two, a disc or a rectangle, both of them, and a point, for each pair.
+    df = C.with_cell(C.with_cell(_pairs(spark, d), "p", "leaf"), "q", "one", 1)
+    df = C.with_cell(df.withColumn("far", V.scale("q", -1.0)), "far", "two", 1).withColumn("cells", F.array("one", "two"))
+    cap = R.cap_contains(R.cap("q", 0.6), "p")
+    box = R.rect_from_degrees(F.col("zlat") - 20.000001, _wrap(F.col("zlng") - 40.000001), F.col("zlat") + 20.000001, _wrap(F.col("zlng") + 40.000001))
+    rect = R.rect_contains(box, F.radians("lat"), F.radians("lng"))
+    return df.select(
+        "id",
+        C.contains("one", "leaf").alias("in_cell"),
+        F.exists("cells", lambda c: C.contains(c, F.col("leaf"))).alias("in_union"),
+        (cap | rect).alias("in_either"),
+        (cap & rect).alias("in_both"),
+        (F.col("p") == F.col("q")).alias("is_it"),
+    )
