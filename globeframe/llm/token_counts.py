@@ -117,7 +117,7 @@ class Rollup:
         row = lambda df, sign: df.filter(~F.col("deleted")).select(*GROUP, "n_tokens", F.lit(sign).alias("sign"))
         signed = row(new, 1)
         if (old := self.states(number)) is not None:
-            signed = signed.unionByName(row(old.join(new.select(*key), key, "left_semi"), -1))
+            signed = signed.unionByName(row(old.join(new.select(*key).hint("merge"), key, "left_semi"), -1))
         delta = signed.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
         delta.write.mode("overwrite").parquet(f"{self.root}/deltas/{number}")
 
@@ -139,12 +139,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     live, gone = F.lit(False).alias("deleted"), F.lit(True).alias("deleted")
     rollup.commit(0, counted(docs).select("*", live))
     # Counted before the join: counts are a hundredth of the texts that would move otherwise.
+    # Labels grow with the corpus, so no join broadcasts them.
     tidy = docs.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " ")))
     poor = labels.filter("quality = 0").select("doc_id").distinct()
-    revised = Scratch(spark, "revised").save(counted(tidy).join(poor, "doc_id", "left_semi").select("*", live))
+    revised = Scratch(spark, "revised").save(counted(tidy).join(poor.hint("merge"), "doc_id", "left_semi").select("*", live))
     toxic = labels.filter("toxic = 1").select("doc_id").distinct()
     for _ in range(2):
         rollup.commit(1, revised)
-        dropped = rollup.states(2).drop("deleted").join(toxic, "doc_id", "left_semi").select("*", gone)
+        dropped = rollup.states(2).drop("deleted").join(toxic.hint("merge"), "doc_id", "left_semi").select("*", gone)
         rollup.commit(2, dropped)
     return rollup.totals()
