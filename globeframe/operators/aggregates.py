@@ -21,14 +21,15 @@ def bounding_rect(points: DataFrame, key: str) -> DataFrame:
     """key, lat_lo, lat_hi, lng_lo, lng_hi (degrees): the longitudes leave out the widest gap.
 
     The gap is found by one window over distinct longitudes of a key, after an aggregation
-    has made them distinct.
+    has made them distinct.  Gaps are compared in millionths of a degree, and of equal ones
+    the westernmost is left out, so rounding does not choose between them.
     """
     lats = points.groupBy(key).agg(F.min("lat").alias("lat_lo"), F.max("lat").alias("lat_hi"))
     lngs = points.select(key, "lng").distinct()
     w = Window.partitionBy(key).orderBy("lng")
     first = F.min("lng").over(Window.partitionBy(key))
     gap = F.coalesce(F.lead("lng").over(w), first + 360) - F.col("lng")
-    gaps = lngs.withColumn("g", F.struct(gap.alias("gap"), (-F.col("lng")).alias("neg"), F.coalesce(F.lead("lng").over(w), first).alias("after")))
+    gaps = lngs.withColumn("g", F.struct(F.round(gap, 6).alias("gap"), (-F.col("lng")).alias("neg"), F.coalesce(F.lead("lng").over(w), first).alias("after")))
     ends = gaps.groupBy(key).agg(F.max("g").alias("g"))
     return lats.join(ends, key).select(key, "lat_lo", "lat_hi", F.col("g.after").alias("lng_lo"), (-F.col("g.neg")).alias("lng_hi"))
 
