@@ -150,13 +150,9 @@ def ccw(a, b, c) -> Column:
 
 @let
 def triangle_area(a, b, c) -> Column:
-    """Area by half sides (l'Huilier), or by angles where the triangle is a sliver."""
-    sa, sb, sc = stable_angle(b, c), stable_angle(c, a), stable_angle(a, b)
-    s = (sa + sb + sc) / 2
-    t = F.tan(s / 2) * F.tan((s - sa) / 2) * F.tan((s - sb) / 2) * F.tan((s - sc) / 2)
-    sides = 4 * F.atan(F.sqrt(F.greatest(F.lit(0.0), t)))
-    thin = F.least(s - sa, s - sb, s - sc) < 1e-2 * s
-    return F.when((s >= 3e-4) & thin & (girard_area(a, b, c) < s * 0.1), girard_area(a, b, c)).otherwise(sides)
+    """Area by its half tangent, which holds for small triangles, slivers and half spheres alike."""
+    volume = dot(a, cross(subtract(b, a), subtract(c, a)))
+    return 2 * F.atan2(F.abs(volume), 1 + dot(a, b) + dot(b, c) + dot(c, a))
 
 
 @let
