@@ -29,6 +29,8 @@ from .spatial_join import _arc_cells, level_for, point_in_polygon, points_array
 POINT_SQL = "struct<x:double,y:double,z:double>"
 #: The edge id of a shape's interior.
 INTERIOR = -1
+#: The most rows of targets that are sent to all tasks (under 1 MB).
+FEW = 4096
 
 
 def edge_scan(shapes_: DataFrame, closed: bool = False) -> DataFrame:
@@ -76,9 +78,81 @@ def _entered(rows: DataFrame, level: int, margin: float) -> DataFrame:
     return rows.mapInArrow(run, schema + ", cell long")
 
 
+def _few_targets(targets: DataFrame) -> tuple | None:
+    """The rows of targets as arrays (target_id, a, b), unless there are more than ``FEW``."""
+    t = targets.select("target_id", "a", "b").limit(FEW + 1).toArrow().combine_chunks()
+    return (t.column("target_id").combine_chunks(), points_array(t.column("a")), points_array(t.column("b"))) if t.num_rows <= FEW else None
+
+
+def _pairs_in_cells(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, radius: float, deepest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (arc ab, arc cd) that share a cell, arcs ab being entered with a margin: each once.
+
+    Cells are walked from the faces, and one that either side misses is left with all below it;
+    so an arc has work only where there are targets."""
+    if not len(a) or not len(c):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    rows, cells = np.repeat(np.arange(len(a)), 6), np.tile(grid.faces(), len(a))
+    asked, places = np.repeat(np.arange(len(c)), 6), np.tile(grid.faces(), len(c))
+
+    def meet(rows, cells, p, q, margin):
+        few, at = np.unique(cells, return_inverse=True)
+        center, reach = grid.cell_bound(few)
+        hit = P.segment_distance(center[at], p[rows], q[rows]) <= reach[at] + margin + 1e-15
+        return rows[hit], cells[hit]
+
+    for k in range(deepest + 1):
+        asked, places = meet(asked, places, c, d, 0.0)
+        live = np.isin(cells, places)
+        rows, cells = meet(rows[live], cells[live], a, b, radius)
+        live = np.isin(places, cells)
+        asked, places = asked[live], places[live]
+        if k < deepest:
+            rows, cells = np.repeat(rows, 4), grid.children(cells).ravel()
+            asked, places = np.repeat(asked, 4), grid.children(places).ravel()
+    order = np.argsort(places, kind="stable")
+    asked, places = asked[order], places[order]
+    low, high = np.searchsorted(places, cells, "left"), np.searchsorted(places, cells, "right")
+    n = high - low
+    at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    both = np.unique(np.repeat(rows, n) * len(c) + asked[at])
+    return both // len(c), both % len(c)
+
+
+def _within_few(edges: DataFrame, few: tuple, radius: float, level: int) -> DataFrame:
+    """``edges_within`` for targets that every task holds: edges are not entered under cells without
+    a target, nor moved."""
+    ids, c, d = few
+    sent = (ids.to_numpy(zero_copy_only=False), c, d)
+    kind, target_kind = ids.type, pa.types.is_string(ids.type) and "string" or "long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, c, d = sent
+        for whole in batches:
+            for s in range(0, whole.num_rows, 1 << 11):
+                b = whole.slice(s, 1 << 11)
+                p, q = points_array(b.column("a")), points_array(b.column("b"))
+                i, j = _pairs_in_cells(p, q, c, d, radius, level)
+                r = np.zeros(len(i))
+                for k in range(0, len(i), 1 << 15):
+                    x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+                    r[k : k + (1 << 15)] = P.segment_pair_distance(p[x], q[x], c[y], d[y])
+                near = r <= radius
+                taken = b.select(["shape_id", "edge_id"]).take(pa.array(i[near], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(names[j[near]], kind), *taken.columns, pa.array(r[near])], ["target_id", "shape_id", "edge_id", "radians"])
+
+    shape = edges.schema["shape_id"].dataType.simpleString()
+    return edges.select("shape_id", "edge_id", "a", "b").mapInArrow(run, f"target_id {target_kind}, shape_id {shape}, edge_id int, radians double")
+
+
 def edges_within(edges: DataFrame, targets: DataFrame, radius: float) -> DataFrame:
-    """target_id, shape_id, edge_id, radians of the edges at most ``radius`` from a target."""
+    """target_id, shape_id, edge_id, radians of the edges at most ``radius`` from a target.
+
+    Long edges meet very many small cells, so up to ``FEW`` targets go to the edges; more are
+    joined with them on cells."""
     level = min(level_for(max(radius, 1e-9)), 8)
+    few = _few_targets(targets)
+    if few is not None:
+        return _within_few(edges, few, radius, level).groupBy("target_id", "shape_id", "edge_id").agg(F.min("radians").alias("radians"))
     right = _entered(targets.select("target_id", "a", "b"), level, 0.0).select("target_id", F.col("a").alias("c"), F.col("b").alias("d"), "cell")
     pairs = _entered(edges.select("shape_id", "edge_id", "a", "b"), level, radius).join(right, "cell")
 
@@ -103,16 +177,17 @@ def interiors(polygons: DataFrame, targets: DataFrame) -> DataFrame:
     return hits.select(F.col("id").alias("target_id"), F.col("polygon_id").alias("shape_id")).distinct()
 
 
-def _nearest(within: Callable[[DataFrame, float], DataFrame], targets: DataFrame, k: int, first: float, limit: float, order: list) -> DataFrame:
+def _nearest(within: Callable[[DataFrame, float], DataFrame], targets: DataFrame, k: int, first: float, limit: float, order: list, slack: float = 0.0) -> DataFrame:
     """The k first rows of each target by ``order``: discs grow until they hold k rows, so a
-    target is finished once its k-th row lies within the radius."""
+    target is finished once its k-th row lies within the radius.  Where ``order`` takes distances
+    less than ``slack`` apart for equal, the k-th must lie that far within it."""
     best = Window.partitionBy("target_id").orderBy(*order)
     radius, todo, out = max(first, 1e-7), targets, None
     while True:
         last = radius >= limit
         ranked = within(todo, min(radius, limit)).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
         ranked = cut(ranked)
-        full = ranked.filter(F.col("rank") == k).select("target_id")
+        full = ranked.filter((F.col("rank") == k) & (F.col("radians") <= radius - slack)).select("target_id")
         part = ranked if last else ranked.join(full, "target_id", "left_semi")
         out = part if out is None else out.unionByName(part)
         if last:
@@ -233,8 +308,9 @@ def _holding(cells: DataFrame, targets: DataFrame) -> DataFrame:
 
 def closest_cells(cells: DataFrame, targets: DataFrame, k: int = 1, max_distance: float | None = None, inside: DataFrame | None = None) -> DataFrame:
     """target_id, rank, cell, label, radians: the k nearest cells (cell, label) of each target, by
-    distance, cell in curve order, label.  ``inside`` (target_id, cell, label) are pairs known to
-    overlap; left out, they are the cells that hold an end of a target's row."""
+    distance, cell in curve order, label.  Neighbours share their sides, so distances are equal
+    if they agree to 12 places.  ``inside`` (target_id, cell, label) are pairs known to overlap;
+    left out, they are the cells that hold an end of a target's row."""
     limit = math.pi if max_distance is None else min(math.pi, max_distance)
     held = cut(_holding(cells, targets) if inside is None else inside)
 
@@ -244,7 +320,7 @@ def closest_cells(cells: DataFrame, targets: DataFrame, k: int = 1, max_distance
 
     n = cells.count()
     first = math.acos(max(-1.0, 1 - 2 * min(1.0, 4 * k / max(1, n))))
-    return _nearest(within, targets, k, first, limit, ["radians", C.order_key("cell"), "label"]).select("target_id", "rank", "cell", "label", "radians")
+    return _nearest(within, targets, k, first, limit, [F.round("radians", 12), C.order_key("cell"), "label"], 2e-12).select("target_id", "rank", "cell", "label", "radians")
 
 
 def cell_join(left: DataFrame, right: DataFrame, tolerance: float) -> DataFrame:

@@ -24,3 +24,54 @@ def test_bounding_rect_of_equal_gaps(spark):
     df = spark.createDataFrame([(1, 0.0, x) for x in lngs], "key int, lat double, lng double")
     r = AG.bounding_rect(df, "key").collect()[0]
     assert (r.lng_hi, r.lng_lo) == (-180.0, -179.99)
+
+
+def _edges(spark, n, seed=3):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    p = rng.normal(size=(2, n, 3))
+    p /= np.linalg.norm(p, axis=-1, keepdims=True)
+    point = lambda v: dict(zip("xyz", map(float, v), strict=True))
+    rows = [(k % 7, k, point(p[0, k]), point(p[1, k])) for k in range(n)]
+    sql = "struct<x:double,y:double,z:double>"
+    return p, spark.createDataFrame(rows, f"shape_id long, edge_id int, a {sql}, b {sql}")
+
+
+@pytest.mark.parametrize("radius", [0.01, 0.3, math.pi])
+def test_edges_within_few_and_many_targets(spark, monkeypatch, radius):
+    from globeframe.operators import edge_queries as Q
+
+    p, edges = _edges(spark, 60)
+    _, other = _edges(spark, 9, 4)
+    targets = other.select(F.col("shape_id").alias("target_id"), "a", "b")
+    rows = lambda: sorted(tuple(r) for r in Q.edges_within(edges, targets, radius).collect())
+    few = rows()
+    monkeypatch.setattr(Q, "FEW", 3)
+    assert few == rows() and few
+
+
+def test_long_edges_are_not_spread_over_cells(spark, monkeypatch):
+    from globeframe.operators import edge_queries as Q
+
+    monkeypatch.setattr(Q, "_entered", lambda *_: pytest.fail("edges entered under all their cells"))
+    _, edges = _edges(spark, 50)
+    targets = edges.limit(2).select(F.col("edge_id").cast("long").alias("target_id"), "a", F.col("a").alias("b"))
+    assert Q.closest_edges(edges, targets, 3).count() == 6
+
+
+def test_cells_at_equal_distance_by_their_order(spark):
+    from globeframe.functions import cells as C
+    from globeframe.kernels import grid
+    from globeframe.operators import edge_queries as Q
+
+    # From points far along a line of symmetry, the two cells beside it are equally far.
+    import numpy as np
+
+    cells = grid.from_xyz(grid.latlng_to_xyz(np.array([1e-3, -1e-3] * 8), np.repeat(np.linspace(-40, 40, 8), 2)), 6)
+    df = spark.createDataFrame([(int(c), k) for k, c in enumerate(cells)], "cell long, label long")
+    asked = [(k, float(x)) for k, x in enumerate(np.linspace(-39, 39, 23))]
+    q = spark.createDataFrame(asked, "target_id long, lng double").select("target_id", V.from_degrees(F.lit(0.0), "lng").alias("q"))
+    got = Q.closest_cells(df, Q.point_targets(q), 2).orderBy("target_id", "rank").collect()
+    for first, second in zip(got[::2], got[1::2], strict=True):
+        assert grid.order_key(np.int64(first.cell)) <= grid.order_key(np.int64(second.cell)) or second.radians - first.radians > 1e-12
