@@ -1,4 +1,4 @@
-"""Cutting lineage: reliable checkpoints in the folder that all executors share."""
+"""Cutting lineage by reliable checkpoints in the folder that all executors share, and spreading rows."""
 
 from __future__ import annotations
 
@@ -22,3 +22,13 @@ def cut(df: DataFrame) -> DataFrame:
             found = f"file://{tempfile.mkdtemp(prefix='globeframe-')}"
         sc.setCheckpointDir(found)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` over at least two tasks a core, by columns if asked.
+
+    Tables of numbers are small files, read by a few tasks, and Spark joins small shuffles into
+    few; work of far more seconds than bytes is then done by few cores."""
+    spark = df.sparkSession
+    n = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *by)

@@ -75,3 +75,22 @@ def test_cells_at_equal_distance_by_their_order(spark):
     got = Q.closest_cells(df, Q.point_targets(q), 2).orderBy("target_id", "rank").collect()
     for first, second in zip(got[::2], got[1::2], strict=True):
         assert grid.order_key(np.int64(first.cell)) <= grid.order_key(np.int64(second.cell)) or second.radians - first.radians > 1e-12
+
+
+def test_distances_of_many_points_to_one_polygon():
+    import numpy as np
+
+    from globeframe.kernels import predicates as P
+    from globeframe.kernels import shapes
+
+    rng = np.random.default_rng(1)
+    p = rng.normal(size=(3000, 3))
+    p /= np.linalg.norm(p, axis=-1, keepdims=True)
+    c = np.array([0.0, 0.6, 0.8])
+    rings = [shapes.regular(c, 0.5, 7), shapes.regular(c, 0.2, 5)[::-1]]
+    near = np.min([P.segment_distance(p[:, None], r[None], np.roll(r, -1, axis=0)[None]).min(1) for r in rings], axis=0)
+    held = shapes.contains(rings, p)
+    assert np.allclose(shapes.border_distances(rings, p), near, atol=1e-15)
+    assert (shapes.distances(rings, p)[held] == 0).all() and 0 < held.sum() < 500
+    at = shapes.project_on_polygon(rings, p)
+    assert np.allclose(shapes.angle(p, at), np.where(held, 0, near), atol=1e-12)
