@@ -27,14 +27,21 @@ def _schema_with(df: DataFrame, name: str, sql_type: str) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{name}` {sql_type}"
 
 
+def slices(b: pa.RecordBatch, size: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``size`` bytes and at least a row: Python values take many times that."""
+    step = max(1, int(size * b.num_rows / max(1, b.nbytes)))
+    for s in range(0, b.num_rows, step):
+        yield b.slice(s, step)
+
+
 def with_kernel(df: DataFrame, name: str, sql_type: str, arrow_type: pa.DataType, inputs: list[str], kernel: Callable) -> DataFrame:
     """Adds a column: ``kernel`` over the values of some columns, row by row; nulls give null.
 
     For results of varying length.  Chains of points come as (n, 3) arrays, cut from the flat
-    arrays of the batch."""
+    arrays of a part of the batch, so that few rows are Python values at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             columns = [_values(b.column(c)) for c in inputs]
             values = [None if any(v is None for v in row) else kernel(*row) for row in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, arrow_type)], [*b.schema.names, name])
@@ -52,11 +59,15 @@ def _values(column: pa.Array) -> list:
     if not pa.types.is_list(kind):
         return column.to_pylist()
     if _is_point(kind.value_type):
-        flat, offsets = points_array(column.values), column.offsets.to_numpy()
-        parts = [flat[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+        offsets = column.offsets.to_numpy()
+        first = offsets[0] if len(offsets) else 0
+        flat = points_array(column.values.slice(first, offsets[-1] - first if len(offsets) else 0))
+        parts = [flat[s:e] for s, e in zip(offsets[:-1] - first, offsets[1:] - first, strict=True)]
     elif pa.types.is_list(kind.value_type) and _is_point(kind.value_type.value_type):
-        inner, offsets = _values(column.values), column.offsets.to_numpy()
-        parts = [inner[s:e] for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
+        offsets = column.offsets.to_numpy()
+        first = offsets[0] if len(offsets) else 0
+        inner = _values(column.values.slice(first, offsets[-1] - first if len(offsets) else 0))
+        parts = [inner[s:e] for s, e in zip(offsets[:-1] - first, offsets[1:] - first, strict=True)]
     else:
         return column.to_pylist()
     return [p if ok else None for p, ok in zip(parts, column.is_valid().to_pylist(), strict=True)]

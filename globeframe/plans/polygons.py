@@ -181,8 +181,8 @@ def covering_members(spark, d):
     centre = z.select(F.col("id").alias("key"), F.col("p").alias("q"))
     counts = None
     for k in range(4):
-        held = PG.members(points.select("id", "leaf"), z.select(F.col("id").alias("key"), F.col(f"c{k}").alias("cells")))
-        held = held.join(points.select("id", "p"), "id").join(centre, "key").filter(V.chord2("p", "q") <= 4 * math.sin(0.1) ** 2)
+        held = PG.members(points, z.select(F.col("id").alias("key"), F.col(f"c{k}").alias("cells")))
+        held = held.join(centre, "key").filter(V.chord2("p", "q") <= 4 * math.sin(0.1) ** 2)
         n = held.groupBy("key").agg(F.count("*").alias(f"n{k}"))
         counts = n if counts is None else counts.join(n, "key", "full")
     return counts.select("key", F.least(*(F.coalesce(f"n{k}", F.lit(0)) for k in range(4))).alias("n"))
