@@ -19,7 +19,7 @@ from ..functions import cells as C
 from ..functions import vectors as V
 from ..kernels import cover, grid, shapes
 from ..kernels import predicates as P
-from .lineage import cut
+from .lineage import cut, spread
 
 #: The level of joins on discs: the cell is about as wide as the radius.
 DEEPEST = 24
@@ -40,25 +40,83 @@ def level_for(radius: float) -> int:
     return max(0, min(DEEPEST, C.metric_max_level("min_width", radius)))
 
 
-def radius_candidates(points: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
-    """Pairs of (id, p) and (query_id, q) at most ``radius`` (radians) apart, with their chord."""
-    level = level_for(radius)
-    left = C.with_cell(points.select("id", "p"), "p", "cell", level)
+#: Points of a chunk: a pair of chunks is a row of 16 kB.
+CHUNK = 256
+
+
+def _chunks(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """cell, ``name`` (ids) and their coordinates in rows of at most ``CHUNK`` points (key, x, y, z, cell)."""
+    kind = rows.schema[key].dataType.simpleString()
+    lists = [name, *(f"{name}_{c}" for c in "xyz")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                cell = b.column("cell").to_numpy()
+                starts = np.concatenate([[0], np.flatnonzero(np.diff(cell)) + 1, [b.num_rows]])
+                cuts = np.unique(np.concatenate([np.arange(u, v, CHUNK) for u, v in zip(starts[:-1], starts[1:], strict=True)]))
+                offsets = pa.array(np.append(cuts, b.num_rows), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(cell[cuts]), *(pa.ListArray.from_arrays(offsets, b.column(c)) for c in (key, *"xyz"))], ["cell", *lists])
+
+    sorted_ = spread(rows.select("cell", key, *"xyz").filter("cell IS NOT NULL"), "cell").sortWithinPartitions("cell")
+    return sorted_.mapInArrow(run, f"cell long, {name} array<{kind}>, " + ", ".join(f"{c} array<double>" for c in lists[1:]))
+
 
-    point = queries.schema["q"].dataType.simpleString()
+def _radius_hits(points: DataFrame, queries: DataFrame, radius: float, pairs: bool) -> DataFrame:
+    """query_id, id, chord2 of the pairs within a radius; or query_id alone, once for each chunk of
+    points with one.
+
+    Chunks of points and of queries in a cell are joined, so the join has a row for 65,000 pairs;
+    the pairs are only told apart in arrays, of which one has 256 times 256 numbers."""
+    level = level_for(radius)
+    left = _chunks(C.with_cell(points.select("id", "p"), "p", "cell", level).select("id", "p.*", "cell"), "id", "ids")
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                q = points_array(b.column("q"))
+                q = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in "xyz"], -1)
                 rows, cells = _arc_cells(q, q, level, radius)
                 yield b.take(pa.array(rows, pa.int64())).append_column("cell", pa.array(cells, pa.int64()))
 
-    kind = queries.schema["query_id"].dataType.simpleString()
-    right = queries.select("query_id", "q").mapInArrow(enter, f"query_id {kind}, q {point}, cell long")
+    kind, id_kind = queries.schema["query_id"].dataType.simpleString(), points.schema["id"].dataType.simpleString()
+    entered = queries.select("query_id", *(F.col("q")[c].alias(c) for c in "xyz")).filter("x IS NOT NULL")
+    right = _chunks(entered.mapInArrow(enter, f"query_id {kind}, x double, y double, z double, cell long"), "query_id", "asked")
     limit = 4 * math.sin(min(radius, math.pi) / 2) ** 2
-    pairs = left.join(right, "cell").withColumn("chord2", V.chord2("p", "q"))
-    return pairs.filter(F.col("chord2") <= limit).select("query_id", "id", "chord2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = {c: (b.column(c).offsets.to_numpy(), b.column(c).values) for c in ("ids", "asked")}
+            xyz = {c: [b.column(f"{c}_{k}").values.to_numpy() for k in "xyz"] for c in ("ids", "asked")}
+            base = {c: [b.column(f"{c}_{k}").offsets[0].as_py() if b.num_rows else 0 for k in "xyz"] for c in ("ids", "asked")}
+            who, whom, far, n = [], [], [], 0
+            for r in range(b.num_rows):
+                (u, v), (s, t) = (at[c][0][r : r + 2] for c in ("ids", "asked"))
+                d = 0.0
+                for k in range(3):
+                    shift = [base[c][k] - at[c][0][0] for c in ("ids", "asked")]
+                    e = xyz["ids"][k][u + shift[0] : v + shift[0], None] - xyz["asked"][k][None, s + shift[1] : t + shift[1]]
+                    d = d + e * e
+                d = np.minimum(d, 4.0)
+                if pairs:
+                    i, j = np.nonzero(d <= limit)
+                    who.append(i + u), far.append(d[i, j])
+                else:
+                    j = np.flatnonzero((d <= limit).any(0))
+                whom.append(j + s)
+                n += len(j)
+                if n and (n >= 1 << 18 or r == b.num_rows - 1):
+                    out = [at["asked"][1].take(pa.array(np.concatenate(whom), pa.int64()))]
+                    if pairs:
+                        out += [at["ids"][1].take(pa.array(np.concatenate(who), pa.int64())), pa.array(np.concatenate(far))]
+                    yield pa.RecordBatch.from_arrays(out, ["query_id", "id", "chord2"][: len(out)])
+                    who, whom, far, n = [], [], [], 0
+
+    return left.join(right, "cell").drop("cell").mapInArrow(run, f"query_id {kind}" + (f", id {id_kind}, chord2 double" if pairs else ""))
+
+
+def radius_candidates(points: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
+    """Pairs of (id, p) and (query_id, q) at most ``radius`` (radians) apart, with their chord."""
+    return _radius_hits(points, queries, radius, True)
 
 
 def radius_join(points: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
@@ -68,13 +126,11 @@ def radius_join(points: DataFrame, queries: DataFrame, radius: float) -> DataFra
 
 def radius_semi(points: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
     """The queries with some point within the radius."""
-    hit = radius_join(points, queries, radius).select("query_id").distinct()
-    return queries.join(hit, "query_id", "left_semi")
+    return queries.join(_radius_hits(points, queries, radius, False).distinct(), "query_id", "left_semi")
 
 
 def radius_anti(points: DataFrame, queries: DataFrame, radius: float) -> DataFrame:
-    hit = radius_join(points, queries, radius).select("query_id").distinct()
-    return queries.join(hit, "query_id", "left_anti")
+    return queries.join(_radius_hits(points, queries, radius, False).distinct(), "query_id", "left_anti")
 
 
 def knn_join(points: DataFrame, queries: DataFrame, k: int, max_distance: float | None = None, first_radius: float | None = None) -> DataFrame:
@@ -199,6 +255,25 @@ def _block_crossings(cell: int, left: tuple, right: tuple, own: bool, least: int
         yield pa.RecordBatch.from_arrays([pa.array(ids[r][i], pa.int64()), pa.array(others[j], pa.int64())], ["left_id", "right_id"])
 
 
+def crossings_in_order(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j of arcs that cross inside both, for one block of i after the other."""
+    n = np.cross(a, b)
+    k = 0
+    while k < len(a):
+        # The first arcs of a long chain often cross something: begin with few.
+        rows = min(512, max(16, k))
+        r = slice(k, k + rows)
+        c, d, m = a[k:], b[k:], n[k:]
+        s1, s2, s3, s4 = n[r] @ c.T, n[r] @ d.T, a[r] @ m.T, b[r] @ m.T
+        worst = np.maximum(np.maximum(s1 * s2, s3 * s4), s1 * s3)
+        i, j = np.nonzero(np.triu(worst <= 1e-14, 1))
+        open_ = np.flatnonzero(worst[i, j] >= -1e-14)
+        kind = np.ones(len(i), np.int8)
+        kind[open_] = P.crossing(a[r][i[open_]], b[r][i[open_]], c[j[open_]], d[j[open_]])
+        yield i[kind > 0] + k, j[kind > 0] + k
+        k += rows
+
+
 def crossing_pairs(left: DataFrame, right: DataFrame | None = None, level: int = 6, touching: bool = False) -> DataFrame:
     """left_id, right_id of arcs (id, a, b) that cross; within one set each pair once.
 

@@ -94,3 +94,83 @@ def test_distances_of_many_points_to_one_polygon():
     assert (shapes.distances(rings, p)[held] == 0).all() and 0 < held.sum() < 500
     at = shapes.project_on_polygon(rings, p)
     assert np.allclose(shapes.angle(p, at), np.where(held, 0, near), atol=1e-12)
+
+
+def test_tessellation_of_many_chains_at_once():
+    import numpy as np
+
+    from globeframe.kernels import grid, shapes
+
+    rng = np.random.default_rng(5)
+    draw = lambda n: grid.unit(rng.normal(size=(n, 3)))
+    project = lambda p: grid.xyz_to_latlng(p)[::-1]
+    unproject = lambda q: grid.latlng_to_xyz(q[1], q[0])
+    chains = [draw(9), draw(0), draw(1), draw(2), draw(30)]
+    for chain, got in zip(chains, shapes.tessellate_chains(chains, project, unproject, 0.02, 360.0), strict=True):
+        want: list = []
+        one = lambda p: tuple(map(float, project(p)))
+        for a, b in zip(chain[:-1], chain[1:], strict=True):
+            part = shapes.tessellate(a, b, one, unproject, 0.02, want[-1] if want else None, 360.0)
+            want += part[1:] if want else part
+        want = want or [one(p) for p in chain]
+        assert np.allclose(np.array(want).reshape(-1, 2), got, atol=1e-9)
+
+
+@pytest.mark.parametrize("radius", [0.05, 0.6, math.pi])
+def test_radius_join_by_chunks(spark, monkeypatch, radius):
+    import numpy as np
+
+    from globeframe.operators import spatial_join as J
+
+    monkeypatch.setattr(J, "CHUNK", 4)
+    p, edges = _edges(spark, 120)
+    points = edges.select(F.col("edge_id").cast("long").alias("id"), F.col("a").alias("p"))
+    asked = edges.filter("edge_id < 40").select(F.col("edge_id").cast("long").alias("query_id"), F.col("b").alias("q"))
+    chord2 = ((p[0][None] - p[1][:40, None]) ** 2).sum(-1)
+    want = {(int(q), int(i)) for q, i in np.argwhere(chord2 <= 4 * math.sin(radius / 2) ** 2)}
+    got = J.radius_join(points, asked, radius).collect()
+    assert len(got) == len(want) and {(r.query_id, r.id) for r in got} == want
+    near = {q for q, _ in want}
+    assert sorted(r.query_id for r in J.radius_semi(points, asked, radius).collect()) == sorted(near)
+    assert sorted(r.query_id for r in J.radius_anti(points, asked, radius).collect()) == sorted(set(range(40)) - near)
+
+
+def test_members_of_nested_cells(spark):
+    import numpy as np
+
+    from globeframe.kernels import grid
+    from globeframe.operators import polygons as PG
+
+    leaf = grid.from_xyz(grid.latlng_to_xyz(np.array([3.0, 3.0, -40.0]), np.array([5.0, 5.1, 80.0])))
+    cells = [int(grid.parent(leaf[0], k)) for k in (3, 7, 7)]
+    points = spark.createDataFrame([(k, int(c)) for k, c in enumerate(leaf)], "id long, leaf long")
+    unions = spark.createDataFrame([(1, cells), (2, cells[1:]), (3, [])], "key long, cells array<long>")
+    got = sorted((r.key, r.id) for r in PG.members(points, unions).collect())
+    assert got[:2] == [(1, 0), (1, 1)] and (2, 0) in got and len(got) == len(set(got))
+
+
+def test_self_intersections_of_shapes_apart(spark):
+    import numpy as np
+
+    from globeframe.kernels import predicates as P
+    from globeframe.operators import edge_queries as Q
+
+    p, edges = _edges(spark, 140)
+    want = {}
+    for i, j in np.argwhere(np.triu(P.crossing(p[0][:, None], p[1][:, None], p[0][None], p[1][None]) > 0, 1)):
+        if i % 7 == j % 7:
+            want.setdefault(int(i % 7), (int(i), int(j)))
+    assert {r.shape_id: (r.left_edge, r.right_edge) for r in Q.self_intersections(edges).collect()} == want
+
+
+def test_kernels_take_parts_of_batches():
+    import pyarrow as pa
+
+    from globeframe.operators import geometry as G
+
+    b = pa.RecordBatch.from_pydict({"k": list(range(100)), "c": [[{"x": float(k), "y": 0.0, "z": 1.0}] * (k % 3) for k in range(100)]})
+    parts = list(G.slices(b, 200))
+    assert len(parts) > 5 and [k for part in parts for k in part.column("k").to_pylist()] == list(range(100))
+    for part in parts:
+        for k, v in zip(part.column("k").to_pylist(), G._values(part.column("c")), strict=True):
+            assert v.tolist() == [[float(k), 0.0, 1.0]] * (k % 3)
