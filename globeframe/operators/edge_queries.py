@@ -23,8 +23,8 @@ from ..functions import vectors as V
 from ..kernels import cell_distance, cover, grid, shapes
 from ..kernels import predicates as P
 from .geometry import _values
-from .lineage import cut
-from .spatial_join import _arc_cells, level_for, point_in_polygon, points_array
+from .lineage import cut, spread
+from .spatial_join import _arc_cells, crossings_in_order, level_for, point_in_polygon, points_array
 
 POINT_SQL = "struct<x:double,y:double,z:double>"
 #: The edge id of a shape's interior.
@@ -348,7 +348,7 @@ def leaf_ranges(cells: DataFrame) -> DataFrame:
     after = F.lead("leaf").over(Window.partitionBy("face").orderBy(C.order_key("leaf")))
     final = F.shiftleft(F.col("face").cast("long"), 61).bitwiseOR(whole)
     ranges = cut(cuts.select(F.col("leaf").alias("begin"), F.coalesce(after - 2, final).alias("end")))
-    held = range_contents(cells.withColumn("label", F.lit(0)), ranges).select("begin").distinct()
+    held = range_contents(own.withColumn("label", F.lit(0)), ranges).select("begin").distinct()
     return ranges.join(held, "begin", "left_semi")
 
 
@@ -358,6 +358,14 @@ def range_contents(cells: DataFrame, ranges: DataFrame) -> DataFrame:
     return up.join(cells.select("cell", "label"), "cell").select("begin", "end", "cell", "label").distinct()
 
 
+def range_totals(cells: DataFrame, ranges: DataFrame) -> DataFrame:
+    """begin, n, labels: how many different (cell, label) hold each range of ``leaf_ranges``, and the
+    sum of their labels; a cell's labels are added up before they meet the ranges."""
+    per = cells.select("cell", "label").distinct().groupBy("cell").agg(F.count("*").alias("n"), F.sum("label").alias("labels"))
+    up = ranges.select("begin", F.explode(_ancestors("begin")).alias("cell"))
+    return up.join(per, "cell").groupBy("begin").agg(F.sum("n").alias("n"), F.sum("labels").alias("labels"))
+
+
 def seek(index: DataFrame, cell: int, column: str = "cell") -> DataFrame:
     """An index of points from a cell on, in curve order."""
     return index.filter(C.order_key(column) >= C.order_key(F.lit(cell))).orderBy(C.order_key(column))
@@ -410,16 +418,24 @@ def contains_vertex(edges: DataFrame) -> DataFrame:
     return sums.groupBy("vertex").applyInArrow(decide, f"vertex {POINT_SQL}, sign int")
 
 
-def self_intersections(edges: DataFrame, level: int = 4) -> DataFrame:
-    """shape_id, left_edge, right_edge: the first pair of edges of each shape that cross, if any."""
-    from .spatial_join import crossing_pairs
+def self_intersections(edges: DataFrame) -> DataFrame:
+    """shape_id, left_edge, right_edge: the first pair of edges of each shape that cross, if any.
+
+    A shape's edges meet in one task, in order, a block against all that follow; the first block
+    with a crossing ends the shape, and memory is that of the block."""
+    kind = edges.schema["shape_id"].dataType.simpleString()
+
+    def first(t: pa.Table) -> pa.Table:
+        t = t.sort_by("edge_id")
+        ids, a, b = t.column("edge_id").to_numpy(), points_array(t.column("a")), points_array(t.column("b"))
+        for left, right in crossings_in_order(a, b):
+            if len(left):
+                k = np.lexsort((ids[right], ids[left]))[0]
+                return pa.table([t.column("shape_id").slice(0, 1), pa.array(ids[left[k : k + 1]], pa.int32()), pa.array(ids[right[k : k + 1]], pa.int32())], ["shape_id", "left_edge", "right_edge"])
+        return pa.table([t.column("shape_id").slice(0, 0), pa.array([], pa.int32()), pa.array([], pa.int32())], ["shape_id", "left_edge", "right_edge"])
 
-    named = edges.withColumn("id", F.monotonically_increasing_id()) if "id" not in edges.columns else edges
-    named = cut(named.select("id", "shape_id", "edge_id", "a", "b"))
-    side = lambda s: named.select(F.col("id").alias(f"{s}_id"), F.col("shape_id").alias(f"{s}_shape"), F.col("edge_id").alias(f"{s}_edge"))
-    pairs = crossing_pairs(named.select("id", "a", "b"), level=level).join(side("left"), "left_id").join(side("right"), "right_id").filter("left_shape = right_shape")
-    pair = F.min(F.struct(F.least("left_edge", "right_edge").alias("a"), F.greatest("left_edge", "right_edge").alias("b")))
-    return pairs.groupBy(F.col("left_shape").alias("shape_id")).agg(pair.alias("e")).select("shape_id", F.col("e.a").alias("left_edge"), F.col("e.b").alias("right_edge"))
+    own = spread(edges.select("shape_id", "edge_id", "a", "b").filter("shape_id IS NOT NULL AND edge_id IS NOT NULL"), "shape_id")
+    return own.groupBy("shape_id").applyInArrow(first, f"shape_id {kind}, left_edge int, right_edge int")
 
 
 def cell_shapes(cells: DataFrame, polygons: DataFrame, max_cells: int = 32) -> DataFrame:
@@ -434,7 +450,9 @@ def cell_shapes(cells: DataFrame, polygons: DataFrame, max_cells: int = 32) -> D
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found) if found else [], pa.int64())], ["right_id", "right_cell"])
 
     right = polygons.select("polygon_id", "rings").mapInArrow(covered, "right_id long, right_cell long")
-    pairs = cell_overlap(cells.select(F.col("target_id").alias("left_id"), F.col("cell").alias("left_cell")), right).select("left_id", "left_cell", "right_id").distinct()
+    # Cells are tested once, however many targets have them.
+    own = cells.select(F.col("cell").alias("left_id"), F.col("cell").alias("left_cell")).filter("left_cell IS NOT NULL").distinct()
+    pairs = spread(cell_overlap(own, right).select("left_cell", "right_id").distinct())
     pairs = pairs.join(polygons.select(F.col("polygon_id").alias("right_id"), "rings"), "right_id")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -448,6 +466,7 @@ def cell_shapes(cells: DataFrame, polygons: DataFrame, max_cells: int = 32) -> D
                 meets.append(bool(border or middle))
                 holds.append(bool(middle and not border))
             keep = pa.array(meets, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("left_id").filter(keep), b.column("right_id").filter(keep), pa.array(holds, pa.bool_()).filter(keep)], ["target_id", "polygon_id", "contains"])
+            yield pa.RecordBatch.from_arrays([b.column("left_cell").filter(keep), b.column("right_id").filter(keep), pa.array(holds, pa.bool_()).filter(keep)], ["cell", "polygon_id", "contains"])
 
-    return pairs.select("left_id", "left_cell", "right_id", "rings").mapInArrow(test, "target_id long, polygon_id long, contains boolean")
+    found = pairs.select("left_cell", "right_id", "rings").mapInArrow(test, "cell long, polygon_id long, contains boolean")
+    return cells.select(F.col("target_id").cast("long").alias("target_id"), "cell").join(found, "cell").select("target_id", "polygon_id", "contains").distinct()
