@@ -174,3 +174,30 @@ def test_kernels_take_parts_of_batches():
     for part in parts:
         for k, v in zip(part.column("k").to_pylist(), G._values(part.column("c")), strict=True):
             assert v.tolist() == [[float(k), 0.0, 1.0]] * (k % 3)
+
+
+@pytest.mark.parametrize("radius", [None, 2, 40])
+def test_alignments_of_many_pairs(radius):
+    import numpy as np
+
+    from globeframe.kernels import shapes
+
+    rng = np.random.default_rng(2)
+    left, right = ([rng.normal(size=(int(n), 3)) for n in rng.integers(1, 30, 40)] for _ in range(2))
+    want = [shapes.dtw_cost(a, b, radius) for a, b in zip(left, right, strict=True)]
+    assert np.allclose(shapes.dtw_costs(left, right, radius), want, rtol=1e-12)
+
+
+def test_medoids_by_blocks(spark):
+    import numpy as np
+
+    from globeframe.kernels import shapes
+    from globeframe.operators import polygons as PG
+
+    rng = np.random.default_rng(8)
+    chains = [rng.normal(size=(int(n), 3)) for n in rng.integers(1, 12, 23)]
+    rows = [(k % 2, k, [dict(zip("xyz", map(float, p), strict=True)) for p in c]) for k, c in enumerate(chains)]
+    df = spark.createDataFrame(rows, "key long, id long, chain array<struct<x:double,y:double,z:double>>")
+    for key, id_, cost in PG.medoids(df, "key", block=3).collect():
+        sums = {k: sum(shapes.dtw_cost(chains[k], chains[j]) for j in range(key, 23, 2) if j != k) for k in range(key, 23, 2)}
+        assert id_ == min(sums, key=sums.get) and cost == pytest.approx(sums[id_])
