@@ -201,3 +201,22 @@ def test_medoids_by_blocks(spark):
     for key, id_, cost in PG.medoids(df, "key", block=3).collect():
         sums = {k: sum(shapes.dtw_cost(chains[k], chains[j]) for j in range(key, 23, 2) if j != k) for k in range(key, 23, 2)}
         assert id_ == min(sums, key=sums.get) and cost == pytest.approx(sums[id_])
+
+
+def test_crossings_counted_by_blocks(spark):
+    import numpy as np
+
+    from globeframe.kernels import predicates as P
+    from globeframe.operators import spatial_join as J
+
+    p, edges = _edges(spark, 150)
+    # Shared ends and an arc on another's circle are left to the exact test.
+    p[0, 1], p[0, 3], p[1, 3] = p[1, 0], p[0, 2], p[1, 2]
+    big = 1 << 40
+    point = lambda v: dict(zip("xyz", map(float, v), strict=True))
+    sql = "struct<x:double,y:double,z:double>"
+    arcs = spark.createDataFrame([(big + k, point(p[0, k]), point(p[1, k])) for k in range(150)], f"id long, a {sql}, b {sql}")
+    hit = np.triu(P.crossing(p[0][:, None], p[1][:, None], p[0][None], p[1][None]) > 0, 1)
+    want = {big + i: (int(hit[i].sum()), int((hit[i] * (big + np.arange(150))).sum())) for i in range(150) if hit[i].any()}
+    for block in (20, 1000):
+        assert {r.left_id: (r.n, r.right_ids) for r in J.crossing_counts(arcs, block).collect()} == want
